@@ -1,10 +1,13 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from cadenza.llm import mixing, sharding
+from cadenza.llm import media, mixing, packing, sharding, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_media": media.op2_media,
     "op3_sharding": sharding.op3_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op9_warc": warc.op9_warc,
 }
 
 SQL = {
