@@ -1,11 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from cadenza.llm import media, mixing, packing, sharding, warc
+from cadenza.llm import media, mixing, ngram_join, packing, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_media": media.op2_media,
     "op3_sharding": sharding.op3_sharding,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_mixing": mixing.op6_mixing,
     "op9_warc": warc.op9_warc,
 }
