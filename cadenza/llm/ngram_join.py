@@ -13,9 +13,9 @@ tokens within one more, in any common order of tokens.
 The order puts long shingles first (in bytes: a longer shingle is a rarer one) and those last that are in very many sets. The latter
 are found by counting within blocks of sets and adding up; as they only set the order, a bounded number of them suffices.
 
-Lists are not expanded into all pairs. Round one compares each class with the smallest class of its lists and joins what is similar
-into components. Round two compares only classes of one list that are still in different components, for between others no pair can
-change a component. A candidate pair must pass an exact upper bound on the overlap from parity bitmaps; then the sets are compared.
+Long lists are not expanded into all pairs. While that would give many more pairs than rows, each class is compared with one class of
+each of its lists (a star), and what is similar joins a component. In the end all pairs of one list are compared that are still in
+different components, for no other pair can change a component. A candidate pair must pass an exact upper bound on the overlap from parity bitmaps; then the sets are compared.
 
 Edge cases: null, empty and blank texts have an empty set and no links; fewer than five words make one shingle; repeated rows are in
 one class; a null id takes part and gets its component's smallest non-null id; an empty table gives no rows; only the named id and
@@ -44,6 +44,10 @@ LARGEST_BOUNDARY = 96
 VERIFY_COST = 4
 #: Shingles counted together when very frequent ones are looked for, sets of a block that must share one, sets in all, and how many are kept.
 BLOCK_SHINGLES, LOCAL_SETS, FREQUENT_SETS, FREQUENT = 1 << 21, 3, 48, 1 << 17
+#: Rounds of stars at most, and the pairs a list row may give, in the mean, before stars come first.
+STARS, PAIRS_PER_ROW = 6, 2
+#: Sets of up to so many shingles have bitmaps of under 256 bits.
+SKETCHED = 32
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 21
 
@@ -126,6 +130,14 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def sketch(bits: bytes) -> list[int]:
+    """The bitmap folded to 256 bits, as four numbers."""
+    words = np.frombuffer(bits, np.int64)
+    if len(words) < 4:  # not comparable with a longer one: see SKETCHED
+        return [0, 0, 0, 0]
+    return np.bitwise_xor.reduce(words.reshape(-1, 4), axis=0).tolist()
+
+
 def largest_overlap(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
     """No more tokens than this are in both sets: each bit that differs is due to a token of one only."""
     a, b = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
@@ -137,23 +149,28 @@ def largest_overlap(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
     return (n_a + n_b - int(np.bitwise_count(a ^ b).sum())) // 2
 
 
-def signatures(tokens: np.ndarray, boundary: int, frequent: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """2-subsets for a small set, single tokens for a large one or one that may pair with such."""
+def signatures(tokens: np.ndarray, boundary: int, frequent: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """2-subsets for a small set, single tokens for a large one or one that may pair with such.
+
+    With each, the largest overlap with a set for which it is the first that both have: what comes before is not shared.
+    """
     n = len(tokens)
     p = prefix_length(n, threshold)
     if len(frequent):
         late = np.isin(tokens, frequent, assume_unique=True)
         tokens = np.concatenate([tokens[~late][: p + 1], tokens[late][: p + 1]])
-    out = [np.zeros(0, np.uint64)]
+    out, most = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if n <= boundary:
         first, second = np.triu_indices(min(p + 1, n), 1)
         if n == 1:
-            out.append(mix(tokens))  # equal sets only, and those are one class
+            return out[0], most[0]  # similar to equal sets only, and those are one class
         low, high = np.minimum(tokens[first], tokens[second]), np.maximum(tokens[first], tokens[second])
         out.append(mix(low * _COEFFICIENTS[0] + high * _COEFFICIENTS[1]) | np.uint64(1))
+        most.append(n - second + 1)
     if 100 * n > threshold * boundary:
         out.append(mix(tokens[:p]) & ~np.uint64(1))
-    return np.concatenate(out)
+        most.append(n - np.arange(min(p, n)))
+    return np.concatenate(out), np.concatenate(most)
 
 
 def choose_boundary(sizes: dict[int, int], collisions: float, threshold: int = THRESHOLD) -> int:
@@ -192,12 +209,12 @@ def _record(rows: list[tuple], names: list[str], fields: str) -> pa.RecordBatch:
 
 def _sets(docs: DataFrame, threshold: int) -> DataFrame:
     """did, n, key, bits and, for small sets, the prefix; rows without bits are frequent shingles: key and, as n, how many sets have it."""
-    fields = "did long, n long, key long, bits binary, prefix array<long>"
+    fields = "did long, n long, key long, bits binary, sketch array<long>, prefix array<long>"
     names = [f.split()[0] for f in fields.split(", ")]
 
     def frequent(block: list[np.ndarray]) -> list[tuple]:
         tokens, counts = np.unique(np.concatenate(block), return_counts=True) if block else ((), ())
-        return [(None, int(c), int(t), None, None) for t, c in zip(np.asarray(tokens)[np.asarray(counts) >= LOCAL_SETS].view(np.int64).tolist(), np.asarray(counts)[np.asarray(counts) >= LOCAL_SETS].tolist(), strict=True)] if block else []
+        return [(None, int(c), int(t), None, None, None) for t, c in zip(np.asarray(tokens)[np.asarray(counts) >= LOCAL_SETS].view(np.int64).tolist(), np.asarray(counts)[np.asarray(counts) >= LOCAL_SETS].tolist(), strict=True)] if block else []
 
     def run(batches):
         block, seen, held = [], set(), 0
@@ -206,7 +223,8 @@ def _sets(docs: DataFrame, threshold: int) -> DataFrame:
             for did, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = shingles(text.as_py())
                 key, n = set_key(tokens), len(tokens)
-                rows.append((did, n, key, bitmap(tokens), tokens[: prefix_length(n, threshold)].view(np.int64) if 0 < n <= LARGEST_BOUNDARY else None))
+                bits = bitmap(tokens)
+                rows.append((did, n, key, bits, sketch(bits), tokens[: prefix_length(n, threshold)].view(np.int64) if 0 < n <= LARGEST_BOUNDARY else None))
                 if key not in seen:
                     seen.add(key)
                     block.append(tokens)
@@ -221,56 +239,58 @@ def _sets(docs: DataFrame, threshold: int) -> DataFrame:
 
 
 def _live(docs: DataFrame, boundary: int, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """(token, key, n) of every signature that at least two classes post.
+    """(token, key, n, most) of every signature that at least two classes post.
 
     Signatures that are known to be frequent are dealt out by class and kept, so that no task gets one's whole list.
     """
-    fields = "token long, key long, n long, deal long"
+    names = ["token", "key", "n", "most"]
+    fields = "token long, key long, n int, most int"
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)  # at most FREQUENT values
     known = spark.sparkContext.broadcast(np.sort(mix(frequent) & ~np.uint64(1)))
 
     def post(batches):
         for batch in batches:
-            tokens, keys, sizes = [np.zeros(0, np.uint64)], [], []
+            token, cols = [np.zeros(0, np.uint64)], [[np.zeros(0, t)] for t in (np.int64, np.int32, np.int32)]
             for text in batch.column(1):
                 found = shingles(text.as_py())
                 if len(found):
-                    tokens.append(signatures(found, boundary, shared.value, threshold))
-                    keys.append(np.full(len(tokens[-1]), set_key(found)))
-                    sizes.append(np.full(len(tokens[-1]), len(found)))
-            token, key, n = np.concatenate(tokens), np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *sizes])
-            order = np.lexsort((key, token))
-            token, key, n = token[order], key[order], n[order]
+                    posted, most = signatures(found, boundary, shared.value, threshold)
+                    token.append(posted)
+                    for col, x in zip(cols, (np.full(len(posted), set_key(found)), np.full(len(posted), len(found), np.int32), most.astype(np.int32)), strict=True):
+                        col.append(x)
+            token, rest = np.concatenate(token), [np.concatenate(c) for c in cols]
+            order = np.lexsort((rest[0], token))
+            token, rest = token[order], [x[order] for x in rest]
             new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-            token, key, n = token[new], key[new], n[new]
-            deal = np.where(np.isin(token, known.value), mix(token ^ key.view(np.uint64)), token).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), key, n, deal)], ["token", "key", "n", "deal"])
+            new[1:] = (token[1:] != token[:-1]) | (rest[0][1:] != rest[0][:-1])
+            token, rest = token[new], [x[new] for x in rest]
+            deal = np.where(np.isin(token, known.value), mix(token ^ rest[0].view(np.uint64)), token).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), *rest, deal)], [*names, "deal"])
 
     def shared_only(batches):
         """From rows in order of token and key: one per class, of lists with two classes or more."""
-        held = None  # the last row, not yet known to be alone
+        held = None  # the last row, not yet known to be alone, and whether its list had rows before
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, key, n, deal = (batch.column(k).to_numpy() for k in range(4))
+            cols = [batch.column(k).to_numpy() for k in range(5)]
             if held is not None:
-                token, key, n, deal = (np.concatenate([[h], x]) for h, x in zip(held[:4], (token, key, n, deal), strict=True))
+                cols = [np.concatenate([h, x]) for h, x in zip(held[0], cols, strict=True)]
+            token, key = cols[:2]
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-            token, key, n, deal = token[new], key[new], n[new], deal[new]
-            same = token[1:] == token[:-1]
-            before = np.concatenate([[held is not None and held[4]], same])
-            paired = before | np.concatenate([same, [False]]) | (token != deal)
-            keep = paired[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (token, key, n)], ["token", "key", "n"])
-            held = (token[-1], key[-1], n[-1], deal[-1], bool(before[-1]))
-        if held is not None and (held[4] or held[0] != held[3]):
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held[:3]], ["token", "key", "n"])
+            cols = [x[new] for x in cols]
+            same = cols[0][1:] == cols[0][:-1]
+            before = np.concatenate([[held is not None and held[1]], same])
+            keep = (before | np.concatenate([same, [False]]) | (cols[0] != cols[4]))[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in cols[:4]], names)
+            held = [x[-1:] for x in cols], bool(before[-1])
+        if held is not None and (held[1] or held[0][0] != held[0][4]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0][:4]], names)
 
-    posted = docs.mapInArrow(post, fields)
-    return posted.repartition("deal").sortWithinPartitions("token", "key").mapInArrow(shared_only, "token long, key long, n long")
+    posted = docs.mapInArrow(post, fields + ", deal long")
+    return posted.repartition("deal").sortWithinPartitions("token", "key").mapInArrow(shared_only, fields)
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -296,6 +316,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose sets are similar: the sets are made anew from one text a class."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key")
+    wanted = written(wanted)  # its size is then known: few are sent to the texts, many are met by a shuffle
     texts = docs.join(wanted.select(F.col("rep").alias("did"), "key"), "did").select("key", "text")
 
     def make(key, tokens):
@@ -319,22 +340,66 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold:
     return with_b.mapInArrow(compare, fields)
 
 
-def _star(live: DataFrame) -> DataFrame:
-    """Each class of a list with the list's smallest."""
-    pivots = live.groupBy("token").agg(F.min("key").alias("a"))
-    return live.join(pivots, "token").where("key != a").select("a", F.col("key").alias("b")).distinct()
-
-
-def _between(live: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Classes of one list and different components: those outside the list's largest component with those in it, and among themselves."""
-    named = live.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+def _mixed(live: DataFrame, labels: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """Rows of the lists that still join different components, each with its component, whether that is the list's largest, and its sketch."""
+    if labels is None:
+        named = live.withColumn("component", F.col("key"))
+    else:
+        named = live.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     counts = named.groupBy("token", "component").count()
     major = counts.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    named = written(named.join(major, "token").select("token", "key", "n", "component", (F.col("component") == F.col("major")).alias("inside")))
-    fits = (100 * F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (F.col("component") != F.col("component_b"))
-    minor = named.where("not inside").select("token", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    pairs = named.join(minor, "token").where(fits & (F.col("inside") | (F.col("key") < F.col("key_b"))))
-    return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
+    rows = named.join(major, "token").select("token", "key", "n", "most", "component", (F.col("component") == F.col("major")).alias("inside"))
+    return written(rows.join(classes.select("key", "sketch"), "key"))
+
+
+def _fits(threshold: int):
+    sizes = F.col("n") + F.col("n_b")
+    near = (100 * F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & ((100 + threshold) * F.least("most", "most_b") >= threshold * sizes)
+    differ = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(1, 4)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("sketch_b")[0])))
+    comparable = (F.least("n", "n_b") <= SKETCHED) | ((100 + threshold) * differ <= (100 - threshold) * sizes)
+    return near & (F.col("component") != F.col("component_b")) & comparable
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.select("token", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
+
+
+def _star(mixed: DataFrame, threshold: int, turn: int) -> DataFrame:
+    """Classes outside their list's largest component, each with one class in it; the lists choose different ones."""
+    centre = F.min_by(F.struct("key", "n", "most", "component", "sketch"), F.xxhash64("key", "token", F.lit(turn))).alias("centre")
+    centres = mixed.where("inside").groupBy("token").agg(centre).select("token", "centre.*")
+    return _pairs(mixed.where("not inside").join(_other(centres), "token").where(_fits(threshold)))
+
+
+def _between(mixed: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of one list and different components: classes outside the largest with those in it, and among themselves."""
+    joined = mixed.join(_other(mixed.where("not inside")), "token")
+    return _pairs(joined.where(_fits(threshold) & (F.col("inside") | (F.col("key") < F.col("key_b")))))
+
+
+def _links(live: DataFrame, chosen: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Components of the classes. Stars first while lists would give many more pairs than they have rows, then every pair left."""
+    links, labels, turn = None, None, 0
+    while True:
+        mixed = _mixed(live, labels, classes)
+        inside, outside = F.count_if("inside"), F.count_if(~F.col("inside"))
+        cost = mixed.groupBy("token").agg((inside + outside).alias("n_rows"), (inside * outside + outside * (outside - 1) / 2).alias("n_pairs")).agg(F.sum("n_rows"), F.sum("n_pairs")).first()
+        if not cost[0]:
+            return labels
+        last = cost[1] <= PAIRS_PER_ROW * cost[0] or turn == STARS
+        pairs = _between(mixed, threshold) if last else _star(mixed, threshold, turn)
+        new = written(_verified(written(_bounded(pairs, classes, threshold)), chosen, classes, threshold))
+        none = new.isEmpty()
+        if not none:
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
+        if last:
+            return labels
+        turn = STARS if none else turn + 1
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -344,7 +409,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("did"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     sets = written(_sets(chosen, threshold))
     members = sets.where("bits is not null")
-    classes = members.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("did").alias("rep"))
+    classes = members.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"), F.min("did").alias("rep"))
     # bounded: LARGEST_BOUNDARY sizes, one number, FREQUENT shingles
     small = members.where("prefix is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     sizes = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
@@ -354,12 +419,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     common = sets.where("bits is null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_SETS).orderBy(F.desc("n"), "key").limit(FREQUENT)
     frequent = np.sort(np.array([r["key"] for r in common.select("key").collect()], np.int64).view(np.uint64))
     live = written(_live(chosen, boundary, frequent, threshold))
-    links = written(_verified(written(_bounded(_star(live), classes, threshold)), chosen, classes, threshold))
-    labels = components(links)
-    rest = written(_bounded(_between(live, labels, threshold), classes, threshold))
-    if not rest.isEmpty():
-        more = _verified(rest, chosen, classes, threshold)
-        labels = components(links.unionByName(more))
+    labels = _links(live, chosen, classes, threshold)
+    if labels is None:
+        labels = classes.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
     named = members.select("did", "n", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     known = F.when(F.col("did") != lowest, F.col("did"))
     least = named.where("n > 0").groupBy("component").agg(F.min(known).alias("component_id"))
