@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from cadenza.llm import media, mixing, ngram_join, packing, sharding, warc
+from cadenza.llm import media, mixing, ngram_join, packing, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_mixing": mixing.op6_mixing,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_warc": warc.op9_warc,
 }
 

@@ -45,7 +45,7 @@ VERIFY_COST = 4
 #: Shingles counted together when very frequent ones are looked for, sets of a block that must share one, sets in all, and how many are kept.
 BLOCK_SHINGLES, LOCAL_SETS, FREQUENT_SETS, FREQUENT = 1 << 21, 3, 48, 1 << 17
 #: Rounds of stars at most, and the pairs a list row may give, in the mean, before stars come first.
-STARS, PAIRS_PER_ROW = 6, 2
+STARS, PAIRS_PER_ROW = 3, 2
 #: Sets of up to so many shingles have bitmaps of under 256 bits.
 SKETCHED = 32
 #: Bytes of text that are hashed at once.
