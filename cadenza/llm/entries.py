@@ -1,15 +1,18 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from cadenza.llm import media, mixing, ngram_join, packing, sharding, suffix_dedup, warc
+from cadenza.llm import ann, media, mixing, ngram_join, packing, quality, sharding, sitetree, suffix_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_media": media.op2_media,
     "op3_sharding": sharding.op3_sharding,
+    "op4_ann": ann.op4_ann,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_mixing": mixing.op6_mixing,
+    "op7_sitetree": sitetree.op7_sitetree,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_warc": warc.op9_warc,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL = {
