@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from cadenza.plans import interval_queries, job_queries, text_queries  # noqa: F401  they enter their queries
+from cadenza.plans.base import QUERIES, SQL
+
+FLAGSHIP = "ag15_quality_report"
