@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions.text import AMBIGUOUS_QUOTES, CLOSING, HYPHEN_PARTICLES, OPENING
 
@@ -68,7 +69,7 @@ def display_units(text: str) -> list[str]:
     return units
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def display_units_of(text: pd.Series) -> pd.Series:
     return text.fillna("").map(display_units)
 
@@ -77,13 +78,13 @@ def compact(text: str) -> str:
     return "".join(c for c in text.casefold().replace("ё", "е") if c.isalnum())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters, in longest matching blocks, of the compact forms."""
     return pd.Series([SequenceMatcher(None, compact(x or ""), compact(y or ""), autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("array<struct<x: long, y: long>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])))
 def anchors(a: pd.Series, b: pd.Series) -> pd.Series:
     """Both ends of every matching block, and of the texts."""
 
@@ -229,7 +230,7 @@ def greedy_groups(words: DataFrame, longest: float) -> DataFrame:
             out.append(group)
         return rows.assign(group=out)
 
-    return words.groupBy("rec").applyInPandas(run, words.schema.add("group", "long"))
+    return words.groupBy("rec").applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in [*words.dtypes, ("group", "bigint")]))
 
 
 def merge_probability(parts: Column) -> Column:
@@ -250,6 +251,6 @@ def split_capacity(word: str, most: int) -> list[str]:
     return [*parts, word]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_capacity_of(word: pd.Series) -> pd.Series:
     return word.fillna("").map(lambda w: split_capacity(w, 50))

@@ -45,8 +45,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec", (F.row_number().over(Window.partitionBy("rec").orderBy("at")) - 1).cast("long").alias("ix"), "line")
 
 
-LN = r"""ln AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY at) - 1 AS ix, line FROM (
- SELECT doc_id AS rec, unnest(range(len(string_split(text, chr(10))))) AS at, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '\S'))"""
+LN = r"""ln AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS ix, line FROM (
+ SELECT doc_id AS rec, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '\S'))"""
 
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,8 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec", "ix", F.expr("cast((at - length(line)) * 1000 div 17 as bigint)").alias("tick_start"), (F.expr("cast(at * 1000 div 17 as bigint)") + late).alias("tick_end"), F.col("line").alias("cue_text"))
 
 
-CU = LN + """, cu AS (SELECT rec, ix, ((at - length(line)) * 1000 // 17)::BIGINT AS tick_start, (at * 1000 // 17)::BIGINT + CASE WHEN ix % 7 = 3 THEN 400 ELSE 0 END AS tick_end, line AS cue_text
- FROM (SELECT *, sum(length(line)) OVER (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)::BIGINT AS at FROM ln))"""
+CU = LN + """, cu AS (SELECT rec, ix, ((pos - length(line)) * 1000 // 17)::BIGINT AS tick_start, (pos * 1000 // 17)::BIGINT + CASE WHEN ix % 7 = 3 THEN 400 ELSE 0 END AS tick_end, line AS cue_text
+ FROM (SELECT *, sum(length(line)) OVER (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)::BIGINT AS pos FROM ln))"""
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EV = """ev AS (SELECT conv_id AS job, turn + 1 AS event_id, role AS kind, 'p' || (turn % 3) AS path,
- ['queued','transcribing','done','cached','skipped','error','cancelled'][(length(text) % 7) + 1] AS state, text, turn * 60 + conv_id % 1000 AS at FROM conversations)"""
+ ['queued','transcribing','done','cached','skipped','error','cancelled'][(length(text) % 7) + 1] AS state, text, turn * 60 + conv_id % 1000 AS pos FROM conversations)"""
 IT = EV + ", it AS (SELECT job, path, state FROM ev QUALIFY row_number() OVER (PARTITION BY job, path ORDER BY event_id DESC) = 1)"
 CT = IT + """, ct AS (SELECT job, count(*) AS total, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'cached') AS cached, count(*) FILTER (state = 'skipped') AS skipped,
  count(*) FILTER (state = 'error') AS failed, count(*) FILTER (state IN ('cancelled', 'interrupted')) AS cancelled, count(*) FILTER (state IN ('done', 'cached')) AS succeeded FROM it GROUP BY job),

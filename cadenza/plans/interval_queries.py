@@ -85,8 +85,8 @@ def wn10(spark, sf):
     return iv.clamp_overlaps(intervals(spark, sf), by_start=False).select("rec", "ix", "start", "end")
 
 
-@query("wn13_allot", f"""WITH {IV}, w AS (SELECT rec, ix, length(text) AS w, sum(length(text)) OVER (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)::BIGINT AS at, sum(length(text)) OVER (PARTITION BY rec)::BIGINT AS total FROM iv)
-SELECT rec, ix, 10.0::DOUBLE + 90.0::DOUBLE * (at - w) / total AS start, CASE WHEN at = total THEN 100.0::DOUBLE ELSE 10.0::DOUBLE + 90.0::DOUBLE * at / total END AS "end" FROM w""")
+@query("wn13_allot", f"""WITH {IV}, w AS (SELECT rec, ix, length(text) AS w, sum(length(text)) OVER (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)::BIGINT AS pos, sum(length(text)) OVER (PARTITION BY rec)::BIGINT AS total FROM iv)
+SELECT rec, ix, 10.0::DOUBLE + 90.0::DOUBLE * (pos - w) / total AS start, CASE WHEN pos = total THEN 100.0::DOUBLE ELSE 10.0::DOUBLE + 90.0::DOUBLE * pos / total END AS "end" FROM w""")
 def wn13(spark, sf):
     return iv.allot(intervals(spark, sf).drop("start", "end"), F.length("text"), F.lit(10.0), F.lit(100.0)).select("rec", "ix", "start", "end")
 
@@ -103,14 +103,14 @@ def wn15(spark, sf):
 s AS (SELECT *, CASE WHEN following > start AND following < "end" THEN following ELSE "end" END AS stop, "end" - start > {200 * MIN} AS long FROM nx)
 SELECT rec, ix, CASE WHEN long THEN greatest(0, stop - least({200 * MIN}, length(text) * {10 * MIN})) ELSE start END AS start, CASE WHEN long THEN stop ELSE "end" END AS "end" FROM s""")
 def wn16(spark, sf):
-    return iv.fix_stretched(intervals(spark, sf), 200 * MIN, F.length("text") * (10 * MIN)).select("rec", "ix", "start", "end")
+    return iv.fix_stretched(intervals(spark, sf), 200 * MIN, F.length("text").cast("long") * (10 * MIN)).select("rec", "ix", "start", "end")
 
 
 _SCHEDULE = f"""{IV}, du AS (SELECT rec, ix, start, "end", least("end" - start, {300 * MIN}) AS d FROM iv),
 dd AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY rec ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre, start - {60 * MIN} AS lower, start + {600 * MIN} AS upper FROM du),
 mm AS (SELECT *, min(upper - pre) OVER (PARTITION BY rec ORDER BY ix ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM dd),
-pp AS (SELECT *, pre + greatest(0, max(lower - pre) OVER w) AS early, pre + greatest(0, max(least(greatest(start, lower) - pre, m)) OVER w) AS at FROM mm WINDOW w AS (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)),
-sc AS (SELECT rec, ix, start, "end", d, at, bool_and(m + pre >= early) OVER (PARTITION BY rec) AS feasible FROM pp)"""
+pp AS (SELECT *, pre + greatest(0, max(lower - pre) OVER w) AS early, pre + greatest(0, max(least(greatest(start, lower) - pre, m)) OVER w) AS "at" FROM mm WINDOW w AS (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)),
+sc AS (SELECT rec, ix, start, "end", d, "at", bool_and(m + pre >= early) OVER (PARTITION BY rec) AS feasible FROM pp)"""
 
 
 def _scheduled(spark, sf):
@@ -118,7 +118,7 @@ def _scheduled(spark, sf):
     return iv.schedule(rows)
 
 
-@query("wn18_schedule", f"WITH {_SCHEDULE} SELECT rec, ix, at, feasible FROM sc")
+@query("wn18_schedule", f'WITH {_SCHEDULE} SELECT rec, ix, "at", feasible FROM sc')
 def wn18(spark, sf):
     return _scheduled(spark, sf).select("rec", "ix", "at", "feasible")
 
@@ -134,7 +134,7 @@ def wn21(spark, sf):
 
 
 @query("wn29_schedule_or_fallback", f"""WITH {_SCHEDULE}, {_MID}
-SELECT sc.rec, sc.ix, CASE WHEN feasible THEN at::DOUBLE ELSE mo.start END AS start, CASE WHEN feasible THEN (at + d)::DOUBLE ELSE mo."end" END AS "end" FROM sc JOIN mo USING (rec, ix)""")
+SELECT sc.rec, sc.ix, CASE WHEN feasible THEN "at"::DOUBLE ELSE mo.start END AS start, CASE WHEN feasible THEN ("at" + d)::DOUBLE ELSE mo."end" END AS "end" FROM sc JOIN mo USING (rec, ix)""")
 def wn29(spark, sf):
     plan = _scheduled(spark, sf)
     rest = iv.midpoint_schedule(plan, 1000)
@@ -149,7 +149,7 @@ def wn19(spark, sf):
 
 @query("ag17_boundary_drift", f"""WITH {_SCHEDULE}, nb AS (SELECT rec, ix, coalesce((start - lag("end") OVER (PARTITION BY rec ORDER BY ix) >= {600 * MIN})::INT, 0) AS new FROM iv),
 bk AS (SELECT rec, ix, sum(new) OVER (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)::BIGINT AS block FROM nb),
-j AS (SELECT sc.rec, sc.ix, sc.start, sc."end", at, at + d AS at_end, block, lead(sc.start) OVER w AS nx, lead(at) OVER w AS nat FROM sc JOIN bk USING (rec, ix) WINDOW w AS (PARTITION BY sc.rec, block ORDER BY sc.ix)),
+j AS (SELECT sc.rec, sc.ix, sc.start, sc."end", "at", "at" + d AS at_end, block, lead(sc.start) OVER w AS nx, lead("at") OVER w AS nat FROM sc JOIN bk USING (rec, ix) WINDOW w AS (PARTITION BY sc.rec, block ORDER BY sc.ix)),
 k AS (SELECT rec, greatest(least("end", nx) - at_end, at_end - greatest("end", nx), least("end", nx) - nat, nat - greatest("end", nx), 0) AS drift FROM j WHERE nx IS NOT NULL)
 SELECT rec, count(*) FILTER (drift > 0) AS adjusted, max(drift) // 1000 AS max_drift_ms FROM k GROUP BY rec""")
 def ag17(spark, sf):
@@ -176,7 +176,7 @@ def wn30(spark, sf):
     return rows.select("rec", "ix", (F.col("anchor") - F.sum(F.col("end") - F.col("start")).over(iv.onward(iv.in_order()))).alias("start"))
 
 
-@query("wn34_span_offsets", f"WITH {IV} SELECT rec, ix, coalesce(sum(length(text)) OVER (PARTITION BY rec ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at, sum(length(text)) OVER (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)::BIGINT AS until FROM iv")
+@query("wn34_span_offsets", f'WITH {IV} SELECT rec, ix, coalesce(sum(length(text)) OVER (PARTITION BY rec ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "at", sum(length(text)) OVER (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)::BIGINT AS until FROM iv')
 def wn34(spark, sf):
     w = iv.in_order()
     return intervals(spark, sf).select("rec", "ix", F.coalesce(F.sum(F.length("text")).over(iv.before(w)), F.lit(0)).alias("at"), F.sum(F.length("text")).over(iv.upto(w)).alias("until"))
@@ -281,7 +281,7 @@ def pf14(spark, sf):
     return rows.where(F.col("end") > F.col("start")).select("rec", "ix", "start", "end")
 
 
-@query("dt1_utc_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS at, epoch_us(ts) AS micros FROM events")
+@query("dt1_utc_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS \"at\", epoch_us(ts) AS micros FROM events")
 def dt1(spark, sf):
     ts = F.col("ts").cast("timestamp")
     return table(spark, sf, "events").select("event_id", n.utc_text(ts).alias("at"), F.unix_micros(ts).alias("micros"))

@@ -59,7 +59,7 @@ def _jobs(spark, sf):
     return _status(spark, sf).select("job", "status").join(ends, "job").withColumn("completed_at", F.col("updated_at")).withColumn("status", F.when(F.col("job") % 10 == 0, "running").otherwise(F.col("status")))
 
 
-JB = CT + ", jb AS (SELECT st.job, CASE WHEN st.job % 10 = 0 THEN 'running' ELSE status END AS status, e.updated_at, e.latest_event_id, e.updated_at AS completed_at FROM st JOIN (SELECT job, max(at) AS updated_at, max(event_id) AS latest_event_id FROM ev GROUP BY job) e USING (job))"
+JB = CT + ", jb AS (SELECT st.job, CASE WHEN st.job % 10 = 0 THEN 'running' ELSE status END AS status, e.updated_at, e.latest_event_id, e.updated_at AS completed_at FROM st JOIN (SELECT job, max(pos) AS updated_at, max(event_id) AS latest_event_id FROM ev GROUP BY job) e USING (job))"
 _FINAL = "('ok', 'partial', 'error', 'cancelled', 'interrupted')"
 
 
