@@ -107,12 +107,16 @@ def join_units(words: list[str]) -> str:
 
 def line_breaks(words: list[str], width: int, gap: int) -> list[int]:
     """Ends of the lines of one sentence: fewest lines, then least penalty, overflow and raggedness; the earliest on a tie."""
-    bare = [w.lower().strip("".join(c for c in "".join(words) if not c.isalnum())) for w in words]
-    best: list[tuple | None] = [(0, 0, 0, 0, ())] + [None] * len(words)
+    marks = "".join({c for w in words for c in w if not c.isalnum()})
+    bare = [w.lower().strip(marks) for w in words]
+    best: list[tuple | None] = [(0, 0, 0, 0)] + [None] * len(words)
+    came = [0] * (len(words) + 1)
     for start in range(len(words)):
-        lines, penalty, over, ragged, ends = best[start]
+        lines, penalty, over, ragged = best[start]
+        text = ""
         for end in range(start + 1, len(words) + 1):
-            size = len(text := join_units(words[start:end]))
+            text = words[start] if end == start + 1 else text + ("" if text.endswith("-") else " ") + words[end - 1]
+            size = len(text)
             if size > width + gap and end > start + 1:
                 break
             cost = SHORT_LINE.get(end - start, 0)
@@ -122,43 +126,53 @@ def line_breaks(words: list[str], width: int, gap: int) -> list[int]:
                 elif not text.endswith(GOOD_ENDS):
                     cost += CONJUNCTION if bare[end] in CONJUNCTIONS else PLAIN
             rank = (lines + 1, penalty + cost, over + max(0, size - width), ragged + size * size)
-            if best[end] is None or rank < best[end][:4]:
-                best[end] = (*rank, (*ends, end))
-    return list(best[-1][4])
+            if best[end] is None or rank < best[end]:
+                best[end], came[end] = rank, start
+    return _way(came)
+
+
+def _way(came: list[int]) -> list[int]:
+    """Ends of the parts that lead to the last state."""
+    ends, at = [], len(came) - 1
+    while at:
+        ends.append(at)
+        at = came[at]
+    return ends[::-1]
 
 
 def pack_lines(words: DataFrame, width: int = 42, gap: int = 8) -> DataFrame:
     """Words (rec, sentence, ix, start, end, text) to lines (rec, sentence, line, start, end, text, n_words, sentence_end)."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ix")
-        texts, out, start = rows["text"].tolist(), [], 0
-        for k, end in enumerate(line_breaks(texts, width, gap)):
-            part = rows.iloc[start:end]
-            out.append((rows["rec"].iloc[0], rows["sentence"].iloc[0], k, part["start"].iloc[0], part["end"].max(), join_units(texts[start:end]), end - start, end == len(rows)))
-            start = end
+        out = []
+        for (rec, sentence), part in rows.sort_values("ix").groupby(["rec", "sentence"], sort=True):
+            texts, starts, ends, at = part["text"].tolist(), part["start"].tolist(), part["end"].tolist(), 0
+            for k, cut in enumerate(line_breaks(texts, width, gap)):
+                out.append((rec, sentence, k, starts[at], max(ends[at:cut]), join_units(texts[at:cut]), cut - at, cut == len(texts)))
+                at = cut
         return pd.DataFrame(out, columns=["rec", "sentence", "line", "start", "end", "text", "n_words", "sentence_end"])
 
     fields = "rec long, sentence long, line long, start double, end double, text string, n_words long, sentence_end boolean"
-    return words.groupBy("rec", "sentence").applyInPandas(pack, fields)
+    return words.groupBy("rec").applyInPandas(pack, fields)
 
 
 def cue_breaks(starts: list[float], ends: list[float], sentences: list[int], sizes: list[int], max_lines: int, pause: float) -> list[int]:
     """Ends of the cues: fewest cues, then fewest short single lines and sentence crossings, single lines late; the earliest on a tie."""
-    best: list[tuple | None] = [(0, 0, 0, 0, ())] + [None] * len(starts)
+    best: list[tuple | None] = [(0, 0, 0, 0)] + [None] * len(starts)
+    came = [0] * (len(starts) + 1)
     for start in range(len(starts)):
         if best[start] is None:
             continue
-        cues, orphans, crossings, single, cuts = best[start]
+        cues, orphans, crossings, single = best[start]
         for end in range(start + 1, min(start + max_lines, len(starts)) + 1):
             last = end - 1
             if last > start and sentences[last] != sentences[last - 1] and starts[last] - ends[last - 1] >= min(pause, PAIR_GAP):
                 continue
             alone = end == start + 1
             rank = (cues + 1, orphans + (ORPHAN.get(sizes[start], 0) if alone else 0), crossings + (sentences[start] != sentences[last]), single - (start if alone else 0))
-            if best[end] is None or rank < best[end][:4]:
-                best[end] = (*rank, (*cuts, end))
-    return list(best[-1][4])
+            if best[end] is None or rank < best[end]:
+                best[end], came[end] = rank, start
+    return _way(came)
 
 
 def group_cues(lines: DataFrame, max_lines: int = 2, pause: float = 0.7) -> DataFrame:

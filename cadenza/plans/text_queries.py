@@ -201,7 +201,7 @@ def mp(spark, sf):
     return table(spark, sf, "events").select("event_id", both["kind"].alias("kind"), both["lang"].alias("lang"), F.size(both).alias("n_keys"))
 
 
-@query("ag11_join_words", f"""WITH {LN}, w AS (SELECT rec, ix, regexp_replace(line, '([.,!?])', ' \\1', 'g') AS spaced FROM ln) SELECT rec, ix, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(spaced, ' +', ' ', 'g'), ' ([.,!?]+)', '\\1', 'g'), ' '), lambda x: x <> ''), ' ') AS text FROM w WHERE NOT regexp_matches(line, '[^a-zA-Z,. ]') AND NOT regexp_matches(line, '[.,] *[.,]') AND NOT regexp_matches(line, '[.,][a-zA-Z]|^ *[.,]')""")
+@query("ag11_join_words", f"""WITH {LN}, w AS (SELECT rec, ix, line, regexp_replace(line, '([.,!?])', ' \\1', 'g') AS spaced FROM ln) SELECT rec, ix, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(spaced, ' +', ' ', 'g'), ' ([.,!?]+)', '\\1', 'g'), ' '), lambda x: x <> ''), ' ') AS text FROM w WHERE NOT regexp_matches(line, '[^a-zA-Z,. ]') AND NOT regexp_matches(line, '[.,] *[.,]') AND NOT regexp_matches(line, '[.,][a-zA-Z]|^ *[.,]')""")
 def ag11(spark, sf):
     rows = lines(spark, sf).where(~F.col("line").rlike(r"[^a-zA-Z,. ]") & ~F.col("line").rlike(r"[.,] *[.,]") & ~F.col("line").rlike(r"[.,][a-zA-Z]|^ *[.,]"))
     words = F.filter(F.split(F.regexp_replace("line", r"([.,])", " $1"), " "), lambda x: x != "")
@@ -278,7 +278,7 @@ def st18(spark, sf):
 @query("ud3_similarity")
 def ud3(spark, sf):
     """Each line against the next: similar ones could share their timing."""
-    rows = lines(spark, sf).withColumn("following", F.lead("line").over(in_order())).where("following is not null and length(line) < 400 and length(following) < 400")
+    rows = lines(spark, sf).withColumn("following", F.lead("line").over(in_order())).where("following is not null and length(line) < 200 and length(following) < 200")
     return rows.select("rec", "ix", layout.similarity("line", "following").alias("ratio"), layout.anchors("line", "following").alias("anchors"))
 
 
