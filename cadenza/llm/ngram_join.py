@@ -43,9 +43,9 @@ LARGEST_BOUNDARY = 96
 #: Cost of a verification in posted signatures.
 VERIFY_COST = 4
 #: Shingles counted together when very frequent ones are looked for, sets of a block that must share one, sets in all, and how many are kept.
-BLOCK_SHINGLES, LOCAL_SETS, FREQUENT_SETS, FREQUENT = 1 << 21, 3, 48, 1 << 17
+BLOCK_SHINGLES, LOCAL_SETS, FREQUENT_SETS, FREQUENT = 1 << 20, 3, 48, 1 << 17
 #: Rounds of stars at most, and the pairs a list row may give, in the mean, before stars come first.
-STARS, PAIRS_PER_ROW = 3, 2
+STARS, PAIRS_PER_ROW = 2, 2
 #: Sets of up to so many shingles have bitmaps of under 256 bits.
 SKETCHED = 32
 #: Bytes of text that are hashed at once.
@@ -234,6 +234,7 @@ def _sets(docs: DataFrame, threshold: int) -> DataFrame:
                     block, seen, held = [], set(), 0
             yield _record(rows, names, fields)
         yield _record(frequent(block), names, fields)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, fields)
 
@@ -267,6 +268,7 @@ def _live(docs: DataFrame, boundary: int, frequent: np.ndarray, threshold: int)
             token, rest = token[new], [x[new] for x in rest]
             deal = np.where(np.isin(token, known.value), mix(token ^ rest[0].view(np.uint64)), token).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), *rest, deal)], [*names, "deal"])
+        pa.default_memory_pool().release_unused()
 
     def shared_only(batches):
         """From rows in order of token and key: one per class, of lists with two classes or more."""
@@ -288,6 +290,7 @@ def _live(docs: DataFrame, boundary: int, frequent: np.ndarray, threshold: int)
             held = [x[-1:] for x in cols], bool(before[-1])
         if held is not None and (held[1] or held[0][0] != held[0][4]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0][:4]], names)
+        pa.default_memory_pool().release_unused()
 
     posted = docs.mapInArrow(post, fields + ", deal long")
     return posted.repartition("deal").sortWithinPartitions("token", "key").mapInArrow(shared_only, fields)
@@ -334,6 +337,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold:
                 if 100 * both >= threshold * (len(x) + len(y) - both):
                     rows.append((a, b))
             yield _record(rows, ["a", "b"], fields)
+        pa.default_memory_pool().release_unused()
 
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")

@@ -19,6 +19,7 @@ no rows; only the named id and text columns are read, so that other columns can'
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -36,7 +37,11 @@ TIERS = (4096, 2048, 1024)
 END_ID = 2
 #: Tokens that are packed together, characters that are tokenised together, tokens of a training step.
 GROUP_TOKENS, BATCH_CHARS, STEP_TOKENS = 1 << 21, 1 << 22, 1 << 16
-WORDS_AT_ONCE = 20_000
+#: Words that are encoded in one call, and pieces that a task remembers.
+WORDS_AT_ONCE, REMEMBERED = 2_000, 1_000_000
+
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*%&$#]*)").fullmatch
+_WORD = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 
 
 def load_tokenizer(path: str | None = None):
@@ -50,28 +55,66 @@ def load_tokenizer(path: str | None = None):
     return Tokenizer.from_file(path)
 
 
-def token_ids(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts in one vector, and how many each text has.
+class Encoder:
+    """Token ids of texts, each different word encoded once.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so that a text's ids are those of its pieces
-    between ASCII white space, one after the other; each different piece is encoded once.
+    between ASCII white space, one after the other. A piece of letters and the marks behind it is two pre-tokens, again encoded apart;
+    these letters have no combining forms, so that their case may be folded first. Other pieces are encoded as they are. Words are
+    remembered over batches, up to `REMEMBERED`.
     """
-    pieces = pc.ascii_split_whitespace(texts)
-    coded = pc.list_flatten(pieces).dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    found, lengths = [np.zeros(0, np.uint16)], np.zeros(len(words), np.int64)
-    for at in range(0, len(words), WORDS_AT_ONCE):
-        ids = [x.ids for x in encode(words[at : at + WORDS_AT_ONCE], add_special_tokens=False)]
-        lengths[at : at + len(ids)] = [len(x) for x in ids]
-        found.append(np.fromiter((i for x in ids for i in x), np.uint32))
-    vocabulary, first = np.concatenate(found).astype(np.uint32), np.cumsum(lengths) - lengths
-    counts = lengths[codes]
-    ends = np.cumsum(counts)
-    flat = vocabulary[np.repeat(first[codes] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
-    last = np.asarray(pieces.offsets)
-    ends = np.concatenate([[0], ends])
-    return flat, np.diff(ends[last - last[0]])
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.lengths = {"": 0}, [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.pieces: dict[str, int] = {}  # to rows of pairs: the word and the marks behind it
+        self.pairs = np.zeros((0, 2), np.int64)
+
+    def learn(self, words: list[str], whole: list[str]) -> None:
+        """``words`` are one pre-token each, whose last id ends a word; ``whole`` may be any pieces."""
+        self.known.update(zip([*words, *whole], range(len(self.known), len(self.known) + len(words) + len(whole)), strict=True))
+        parts = [" ".join(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+        for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False):
+            ids = np.array(x.ids, np.uint32)
+            self.ids.append(ids)
+            self.lengths.append(np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        for at in range(0, len(whole), WORDS_AT_ONCE):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(whole[at : at + WORDS_AT_ONCE], add_special_tokens=False)]
+            self.lengths.append(np.array([len(x) for x in found], np.int64))
+            self.ids.append(np.fromiter((i for x in found for i in x), np.uint32))
+        self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
+        assert len(self.lengths[0]) == len(self.known)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one vector, and how many each text has."""
+        if len(self.pieces) > REMEMBERED:
+            self.forget()
+        pieces = pc.ascii_split_whitespace(texts)
+        coded = pc.list_flatten(pieces).dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        unseen = [w for w in different if w not in self.pieces]
+        split = [(m[1].lower(), m[2]) if m else (w, "") for w, m in zip(unseen, map(_PLAIN, unseen), strict=True)]
+        known = self.known
+        new = dict.fromkeys(part for pair in split for part in pair if part not in known)
+        words = [w for w in new if _WORD(w)]
+        self.learn(words, [w for w in new if not _WORD(w)])
+        self.pieces.update(zip(unseen, range(len(self.pairs), len(self.pairs) + len(unseen)), strict=True))
+        made = np.fromiter((known[part] for pair in split for part in pair), np.int64, 2 * len(split)).reshape(-1, 2)
+        self.pairs = np.concatenate([self.pairs, made])
+        rows = np.fromiter(map(self.pieces.__getitem__, different), np.int64, len(different))
+        codes = self.pairs[rows[coded.indices.to_numpy(zero_copy_only=False)]].ravel()
+        vocabulary, lengths = self.ids[0], self.lengths[0]
+        first, counts = (np.cumsum(lengths) - lengths)[codes], lengths[codes]
+        ends = np.cumsum(counts)
+        flat = vocabulary[np.repeat(first - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.asarray(pieces.offsets)
+        return flat, np.diff(np.concatenate([[0], ends])[2 * (last - last[0])])
 
 
 class Pool:
@@ -182,7 +225,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers:
         return pa.RecordBatch.from_arrays(arrays, names[: len(arrays)]), number + len(sequences)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, number = load_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
+        encode, number = Encoder(load_tokenizer(tokenizer_path)), TaskContext.get().partitionId() << 32
         ids, tokens, held = [], [], 0
         for batch in batches:
             texts = batch.column(1)
@@ -190,7 +233,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers:
             at = 0
             while at < len(texts):
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, "right")))
-                flat, counts = token_ids(texts[at:end], tokenizer)
+                flat, counts = encode(texts[at:end])
                 ends = np.cumsum(counts)
                 for doc, stop, n in zip(batch.column(0)[at:end].to_pylist(), ends.tolist(), counts.tolist(), strict=True):
                     ids.append(doc)

@@ -89,21 +89,32 @@ def _batch(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64, copy=False)) for c in cols], names)
 
 
-_RUN = ["gram", "span", "did", "lo", "hi", "kind", "deal"]
+# A row's place: first window, how many follow it in the run, and kind, in one number (the run's length is under 256).
+_RUN = ["gram", "span", "did", "place"]
+_WINDOW = ["window", "did", "place"]
 _MARK = ["did", "lo", "hi", "kind"]
+_KIND = "place & 3"
 _LONGS = lambda names: ", ".join(f"{n} long" for n in names)
 
 
+def _place(lo: np.ndarray, hi: np.ndarray, kind) -> np.ndarray:
+    return lo << 10 | (hi - lo) << 2 | kind
+
+
+def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lo = place >> 10
+    return lo, lo + (place >> 2 & 255), place & 3
+
+
 def _combine_runs(gram, span, did, lo, hi) -> pa.RecordBatch:
     order = np.lexsort((lo, did, span, gram))
     gram, span, did, lo, hi = (x[order] for x in (gram, span, did, lo, hi))
     new = _changes(gram, span)
     group = np.cumsum(_changes(gram)) - 1
     many = (np.bincount(group, new) > RANGES)[group]
-    kind = np.where(new, np.where(many, OPEN, FIRST), REPEAT)
-    deal = np.where(kind == FIRST, gram, mix(did.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ lo.view(np.uint64)))
+    place = _place(lo, hi, np.where(new, np.where(many, OPEN, FIRST), REPEAT))
     says = many & _changes(gram)  # one row a group that says that it has many ranges
-    cols = [np.concatenate([x, y]) for x, y in ((gram, gram[says]), (span, span[says]), (did, did[says]), (lo, lo[says]), (hi, hi[says]), (kind, np.full(says.sum(), MANY)), (deal, gram[says]))]
+    cols = [np.concatenate([x, y]) for x, y in ((gram, gram[says]), (span, span[says]), (did, did[says]), (place, place[says] & ~3 | MANY))]
     return _batch(_RUN, *cols)
 
 
@@ -142,7 +153,8 @@ def _marks(docs: DataFrame, depth: int, gram: int) -> DataFrame:
             yield _combine_runs(*(np.concatenate(c) for c in zip(*kept, strict=True)))
 
     def sort_out(batches):
-        for gram, span, did, lo, hi, kind, _ in _whole_groups(batches, 7):
+        for gram, span, did, place in _whole_groups(batches, 4):
+            lo, hi, kind = _unplace(place)
             mine = kind <= MANY
             g, s, first = gram[mine], span[mine], kind[mine] == FIRST
             passed = [x[~mine] for x in (did, lo, hi, kind)]
@@ -155,22 +167,19 @@ def _marks(docs: DataFrame, depth: int, gram: int) -> DataFrame:
                 passed = [np.concatenate([p, x]) for p, x in zip(passed, (did[mine][keep], lo[mine][keep], hi[mine][keep], out[keep]), strict=True)]
             yield _batch(_MARK, *passed)
 
-    sent = docs.mapInArrow(send, _LONGS(_RUN)).repartition("deal")
-    return sent.sortWithinPartitions("gram", "kind", "span", "did", "lo").mapInArrow(sort_out, _LONGS(_MARK))
+    sent = docs.mapInArrow(send, _LONGS(_RUN)).repartition(F.expr(f"if({_KIND} <= {MANY}, gram, xxhash64(did, place))"))
+    return sent.sortWithinPartitions("gram", F.expr(_KIND), "span", "did", "place").mapInArrow(sort_out, _LONGS(_MARK))
 
 
 def _open_windows(docs: DataFrame, marks: DataFrame, depth: int) -> DataFrame:
     """Pass 3: (did, lo, hi) of windows, in open runs, that begin earlier too; lo and hi are equal."""
     todo = written(marks.where(f"kind = {OPEN}").groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
-    names = ["window", "did", "lo", "known", "deal"]
 
     def combine(kept):
         window, did, lo = (np.concatenate(c) for c in zip(*kept, strict=True))
         order = np.lexsort((lo, did, window))
         window, did, lo = window[order], did[order], lo[order]
-        new = _changes(window)
-        deal = np.where(new, window, mix(did.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ lo.view(np.uint64)))
-        return _batch(names, window, did, lo, ~new, deal)
+        return _batch(_WINDOW, window, did, _place(lo, lo, np.where(_changes(window), FIRST, REPEAT)))
 
     def send(batches):
         kept, n = [], 0
@@ -193,15 +202,17 @@ def _open_windows(docs: DataFrame, marks: DataFrame, depth: int) -> DataFrame:
             yield combine(kept)
 
     def sort_out(batches):
-        for window, did, lo, known, _ in _whole_groups(batches, 5):
-            fresh = known == 0
-            again = ~fresh
-            again[fresh] = ~_changes(window[fresh]) if fresh.any() else False
+        for window, did, place in _whole_groups(batches, 3):
+            lo, _, kind = _unplace(place)
+            again = kind == REPEAT
+            fresh = ~again
+            if fresh.any():
+                again[fresh] = ~_changes(window[fresh])
             yield _batch(["did", "lo", "hi"], did[again], lo[again], lo[again])
 
     opened = docs.join(todo, "did").select("did", "body", "runs")
-    sent = opened.mapInArrow(send, _LONGS(names)).repartition("deal")
-    return sent.sortWithinPartitions("window", "known", "did", "lo").mapInArrow(sort_out, _LONGS(["did", "lo", "hi"]))
+    sent = opened.mapInArrow(send, _LONGS(_WINDOW)).repartition(F.expr(f"if({_KIND} = {FIRST}, window, xxhash64(did, place))"))
+    return sent.sortWithinPartitions("window", F.expr(_KIND), "did", "place").mapInArrow(sort_out, _LONGS(["did", "lo", "hi"]))
 
 
 def _merged(spans, depth: int) -> list[tuple[int, int]]:

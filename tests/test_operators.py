@@ -93,7 +93,7 @@ def test_boundary_repeats_are_dropped(spark):
 def test_malformed_blocks_are_kept(spark):
     files = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,000\nhi\n\nx\nbad\ntext\n")], "rec long, text string")
     cues = subtitles.parse_srt(files)
-    assert [(r.index, r.tick_start) for r in cues.orderBy("ix").collect()] == [(1, 1000), (None, None)]
+    assert [(r["index"], r.tick_start) for r in cues.orderBy("ix").collect()] == [(1, 1000), (None, None)]
     assert {r.rule for r in subtitles.violations(cues).where("ix = 1").collect()} >= {"numbering", "interval"}
 
 
