@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> dict:
     made = chosen.mapInArrow(features, f"`{id_col}` {kind}, words array<long>, layout array<double>, bins array<int>, {types}")
     rows = sorted(made.dropDuplicates([id_col]).collect(), key=lambda r: r[id_col])  # bounded: LABELLED + POOL documents
     words = _vocabulary(rows)
-    shape = np.array([r["layout"] for r in rows]).reshape(len(rows), -1)
+    shape = np.array([r["layout"] for r in rows])
     model = {"words": {w: k for k, w in enumerate(words)}, "mean": shape.mean(0) if len(rows) else 0, "std": shape.std(0) + 1e-6 if len(rows) else 1}
     views = [_content_view([r["words"] for r in rows], model), _meta_view(shape, [r["bins"] for r in rows], model)] if rows else []
     for label in LABELS:
