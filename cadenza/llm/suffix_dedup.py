@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import table, written
@@ -226,14 +226,15 @@ def _merged(spans, depth: int) -> list[tuple[int, int]]:
     return out
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did, body and the document's columns; did orders the documents and is the id where ids are whole numbers and unique."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """did, body and the document's columns, and its id; did orders the documents and is the id where ids are whole numbers and unique."""
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     repeated = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1))
     if docs.schema[id_col].dataType.simpleString() in ("int", "bigint", "smallint", "tinyint") and repeated.isEmpty():
-        return docs.select(F.col(id_col).cast("long").alias("did"), body.alias("body"), F.struct(*docs.columns).alias("doc"))
+        did = F.coalesce(F.col(id_col).cast("long"), F.lit(0))  # none is null; said so, both joins read one exchange of the texts
+        return docs.select(did.alias("did"), body.alias("body"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc")), F.col("did").cast(docs.schema[id_col].dataType)
     ordered = docs.sort(F.col(id_col).asc_nulls_last(), text_col).withColumn("_did", F.monotonically_increasing_id())
-    return written(ordered).select(F.col("_did").alias("did"), body.alias("body"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    return written(ordered).select(F.col("_did").alias("did"), body.alias("body"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc")), F.col(f"doc.`{id_col}`")
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -241,14 +242,14 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     marks = written(_marks(docs.select("did", "body"), depth, gram))
     windows = _open_windows(docs.select("did", "body"), marks, depth)
     spans = marks.where(f"kind = {REPEAT}").select("did", "lo", "hi").unionByName(windows)
-    return written(spans.groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    return spans.groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    numbered = _numbered(docs.select(id_col, text_col), id_col, text_col)
+    numbered, key = _numbered(docs.select(id_col, text_col), id_col, text_col)
     spans = repeats(numbered, depth)
-    joined = numbered.select(F.col(f"doc.{id_col}").alias("key"), "body", "did").join(spans, "did", "left").select("key", "body", "spans")
+    joined = numbered.join(spans, "did", "left").select(key.alias("key"), "body", "spans")
 
     def make(batches):
         for batch in batches:
@@ -275,14 +276,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     Characters that a cut leaves in part are left out.
     """
-    numbered = _numbered(docs, id_col, text_col)
-    joined = numbered.join(repeats(numbered, depth), "did", "left")
+    numbered, _ = _numbered(docs, id_col, text_col)
+    text = F.col(f"doc.`{text_col}`")
+    joined = numbered.select("did", "doc").join(repeats(numbered, depth), "did", "left")
 
     @F.pandas_udf("string")
     def remaining(bodies, spans):
         return bodies.combine(spans, lambda body, found: cut(body, None if found is None else [{"lo": x["lo"], "hi": x["hi"]} for x in found], depth)[2].decode("utf-8", "ignore"))
 
-    kept = joined.withColumn("kept", F.when(F.col("spans").isNull(), F.col(f"doc.{text_col}")).otherwise(remaining("body", "spans")))
+    kept = joined.withColumn("kept", F.when(F.col("spans").isNull(), text).otherwise(remaining(text.cast("binary"), "spans")))
     kept = kept.where(F.col("spans").isNull() | (F.trim(F.regexp_replace("kept", r"\s+", " ")) != ""))
     return kept.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
