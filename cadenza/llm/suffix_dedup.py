@@ -284,7 +284,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     def remaining(bodies, spans):
         return bodies.combine(spans, lambda body, found: cut(body, None if found is None else [{"lo": x["lo"], "hi": x["hi"]} for x in found], depth)[2].decode("utf-8", "ignore"))
 
-    kept = joined.withColumn("kept", F.when(F.col("spans").isNull(), text).otherwise(remaining(text.cast("binary"), "spans")))
+    kept = joined.withColumn("kept", F.when(F.col("spans").isNull(), text).otherwise(remaining(F.coalesce(text, F.lit("")).cast("binary"), "spans")))
     kept = kept.where(F.col("spans").isNull() | (F.trim(F.regexp_replace("kept", r"\s+", " ")) != ""))
     return kept.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
