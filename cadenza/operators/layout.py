@@ -78,24 +78,22 @@ def compact(text: str) -> str:
     return "".join(c for c in text.casefold().replace("ё", "е") if c.isalnum())
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching characters, in longest matching blocks, of the compact forms."""
-    return pd.Series([SequenceMatcher(None, compact(x or ""), compact(y or ""), autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+_POINTS = T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])))
-def anchors(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Both ends of every matching block, and of the texts."""
+@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("anchors", _POINTS)]))
+def alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Of the compact forms: ratio, the share of characters in longest matching blocks; anchors, the ends of all blocks and of the texts."""
 
-    def points(x: str, y: str) -> list[dict]:
+    def align(x: str, y: str) -> tuple[float, list[dict]]:
         x, y = compact(x or ""), compact(y or "")
+        matcher = SequenceMatcher(None, x, y, autojunk=False)
         found = {(0, 0), (len(x), len(y))}
-        for block in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
+        for block in matcher.get_matching_blocks():
             found |= {(block.a, block.b), (block.a + block.size, block.b + block.size)}
-        return [{"x": i, "y": j} for i, j in sorted(found)]
+        return matcher.ratio(), [{"x": i, "y": j} for i, j in sorted(found)]
 
-    return pd.Series([points(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.DataFrame([align(x, y) for x, y in zip(a, b, strict=True)], columns=["ratio", "anchors"])
 
 
 def join_units(words: list[str]) -> str:

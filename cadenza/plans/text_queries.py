@@ -278,8 +278,8 @@ def st18(spark, sf):
 @query("ud3_similarity")
 def ud3(spark, sf):
     """Each line against the next: similar ones could share their timing."""
-    rows = lines(spark, sf).withColumn("following", F.lead("line").over(in_order())).where("following is not null and length(line) < 200 and length(following) < 200")
-    return rows.select("rec", "ix", layout.similarity("line", "following").alias("ratio"), layout.anchors("line", "following").alias("anchors"))
+    rows = lines(spark, sf).withColumn("following", F.lead("line").over(in_order())).where("following is not null")
+    return rows.select("rec", "ix", layout.alignment("line", "following").alias("found")).select("rec", "ix", "found.ratio", "found.anchors")
 
 
 @query("ag10_pairwise_mean", "WITH e AS (SELECT user_id AS rec, list(value ORDER BY ts, event_id)[1:3] AS v FROM events GROUP BY user_id) SELECT rec, CASE len(v) WHEN 1 THEN v[1] WHEN 2 THEN (v[1] + v[2]) / 2 ELSE ((v[1] + v[2]) / 2 + v[3]) / 2 END AS probability FROM e")
