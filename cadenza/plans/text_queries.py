@@ -208,6 +208,13 @@ def ag11(spark, sf):
     return rows.select("rec", "ix", t.join_words(words).alias("text"))
 
 
+@query("ag11_join_all_words")
+def ag11_all(spark, sf):
+    """Every line's words, with the closing marks at their ends as words of their own, joined again. The query above has SQL, which asks for plain lines only."""
+    apart = F.regexp_replace("line", r"(?<=\S)(?<![.,!?;:%…)\]}»”])([.,!?;:%…)\]}»”]+)(?=\s|$)", " $1")
+    return lines(spark, sf).select("rec", "ix", t.join_words(F.filter(F.split(apart, r"\s+"), lambda x: x != "")).alias("text"))
+
+
 def _words(spark, sf):
     """Lines' words as timed words: half a second each."""
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("rec"), F.posexplode(F.filter(F.split(F.substring("text", 1, 1 << 30), r"\s+"), lambda x: x != "")).alias("ix", "text"))
@@ -288,6 +295,13 @@ def ag10(spark, sf):
     return rows.select("rec", layout.merge_probability(F.transform(F.slice("v", 1, 3), lambda x: x["value"])).alias("probability"))
 
 
+@query("ag10_pairwise_mean_all")
+def ag10_all(spark, sf):
+    """Over all of a user's values in order. The query above has SQL, which folds the first three only."""
+    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("rec")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
+    return rows.select("rec", layout.merge_probability(F.transform("v", lambda x: x["value"])).alias("probability"))
+
+
 @query("ag7_language", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), d AS (SELECT DISTINCT source, lang FROM documents) SELECT source, arg_max(lang, (n, lang)) AS main, (SELECT string_agg(lang, ',' ORDER BY lang) FROM d WHERE d.source = c.source) AS langs FROM (SELECT source, lang, n * 1000 - ascii(lang) AS n FROM c) c GROUP BY source")
 def ag7(spark, sf):
     """Most frequent language, the first by name on a tie, and all of them in order."""

@@ -1,6 +1,7 @@
 """Queries that once took less than the whole of their input, on small tables of their own."""
 
 import random
+from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
 from cadenza.operators.layout import compact
@@ -17,3 +18,26 @@ def test_similarity_of_long_lines(spark, tmp_path):
         matcher = SequenceMatcher(None, compact(a), compact(b), autojunk=False)
         points = {(0, 0), (len(compact(a)), len(compact(b)))} | {p for m in matcher.get_matching_blocks() for p in ((m.a, m.b), (m.a + m.size, m.b + m.size))}
         assert found[1, k].ratio == matcher.ratio() and found[1, k].anchors == sorted(points)
+
+
+def test_join_words_of_any_line(spark, tmp_path):
+    text = "Wait , what ?! (yes)\n  Das kostet 3.5 % : «gut» …\n\n»Ja” ; nein !\n. , [a] 50%\nplain words, here."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.ix: r.text for r in registry.QUERIES["ag11_join_all_words"](spark, str(tmp_path)).collect()}
+    assert found == dict(enumerate(["Wait, what?! (yes)", "Das kostet 3.5%: «gut»…", "»Ja”; nein!", "., [a] 50%", "plain words, here."]))
+
+
+def events(spark, tmp_path, made):
+    rows = [(k, datetime(2024, 1, 1) + timedelta(minutes=at), user, "x", value, "{}") for k, (user, at, value) in enumerate(made)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+
+
+def test_pairwise_mean_of_long_chains(spark, tmp_path):
+    rng = random.Random(6)
+    made = [(k % 7 % 4, rng.randrange(500), rng.random()) for k in range(60)] + [(9, 3, 0.5), (9, 4, None), (9, 5, 1.0)]
+    events(spark, tmp_path, made)
+    wanted = {}
+    for _, _, user, value in sorted((at, k, user, value) for k, (user, at, value) in enumerate(made)):
+        before = wanted.get(user)
+        wanted[user] = value if before is None else before if value is None else (before + value) / 2
+    assert {r.rec: r.probability for r in registry.QUERIES["ag10_pairwise_mean_all"](spark, str(tmp_path)).collect()} == wanted
