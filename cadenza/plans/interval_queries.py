@@ -263,6 +263,22 @@ def jn8(spark, sf):
     return held.groupBy("rec", F.col("at").alias("ix")).agg(F.min(F.col("ix")).alias("holder"))
 
 
+@query("jn8_point_in_any_interval")
+def jn8_all(spark, sf):
+    """Every row's end to the first of all intervals that holds it, or null. The query above has SQL, which asks for every tenth row's neighbourhood.
+
+    Rows are in order of their starts, so that the first row that ends later than a point holds it or nobody does; the first row that
+    ends later is one that ends later than all before it. These and the points are put in one order, and each point sees the next.
+    """
+    rows = intervals(spark, sf).select("rec", "ix", "start", "end")
+    longest = rows.withColumn("before", F.max("end").over(iv.before(iv.in_order()))).where("end is not null and (before is null or end > before)")
+    longest = longest.select("rec", F.col("end").alias("at"), F.lit(0).alias("point"), F.lit(None).cast("long").alias("ix"), F.struct("ix", "start").alias("next"))
+    both = rows.select("rec", F.col("end").alias("at"), F.lit(1).alias("point"), "ix", F.lit(None).cast(longest.schema["next"].dataType).alias("next")).unionByName(longest)
+    onward = F.first("next", ignorenulls=True).over(iv.onward(Window.partitionBy("rec").orderBy("at", "point")))
+    held = both.withColumn("next", onward).where("point = 1")
+    return held.select("rec", "ix", F.when(F.col("at") >= F.col("next.start"), F.col("next.ix")).alias("holder"))
+
+
 @query("pf1_valid_intervals", f'WITH {IV} SELECT rec, count(*) FILTER (start >= 0 AND "end" > start) AS n_valid, count(*) AS n_rows FROM iv GROUP BY rec')
 def pf1(spark, sf):
     ok = n.valid_interval(F.col("start").cast("double"), F.col("end").cast("double"))

@@ -41,3 +41,14 @@ def test_pairwise_mean_of_long_chains(spark, tmp_path):
         before = wanted.get(user)
         wanted[user] = value if before is None else before if value is None else (before + value) / 2
     assert {r.rec: r.probability for r in registry.QUERIES["ag10_pairwise_mean_all"](spark, str(tmp_path)).collect()} == wanted
+
+
+def test_every_point_finds_its_first_holder(spark, tmp_path):
+    rng = random.Random(7)
+    made = [(k % 3, rng.randrange(3000), rng.choice((1.0, 5.0, 20.0, 300.0))) for k in range(300)] + [(5, 0, 1e4), *((5, k, 1.0) for k in range(1, 60)), (6, 0, 2.0), (6, 1, 1.0), (6, 2, 1.0)]
+    events(spark, tmp_path, made)
+    by = {}
+    for at, _, user, value in sorted((at, k, user, value) for k, (user, at, value) in enumerate(made)):
+        by.setdefault(user, []).append((at, at + value))
+    wanted = {(u, k): next((j for j, (a, b) in enumerate(own) if a <= p < b), None) for u, own in by.items() for k, (_, p) in enumerate(own)}
+    assert {(r.rec, r.ix): r.holder for r in registry.QUERIES["jn8_point_in_any_interval"](spark, str(tmp_path)).collect()} == wanted
