@@ -5,8 +5,8 @@ the target, and up to t it is target * (t + slope * (t^2 - t)). A document that
 t where that integral reaches u, which is a quadratic equation. Documents are then sorted by range of position.
 
 A source's documents stand in hashed order, and the mix runs through them again and again until the target is met: pass k of a
-document covers the words from k * source_size + its offset. The last document taken is cut at the target, so that every source's
-taken words equal its target, rounded down.
+document covers the words from k * source_size + its offset, and is due where the demand reaches these. The last document taken is
+cut at the target, so that every source's taken words equal its target, rounded down.
 
 A running sum over one source would put a hot source into one task. Offsets are therefore summed in two levels: buckets of each
 source's hash range first, rows within a bucket second.
@@ -55,8 +55,8 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES
     return ranked.select("no_source", "source_key", "source_size", "slope", F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 
 
-def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per document: id, size, source_size, target, taken, copies (passes that take from it) and position (of the first, or null)."""
+def passes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Per document: id, size, source_size, target and passes, an array of (position, words taken) of those that take from it."""
     sizes = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"),
         word_count(F.col(text_col)).alias("size"), hex_int(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8).alias("h"),
@@ -71,25 +71,45 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     offsets = offsets.join(sources, key)
     rows = Window.partitionBy(*key, "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     due = sizes.join(offsets, [*key, "bucket"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(rows), F.lit(0)))
-    budget = F.floor("target")
-    took = [F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("start") - k * F.col("source_size"))) for k in range(max_epochs)]
-    u, a = F.col("start") / F.col("target"), F.col("slope")
-    position = 2 * u / ((1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * u))
-    return due.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", sum(took[1:], took[0]).alias("taken"),
-        sum([(x > 0).cast("int") for x in took[1:]], (took[0] > 0).cast("int")).alias("copies"),
-        F.when(took[0] > 0, position).alias("position"),
-    )
+
+    def one(k: int) -> Column:
+        start = F.col("start") + k * F.col("source_size")
+        u, a = start / F.col("target"), F.col("slope")
+        position = 2 * u / ((1 - a) + F.sqrt((1 - a) * (1 - a) + 4 * a * u))
+        return F.struct(position.alias("position"), F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long").alias("words"))
+
+    taken = F.filter(F.array(*[one(k) for k in range(max_epochs)]), lambda x: x["words"] > 0)
+    return due.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("passes"))
+
+
+def schedule(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """Per document: id, size, source_size, target, taken, copies (passes that take from it) and position (of the first, or null)."""
+    made, own = passes(docs, id_col, **how), F.col("passes")
+    taken = F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
+    return made.select(id_col, "size", "source_size", "target", taken.alias("taken"), F.size(own).alias("copies"), F.get(own, F.lit(0))["position"].alias("position"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word; whole if it has no more."""
+    body = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")
+    parts = F.split(body, r"[\x20\x09-\x0D]+", n + 1)
+    kept = F.substring(body, F.lit(1), F.length(body) - F.length(F.element_at(parts, -1)))
+    return F.when(F.size(parts) > n, F.regexp_replace(kept, r"[\x20\x09-\x0D]+\z", "")).otherwise(text)
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: every document as often as the schedule takes it, in order of its position; columns as they were.
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The mix itself: every document as often as the schedule takes it, each pass at its own position; columns as they were.
 
-    Rows whose id is null or repeated can't be told apart by the schedule and are taken as one of them is.
+    Of a source's last document, the text is cut after the words taken. Rows whose id is null or repeated can't be told apart by the
+    schedule and are taken as the one of them is that is taken most often.
     """
-    plan = schedule(docs, id_col, **how).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"), F.min("position").alias("_position"))
-    mixed = docs.join(plan.where("_copies > 0"), docs[id_col].eqNullSafe(plan["_id"]))
-    return mixed.select(*[docs[c] for c in docs.columns], "_position", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).sort("_position", "_copy").select(*docs.columns)
+    made = passes(docs, id_col, text_col=text_col, **how).where(F.size("passes") > 0)
+    last = F.element_at("passes", -1)["words"]
+    marked = F.transform("passes", lambda x, k: F.struct(x["position"].alias("position"), k.alias("copy"), F.when((k == F.size("passes") - 1) & (last < F.col("size")), last.cast("int")).alias("cut")))
+    plan = made.select(F.col(id_col).alias("_id"), marked.alias("_passes")).groupBy("_id").agg(F.max_by("_passes", F.struct(F.size("_passes"), "_passes")).alias("_passes"))
+    mixed = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"])).select(*[docs[c] for c in docs.columns], F.explode("_passes").alias("_pass"))
+    text = F.when(F.col("_pass.cut").isNull(), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_pass.cut")))
+    return mixed.withColumn(text_col, text).sort("_pass.position", "_pass.copy").select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

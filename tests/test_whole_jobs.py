@@ -1,9 +1,11 @@
 """Queries that once took less than the whole of their input, on small tables of their own."""
 
+import math
 import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
+from cadenza.llm import mixing
 from cadenza.operators.layout import compact
 from cadenza.plans import registry
 
@@ -52,3 +54,23 @@ def test_every_point_finds_its_first_holder(spark, tmp_path):
         by.setdefault(user, []).append((at, at + value))
     wanted = {(u, k): next((j for j, (a, b) in enumerate(own) if a <= p < b), None) for u, own in by.items() for k, (_, p) in enumerate(own)}
     assert {(r.rec, r.ix): r.holder for r in registry.QUERIES["jn8_point_in_any_interval"](spark, str(tmp_path)).collect()} == wanted
+
+
+def test_mix_spreads_passes_and_cuts_the_last(spark):
+    """Two sources, the second wanted three times over: its passes follow each other, and taken words equal the targets."""
+    made = [(k, " ".join(f"w{k}x{j}" for j in range(1 + k % 7)), "a") for k in range(90)] + [(k, f" \t{k}a  {k}b\n{k}c ", "b") for k in range(100, 120)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    for weights in ((1, 9), (2, 1), (3, 2)):
+        plan = {r.doc_id: r for r in mixing.passes(docs, weights=weights).collect()}
+        mix = mixing.take(docs, weights=weights).collect()
+        assert [r.doc_id for r in mix] == [d for _, _, d in sorted((x.position, k, d) for d, r in plan.items() for k, x in enumerate(r.passes))]
+        for source in "ab":
+            own = [r for r in mix if r.source == source]
+            assert sum(len(r.text.split()) for r in own) == math.floor(next(plan[r.doc_id].target for r in own))
+            ids = [r.doc_id for r in own]
+            size = len({d for d, _, s in made if s == source})
+            assert all(ids[k] == ids[k - size] for k in range(size, len(ids)))  # a pass ends before the next begins
+            whole = {d: t for d, t, _ in made}
+            assert all(r.text == whole[r.doc_id] for r in own[:-1]) and whole[ids[-1]].lstrip().startswith(own[-1].text.lstrip())
+        u = {s: sorted(x.position for r in mix for x in plan[r.doc_id].passes if r.source == s) for s in "ab"}
+        assert all(0 <= x[0] and x[-1] <= 1 for x in u.values())
