@@ -6,15 +6,17 @@ entropy that its contents have over the pages: text that differs from page to pa
 frame. Varied presentation adds a little. Branches whose nodes are all of low importance are removed from each page.
 
 Elements that are frame by their meaning - menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments - are
-branches of no importance whatever their entropy, by tag, role, or a word of their class or id. Where a page has an article (or else a
-main element) with text, what lies outside has none either. Inside an article a branch goes only if nearly every page of many has it.
+branches of no importance whatever their entropy, by tag, role, or a word of their class or id. Of hyphenated names all parts must say
+so, and none of `NEGATING` stand before them. Class words never mark an article, and where they alone would take every article, or all
+prose of a page, they don't count. Where a page has an article (or else a main element) with text, what lies outside has none either.
+Inside an article a branch goes only if nearly every page of many has it, and never if less than `LEAST_KEPT` of the text would stay.
 
-The tree's statistics are counts per host, path and content, summed before they are shuffled; a host with a third of all pages is no
+The tree's statistics are counts per host, path and content over the host's different pages: copies count once. They are summed again; a host with a third of all pages is no
 group that one task must hold. The low branches of each host are joined to its pages; few are sent to all tasks, many are met by a
 shuffle whose large partitions are split.
 
 Edge cases: null, empty and broken html give what text there is, or the empty string; pages without a host, and hosts with few pages,
-are judged by meaning alone; a page that would lose everything to statistics keeps what meaning leaves; repeated rows count as pages;
+are judged by meaning alone; a page that would lose everything to statistics keeps what meaning leaves;
 an empty table gives no rows; only the named columns are read.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +37,8 @@ from cadenza.llm.common import table, written
 LEAST, PAGES, LEAST_IN_ARTICLE, PAGES_IN_ARTICLE = 0.3, 3, 0.1, 10
 #: What presentation adds to importance.
 PRESENTATION = 0.1
+#: Share of an article's characters that statistics must leave, or else they take nothing.
+LEAST_KEPT = 1 / 3
 DEPTH = 16
 
 # HTML element names and the words of class and id attributes that mark the frame of a page.
@@ -52,38 +57,54 @@ FRAME_WORDS = frozenset(
     " pagination paywall popup promo promotion reader-comments related reply replies respond search share sharing sidebar signup skip social"
     " sponsor sponsored subscribe taboola tags toolbar topbar widget".split()
 )
+#: First parts of names that only say that a frame is there or not, and parts that say where a frame stands or what shape it has.
+NEGATING = frozenset("has with no non not without tag category cat format type status is".split())
+PLACES = frozenset(
+    "a aria article b bar block blog body bottom box btn button buttons col column container content entry fixed global group holder icons inner item items"
+    " js left links list lower main mid middle mobile outer overlay page panel post posts primary reader right row secondary section site slot sticky"
+    " sub text the top unit upper user wrap wrapper".split()
+)
+#: Elements that hold prose, and words that make a text of others prose too.
+PROSE, PROSE_WORDS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd".split()), 10
 ARTICLE, MAIN = "article", "main"
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|\Z)""", re.I)
-_WORDS = re.compile(r"[a-z]+(?:-[a-z]+)?")
+_WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 
 
 class Node:
-    __slots__ = ("tag", "path", "frame", "inside", "children")
+    """``marked``: 2 by class words, 1 by those of a branch around the article that it is in, else 0."""
+
+    __slots__ = ("tag", "path", "frame", "marked", "inside", "children")
 
-    def __init__(self, tag: str, path: str, frame: bool, inside: str):
-        self.tag, self.path, self.frame, self.inside, self.children = tag, path, frame, inside, []
+    def __init__(self, tag: str, path: str, frame: bool, marked: int, inside: str):
+        self.tag, self.path, self.frame, self.marked, self.inside, self.children = tag, path, frame, marked, inside, []
 
 
 def _is_frame(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in FRAME_TAGS or attributes.get("role", "").lower() in FRAME_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+    """By tag, role, or being hidden."""
+    return tag in FRAME_TAGS or attributes.get("role", "").lower() in FRAME_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+
+
+def _is_marked(tag: str, attributes: dict[str, str]) -> bool:
+    """By class words."""
     if tag in ("html", "body", MAIN):
         return False
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        for word in _WORDS.findall(_CAMEL.sub("-", name).lower().replace("_", "-")):
-            if word in FRAME_WORDS or any(part in FRAME_WORDS for part in word.split("-")):
-                return True
+        name = _CAMEL.sub("-", name).lower().replace("_", "-")
+        parts = _WORDS.findall(name)
+        if name in FRAME_WORDS or parts and parts[0] not in NEGATING and any(p in FRAME_WORDS for p in parts) and all(p in FRAME_WORDS or p in PLACES for p in parts):
+            return True
     return False
 
 
 def blocks(page: str) -> Iterator[tuple[Node, str]]:
     """(node, raw text) in page order; a node with children's texts comes once for each run of text of its own."""
-    root = Node("", "", False, "")
+    root = Node("", "", False, 0, "")
     stack, parts, at = [root], [], 0
 
     def flush():
@@ -127,7 +148,9 @@ def blocks(page: str) -> Iterator[tuple[Node, str]]:
         label = tag + "".join(f".{_DIGITS.sub('#', w)}" for w in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()[:4])
         path = f"{parent.path}/{label}" if len(stack) <= DEPTH else parent.path
         inside = tag if tag in (ARTICLE, MAIN) and parent.inside != ARTICLE else MAIN if attributes.get("role") == "main" and not parent.inside else parent.inside
-        node = Node(tag, path, parent.frame or _is_frame(tag, attributes), inside)
+        outermost = tag == ARTICLE and parent.inside != ARTICLE
+        marked = min(parent.marked, 1) if outermost else 2 if _is_marked(tag, attributes) else parent.marked
+        node = Node(tag, path, parent.frame or _is_frame(tag, attributes), marked, inside)
         parent.children.append(label)
         if m[3].endswith("/") and tag not in RAW:
             continue
@@ -141,13 +164,23 @@ def blocks(page: str) -> Iterator[tuple[Node, str]]:
     yield from flush()
 
 
+def _has_prose(found: list[tuple[Node, str]]) -> bool:
+    return any(node.tag in PROSE for node, _ in found) or sum(len(text.split()) for _, text in found) >= PROSE_WORDS
+
+
 def by_meaning(page: str) -> list[tuple[Node, str]]:
     """The texts that no frame holds, of the articles if these have text, else of the main element, else of the page."""
     found = [(node, text) for node, text in blocks(page) if not node.frame]
-    for scope in (ARTICLE, MAIN):
-        if own := [(node, text) for node, text in found if node.inside == scope]:
+    articles = [x for x in found if x[0].inside == ARTICLE]
+    for level in (0, 1):
+        if own := [x for x in articles if x[0].marked <= level]:
             return own
-    return found
+    if _has_prose(articles):
+        return articles
+    plain = [x for x in found if not x[0].marked]
+    if not plain and _has_prose(found):
+        plain = found
+    return [x for x in plain if x[0].inside == MAIN] or plain
 
 
 def host(url: Column) -> Column:
@@ -159,23 +192,27 @@ def low_branches(pages: DataFrame) -> DataFrame:
 
     def nodes(batches):
         for batch in batches:
-            sites, paths, styles, contents, articles = [], [], [], [], []
+            sites, paths, styles, contents, articles, copies = [], [], [], [], [], []
             for site, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own: dict[str, list] = {}
                 for node, text in by_meaning(page):
                     seen = own.setdefault(node.path, [node, []])
                     seen[1].append(text)
-                for path, (node, texts) in own.items():
+                made = [(path, "/".join(node.children), "\n".join(texts), node.inside == ARTICLE) for path, (node, texts) in own.items()]
+                copy = blake2b(repr(made).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                for path, style, content, article in made:
                     sites.append(site)
                     paths.append(path)
-                    styles.append("/".join(node.children))
-                    contents.append("\n".join(texts))
-                    articles.append(node.inside == ARTICLE)
-            cols = [pa.array(c, t) for c, t in zip((sites, paths, styles, contents, articles), (pa.string(),) * 4 + (pa.bool_(),), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["site", "path", "style", "content", "article"])
-
-    made = pages.where("site != ''").mapInArrow(nodes, "site string, path string, style string, content string, article boolean")
-    made = made.select("site", "path", "article", F.xxhash64("style").alias("style"), F.xxhash64("content").alias("content"))
+                    styles.append(style)
+                    contents.append(content)
+                    articles.append(article)
+                    copies.append(int.from_bytes(copy, "big", signed=True))
+            cols = [pa.array(c, t) for c, t in zip((sites, paths, styles, contents, articles, copies), (pa.string(),) * 4 + (pa.bool_(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["site", "path", "style", "content", "article", "copy"])
+
+    made = pages.where("site != ''").mapInArrow(nodes, "site string, path string, style string, content string, article boolean, copy long")
+    made = made.select("site", "path", "article", "copy", F.xxhash64("style").alias("style"), F.xxhash64("content").alias("content"))
+    made = made.distinct()  # a page counts once, however many copies there are
     key = ["site", "path", "article"]
 
     def spread(feature: str) -> DataFrame:
@@ -193,7 +230,9 @@ def main_text(page: str, low: list[str] | None) -> str:
     kept = by_meaning(page)
     if low:
         gone = set(low)
-        kept = [x for x in kept if x[0].path not in gone] or kept
+        rest = [x for x in kept if x[0].path not in gone]
+        least = LEAST_KEPT * sum(len(text) for node, text in kept if node.inside == ARTICLE)
+        kept = rest if rest and sum(len(text) for _, text in rest) >= least else kept
     return " ".join(text for _, text in kept)
 
 

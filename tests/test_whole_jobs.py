@@ -5,7 +5,7 @@ import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
-from cadenza.llm import mixing
+from cadenza.llm import mixing, sitetree
 from cadenza.operators.layout import compact
 from cadenza.plans import registry
 
@@ -74,3 +74,26 @@ def test_mix_spreads_passes_and_cuts_the_last(spark):
             assert all(r.text == whole[r.doc_id] for r in own[:-1]) and whole[ids[-1]].lstrip().startswith(own[-1].text.lstrip())
         u = {s: sorted(x.position for r in mix for x in plan[r.doc_id].passes if r.source == s) for s in "ab"}
         assert all(0 <= x[0] and x[-1] <= 1 for x in u.values())
+
+
+def test_class_words_do_not_take_the_article():
+    def text(body):
+        return sitetree.main_text(f"<html><body>{body}</body></html>", None)
+
+    for open_, close in (("div class='content has-sidebar'", "div"), ("article class='post tag-social comment-open'", "article"), ("section id='related-work'", "section"), ("article class='share'", "article"), ("div class='no-comments with-nav'", "div"), ("div class='widget'", "div")):
+        assert text(f"<{open_}><p>One two.</p><p>Three.</p></{close}>") == "One two. Three."
+    assert text("<div class='sidebar'><article><p>Text.</p><div class='share-buttons'>Share</div></article></div><p>Else</p>") == "Text."
+    assert text("<div class='cookie-banner'>We bake</div><div id='related-posts'>More</div><div class='post-footer'>Foot</div><div class='x'>Text.</div>") == "Text."
+
+
+def test_copies_of_a_page_count_once(spark):
+    def page(body):
+        return f"<html><body><article>{body}</article></body></html>"
+
+    many = page("<p>The page that has many copies.</p><p>It says so.</p>")
+    made = [(k, "http://h/c", many) for k in range(300)]
+    made += [(1000 + k, "http://h/o", page(f"<p>Paragraph {k} of its own page.</p><p>And {k} more.</p><ul><li>Point {k}</ul>")) for k in range(12)]
+    found = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert found[0] == "The page that has many copies. It says so."
+    assert all(found[1000 + k] == f"Paragraph {k} of its own page. And {k} more. Point {k}" for k in range(12))
+    assert sitetree.main_text(page("<p>" + "Much text. " * 30 + "</p><ul><li>Point</ul>"), ["/html/body/article/p"]).startswith("Much text.")
