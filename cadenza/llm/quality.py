@@ -6,8 +6,10 @@ logistic regression is fitted on the labelled sample; in rounds, each gives the
 labels, to the other. Both are then calibrated on labelled documents kept out of the fit, and their log-odds are added, the prior
 counted once. A document is kept if it is probably good and probably not toxic; each of the two has its own pair of views.
 
-The models are fitted on at most `LABELLED` labelled and `POOL` unlabelled documents, chosen by hash of their ids. Scoring reads
-every document once, whole, and shuffles nothing.
+The models are fitted on at most `LABELLED` labelled and `POOL` unlabelled documents, chosen by hash of their ids. Of the labelled,
+each pair of a quality and a toxicity label gives all it has, the rarest first, and the others share the rest; documents weigh by how
+many of their pair they stand for, so that the priors are those of all labels. Vocabulary, layout mean and deviation, and pseudo-labels
+come from these documents only, at every size of the corpus. Scoring reads every document once, whole, and shuffles nothing.
 
 Edge cases: null texts count as empty, other nulls as values of their own; labels that are null, or whose documents disagree or are
 missing, are not used; a label with fewer than `LEAST` documents of a class rejects nothing (its score is the accepting one);
@@ -20,13 +22,15 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table
+from cadenza.llm.common import table, written
 
 #: Documents that a fit may use, words of the vocabulary, documents of the sample that a word must be in.
 LABELLED, POOL, VOCABULARY, LEAST_DOCS = 6000, 2000, 1536, 8
@@ -93,11 +97,12 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1].astype(x.dtype) + w[-1]
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS) -> dict | None:
-    """``y``: 0, 1, or -1 for unlabelled. Weights and calibration of both views, and the prior; None if a class is too small."""
+def co_train(views: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, stands_for: np.ndarray | None = None) -> dict | None:
+    """``y``: 0, 1, or -1 for unlabelled; ``stands_for``: weights, 1 each if not given. Weights and calibration of both views, and the prior; None if a class is too small."""
     known = np.flatnonzero(y >= 0)
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return None
+    many = np.ones(len(y)) if stands_for is None else stands_for
     # every HELD_OUT-th of each class
     held = np.concatenate([np.flatnonzero(y == c)[::HELD_OUT] for c in (0, 1)])
     fit = np.setdiff1d(known, held)
@@ -108,49 +113,57 @@ def co_train(views: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS) -> di
         for x, own in zip(views, taught, strict=True):
             rows = np.array(list(own))
             target = np.array(list(own.values()), float)
-            models.append(logistic(x[rows], target, np.ones(len(rows))))
+            models.append(logistic(x[rows], target, many[rows]))
         if turn == rounds or not free:
             break
         rest = np.array(sorted(free))
         for giver, taker in ((0, 1), (1, 0)):
             p = sigmoid(odds(views[giver][rest], models[giver]))
-            share = y[fit].mean()
+            share = np.average(y[fit], weights=many[fit])
             for label, sure, most in ((1, p, GIVEN * share), (0, 1 - p, GIVEN * (1 - share))):
                 order = np.argsort(-sure, kind="stable")[: max(1, round(2 * most))]
                 for r in rest[order[sure[order] >= SURE]].tolist():
                     taught[taker][r] = label
                     free.discard(r)
-    calibrated = [logistic(odds(x[held], w)[:, None].astype(np.float64), y[held].astype(float), np.ones(len(held)), 1e-4, 400) for x, w in zip(views, models, strict=True)]
-    prior = y[held].mean()
+    calibrated = [logistic(odds(x[held], w)[:, None].astype(np.float64), y[held].astype(float), many[held], 1e-4, 400) for x, w in zip(views, models, strict=True)]
+    prior = np.average(y[held], weights=many[held])
     return {"weights": models, "scale": calibrated, "prior": math.log(prior / (1 - prior))}
 
 
 def _wanted(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    """At most LABELLED + POOL ids, with labels or nulls."""
+    """At most LABELLED + POOL ids, with labels or nulls, and how many labelled documents each stands for (1 in the pool)."""
     names = list(LABELS)
     clear = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.min(c).alias(c) for c in names], *[F.max(c).alias(f"_{c}") for c in names])
     clear = clear.select(id_col, *[F.when((F.col(c) == F.col(f"_{c}")) & F.col(c).isin(0, 1), F.col(c)).alias(c) for c in names])
     ids = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    labelled = clear.join(ids, id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(LABELLED)
+    known = written(clear.join(ids, id_col, "left_semi"))
+    cells = sorted(known.groupBy(*names).count().collect(), key=lambda r: (r["count"], str(r)))  # at most nine
     pool = ids.join(clear, id_col, "left_anti").orderBy(F.xxhash64(id_col), id_col).limit(POOL)
-    return labelled.unionByName(pool.select(id_col, *[F.lit(None).cast("int").alias(c) for c in names]))
+    wanted = pool.select(id_col, *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in names], F.lit(1.0).alias("stands_for"))
+    left = LABELLED
+    for k, cell in enumerate(cells):
+        most = min(cell["count"], left // (len(cells) - k))
+        left -= most
+        own = reduce(and_, [F.col(c).eqNullSafe(F.lit(cell[c])) for c in names])
+        wanted = wanted.unionByName(known.where(own).orderBy(F.xxhash64(id_col), id_col).limit(most).withColumn("stands_for", F.lit(cell["count"] / max(1, most))))
+    return wanted
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> dict:
     """Vocabulary, scaling, and for each label what `co_train` gives."""
-    chosen = docs.join(F.broadcast(_wanted(docs, labels, id_col)), id_col).select(id_col, F.coalesce("text", F.lit("")).alias("text"), "lang", "source", *LABELS)
+    chosen = docs.join(F.broadcast(_wanted(docs, labels, id_col)), id_col).select(id_col, F.coalesce("text", F.lit("")).alias("text"), "lang", "source", *LABELS, "stands_for")
 
     def features(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             cols = [[list(content(t)) for t in texts], [layout(t) for t in texts], [bins(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]]
             kinds = [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32())]
-            names = [id_col, "words", "layout", "bins", *LABELS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], *[batch.column(4 + k) for k in range(len(LABELS))]], names)
+            names = [id_col, "words", "layout", "bins", *LABELS, "stands_for"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], *[batch.column(4 + k) for k in range(len(LABELS) + 1)]], names)
 
     kind = chosen.schema[id_col].dataType.simpleString()
     types = ", ".join(f"{c} {chosen.schema[c].dataType.simpleString()}" for c in LABELS)
-    made = chosen.mapInArrow(features, f"`{id_col}` {kind}, words array<long>, layout array<double>, bins array<int>, {types}")
+    made = chosen.mapInArrow(features, f"`{id_col}` {kind}, words array<long>, layout array<double>, bins array<int>, {types}, stands_for double")
     rows = sorted(made.dropDuplicates([id_col]).collect(), key=lambda r: r[id_col])  # bounded: LABELLED + POOL documents
     words = _vocabulary(rows)
     shape = np.array([r["layout"] for r in rows])
@@ -158,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> dict:
     views = [_content_view([r["words"] for r in rows], model), _meta_view(shape, [r["bins"] for r in rows], model)] if rows else []
     for label in LABELS:
         y = np.array([-1 if r[label] is None else r[label] for r in rows])
-        model[label] = co_train(views, y) if rows else None
+        model[label] = co_train(views, y, stands_for=np.array([r["stands_for"] for r in rows])) if rows else None
     return model
 
 

@@ -5,7 +5,9 @@ import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
-from cadenza.llm import mixing, sitetree
+from pyspark.sql import functions as F
+
+from cadenza.llm import mixing, quality, sitetree
 from cadenza.operators.layout import compact
 from cadenza.plans import registry
 
@@ -97,3 +99,16 @@ def test_copies_of_a_page_count_once(spark):
     assert found[0] == "The page that has many copies. It says so."
     assert all(found[1000 + k] == f"Paragraph {k} of its own page. And {k} more. Point {k}" for k in range(12))
     assert sitetree.main_text(page("<p>" + "Much text. " * 30 + "</p><ul><li>Point</ul>"), ["/html/body/article/p"]).startswith("Much text.")
+
+
+def test_rare_labels_are_all_in_the_sample(spark):
+    """15 toxic documents of 9,000, all labelled: at most 6,000 can be used."""
+    made = [(k, f"poison bile {k} " * 3 if k % 600 == 7 else f"honest words {k % 90} here", "en", "web") for k in range(9000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 600 == 7).cast("int").alias("toxic"))
+    wanted = quality._wanted(docs, labels, "doc_id").collect()
+    assert len(wanted) <= quality.LABELLED and sum(r.toxic == 1 for r in wanted) == 15
+    assert round(sum(r.stands_for for r in wanted)) == 9000
+    model = quality.fit(docs, labels)
+    assert model["toxic"] is not None
+    assert math.isclose(model["toxic"]["prior"], math.log(15 / 8985), abs_tol=0.5)
