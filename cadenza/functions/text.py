@@ -10,6 +10,7 @@ CLOSING = ".,!?;:%…)]}»”"
 OPENING = "([{«“"
 AMBIGUOUS_QUOTES = "\"'’"
 TERMINAL = ".!?…"
+GUARD = "\u2060"
 HYPHEN_PARTICLES = ("то", "либо", "нибудь", "ка", "таки", "де", "с")
 
 SENTENCE_END = r"[.!?…][\"'»”’)]*$"
@@ -87,12 +88,18 @@ def vtt_unescape(text: Column) -> Column:
 
 
 def ass_escape(text: Column) -> Column:
-    """Backslashes and braces after a word joiner guard, which is doubled first; line breaks as \\N."""
-    guard = "⁠"
-    out = F.replace(text, F.lit(guard), F.lit(guard * 2))
-    for mark in ("\\", "{", "}"):
-        out = F.replace(out, F.lit(mark), F.lit(guard + mark))
-    return F.replace(out, F.lit("\n"), F.lit("\\N"))
+    """A backslash is followed by a guard (the word joiner, which is doubled itself), braces come after a backslash, line breaks are \\N."""
+    out = F.regexp_replace(F.replace(text, F.lit(GUARD), F.lit(GUARD * 2)), r"\r\n?", "\n")
+    for mark, escaped in (("\\", "\\" + GUARD), ("{", "\\{"), ("}", "\\}"), ("\n", "\\N")):
+        out = F.replace(out, F.lit(mark), F.lit(escaped))
+    return out
+
+
+def ass_unescape(text: Column) -> Column:
+    """The inverse of `ass_escape`; null where a brace or a guard stands alone, or a backslash before anything else."""
+    parts = F.regexp_extract_all(text, F.lit(rf"[^\\{{}}{GUARD}]+|{GUARD}{GUARD}|\\[{GUARD}{{}}N]"), 0)
+    plain = lambda p: F.when(p == "\\N", "\n").when(p == "\\" + GUARD, "\\").when(F.startswith(p, F.lit("\\")) | F.startswith(p, F.lit(GUARD)), F.right(p, F.lit(1))).otherwise(p)
+    return F.when(F.array_join(parts, "") == text, F.array_join(F.transform(parts, plain), ""))
 
 
 def join_words(words: Column) -> Column:
@@ -107,9 +114,11 @@ def join_glued(words: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Sliding n-grams as strings; none for shorter arrays."""
-    count = F.size(words) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
+    """Sliding n-grams as 64-bit hashes of their words' hashes; none for shorter arrays."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    # transform over one element binds the hashes, so that they are made once
+    bound = F.transform(F.array(hashes), lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (n - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, n)])))
+    return F.get(bound, F.lit(0))
 
 
 def repeated_ngrams(words: Column, n: int) -> Column:

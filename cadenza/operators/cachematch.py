@@ -18,12 +18,12 @@ def collisions(paths: DataFrame, fmt: str = "srt") -> DataFrame:
     return out.select("path", F.when(F.col("collides"), named).otherwise(F.col("plain")).alias("output"), "collides")
 
 
-def common_parent(paths: DataFrame) -> DataFrame:
-    """One row: the longest folder that all paths share. The least and the greatest path decide."""
+def common_parent(paths: DataFrame, *by: str) -> DataFrame:
+    """Per group (``by``; one row without): the longest folder that all paths share. The least and the greatest path decide."""
     parts = F.split("path", "/")
-    ends = paths.agg(F.min(parts).alias("a"), F.max(parts).alias("b"))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("a"), F.size("b")) - 1)), lambda k: F.slice("a", 1, k) == F.slice("b", 1, k))
-    return ends.select(F.array_join(F.slice("a", 1, F.coalesce(F.array_max(same), F.lit(0))), "/").alias("parent"))
+    ends = paths.groupBy(*by).agg(F.min(parts).alias("_a"), F.max(parts).alias("_b"))
+    same = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("_a"), F.size("_b")) - 1)), lambda k: (k < F.size("_a")) & (k < F.size("_b")) & (F.slice("_a", 1, k) == F.slice("_b", 1, k)))
+    return ends.select(*by, F.array_join(F.slice("_a", 1, F.coalesce(F.array_max(same), F.lit(0))), "/").alias("parent"))
 
 
 def match(wanted: DataFrame, stored: DataFrame) -> DataFrame:

@@ -154,11 +154,34 @@ def near_boundaries(df: DataFrame, middle: Column, length: Column, step, radius)
     return df.withColumn("boundary", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<bigint>"))))
 
 
-def interpolate(x: Column, anchors: Column) -> Column:
-    """``x`` carried through sorted anchors (array of x, y): linear between the last at or below it and the next."""
-    left = F.element_at(F.filter(anchors, lambda a: a["x"] <= x), -1)
-    right = F.get(F.filter(anchors, lambda a: a["x"] > x), F.lit(0))
-    return F.when(right.isNull(), left["y"]).when(left.isNull(), right["y"]).otherwise(left["y"] + (x - left["x"]) * (right["y"] - left["y"]) / (right["x"] - left["x"]))
+def interpolated(df: DataFrame, x: str, anchors: DataFrame) -> DataFrame:
+    """With y: ``x`` carried through the recording's anchors (rec, x, y), linear between the last at or below it and the next.
+
+    Rows and anchors stand in one order; each row sees the anchor before it and the one after. One shuffle, no pairs.
+    """
+    point = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    marks = anchors.select("rec", F.col("x").cast("double").alias("_x"), F.lit(0).alias("_row"), F.lit(None).cast(df.schema.simpleString()).alias("_it"), point.alias("_anchor"))
+    rows = df.select("rec", F.col(x).cast("double").alias("_x"), F.lit(1).alias("_row"), F.struct(*df.columns).alias("_it"), F.lit(None).cast("struct<x:double,y:double>").alias("_anchor"))
+    w = Window.partitionBy("rec").orderBy("_x", "_row", "_anchor")
+    both = rows.unionByName(marks).withColumns({"_l": F.last("_anchor", ignorenulls=True).over(upto(w)), "_r": F.first("_anchor", ignorenulls=True).over(onward(w))}).where("_row = 1")
+    left, right = F.col("_l"), F.col("_r")
+    y = F.when(right.isNull(), left["y"]).when(left.isNull(), right["y"]).otherwise(left["y"] + (F.col("_x") - left["x"]) * (right["y"] - left["y"]) / (right["x"] - left["x"]))
+    return both.select("_it.*", y.alias("y"))
+
+
+def first_holder(points: DataFrame, at: str, held: DataFrame, closed: bool) -> DataFrame:
+    """Points with holder: the ``ix`` of the first of the intervals (rec, ix, start, end, in order of their starts) that holds the point, or null.
+
+    The first interval that ends later than a point holds it, or nobody does; it is one that ends later than all before it. These
+    and the points are put in one order, and each point sees the next. ``closed``: an interval holds its end too.
+    """
+    longest = held.withColumn("_before", F.max("end").over(before(in_order()))).where("end is not null and (_before is null or end > _before)")
+    nobody = "struct<ix:bigint,start:double>"
+    longest = longest.select("rec", F.col("end").cast("double").alias("_at"), F.lit(2 if closed else 0).alias("_kind"), F.lit(None).cast(points.schema.simpleString()).alias("_it"), F.struct("ix", F.col("start").cast("double").alias("start")).alias("_next"))
+    asking = points.select("rec", F.col(at).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_it"), F.lit(None).cast(nobody).alias("_next"))
+    following = F.first("_next", ignorenulls=True).over(onward(Window.partitionBy("rec").orderBy("_at", "_kind")))
+    seen = asking.unionByName(longest).withColumn("_next", following).where("_kind = 1")
+    return seen.select("_it.*", F.when(F.col("_at") >= F.col("_next.start"), F.col("_next.ix")).alias("holder"))
 
 
 def fix_stretched(df: DataFrame, longest, needed: Column) -> DataFrame:

@@ -5,7 +5,6 @@ All run per recording (or sentence) with Arrow batches; a group is one recording
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.functions.text import AMBIGUOUS_QUOTES, CLOSING, HYPHEN_PARTICLES, OPENING
+from cadenza.operators.reconcile import SIMILAR, compact
 
 # Word lists of the layout rules (Russian) and their weights.
 CONJUNCTIONS = ("а", "да", "и", "или", "либо", "но")
@@ -24,59 +23,6 @@ SHORT_LINE = {1: 20, 2: 6}
 ORPHAN = {1: 10, 2: 3}
 WEAK_END, CONJUNCTION, PLAIN = 6, 1, 3
 PAIR_GAP = 0.5
-SIMILAR = 0.72
-
-_SUFFIX = re.compile(r"-(?:" + "|".join(HYPHEN_PARTICLES) + r")\W*\Z", re.I)
-_GLUED = re.compile(r"([.!?…][\"'»”’)]*)(?=[A-ZА-ЯЁ«“\"(\[])")
-
-
-def display_units(text: str) -> list[str]:
-    """Words as they are shown: closing marks join the word before, opening ones and dashes the word after."""
-    units: list[str] = []
-    waiting: list[str] = []
-
-    def prefix() -> str:
-        # a dash stands apart, opening marks touch the word
-        out = "".join(w + " " if w == "—" else w for w in waiting)
-        waiting.clear()
-        return out
-
-    for token in _GLUED.sub(r"\1 ", text).split():
-        if token in ("-", "—"):
-            waiting.append("—")
-        elif all(c in CLOSING + AMBIGUOUS_QUOTES for c in token):
-            if waiting:
-                waiting.append(token)
-            elif units:
-                units[-1] += token
-            else:
-                waiting.append(token)
-        elif all(c in OPENING for c in token):
-            waiting.append(token)
-        elif _SUFFIX.fullmatch(token) and units and "—" not in waiting:
-            units[-1] += token
-        else:
-            if token.startswith("-") and not _SUFFIX.fullmatch(token):
-                waiting.append("—")
-                token = token[1:]
-            units.append(prefix() + token)
-    if waiting:
-        rest = prefix().strip()
-        if units:
-            units[-1] += " " + rest
-        else:
-            units.append(rest)
-    return units
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def display_units_of(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(display_units)
-
-
-def compact(text: str) -> str:
-    return "".join(c for c in text.casefold().replace("ё", "е") if c.isalnum())
-
 
 _POINTS = T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
 
@@ -247,20 +193,20 @@ def greedy_groups(words: DataFrame, longest: float) -> DataFrame:
 
 def merge_probability(parts: Column) -> Column:
     """Pairwise means in order: of three, the last counts half."""
-    return F.aggregate(F.slice(parts, 2, 1 << 30), F.get(parts, F.lit(0)), lambda acc, x: F.when(acc.isNull(), x).when(x.isNull(), acc).otherwise((acc + x) / 2))
+    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.get(parts, F.lit(0)), lambda acc, x: F.when(acc.isNull(), x).when(x.isNull(), acc).otherwise((acc + x) / 2))
 
 
 def split_capacity(word: str, most: int) -> list[str]:
-    """Parts of at most ``most`` characters, cut at the last space, else after the last hyphen, else not at all."""
-    parts = []
-    while len(word) > most:
-        cut = word.rfind(" ", 1, most + 1)
-        cut = cut if cut > 0 else word.rfind("-", 1, most) + 1
+    """Parts of at most ``most`` characters, cut at the last space, else behind the last hyphen; the whole word where that can't be."""
+    parts, rest = [], word.strip()
+    while len(rest) > most:
+        cut = rest.rfind(" ", 1, most + 1)
+        cut = cut if cut > 0 else rest.rfind("-", 1, most) + 1
         if cut <= 0:
-            break
-        parts.append(word[:cut].rstrip())
-        word = word[cut:].lstrip()
-    return [*parts, word]
+            return [word.strip()]
+        parts.append(rest[:cut].strip())
+        rest = rest[cut:].strip()
+    return [*parts, rest] if rest else parts
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -235,11 +235,10 @@ def jn6(spark, sf):
 @query("jn5_range_join", f"""WITH {_BLOCKS}, sg AS (SELECT rec, block, min(start) AS f, max("end") AS l FROM bl GROUP BY rec, block)
 SELECT iv.rec, iv.ix, min(block) AS block FROM iv LEFT JOIN sg ON sg.rec = iv.rec AND (iv.start + iv."end") / 2 BETWEEN f AND l AND block % 3 <> 1 GROUP BY 1, 2""")
 def jn5(spark, sf):
-    """Middles to the first segment that holds them; the rest have none. Keyed by recording: an equi-join with a range condition."""
-    segments = _blocks(spark, sf).groupBy("rec", "block").agg(F.min("start").alias("f"), F.max("end").alias("l")).where("block % 3 <> 1")
-    rows = intervals(spark, sf).withColumn("mid", (F.col("start") + F.col("end")) / 2)
-    hit = rows.join(segments, "rec").where("mid between f and l").groupBy("rec", "ix").agg(F.min("block").alias("block"))
-    return rows.select("rec", "ix").join(hit, ["rec", "ix"], "left")
+    """Middles to the first segment that holds them; the rest have none."""
+    segments = _blocks(spark, sf).groupBy("rec", F.col("block").alias("ix")).agg(F.min("start").alias("start"), F.max("end").alias("end")).where("ix % 3 <> 1")
+    rows = intervals(spark, sf).select("rec", "ix", ((F.col("start") + F.col("end")) / 2).alias("mid"))
+    return iv.first_holder(rows, "mid", segments, closed=True).select("rec", "ix", F.col("holder").alias("block"))
 
 
 _ANCHORS = f"{IV}, an AS (SELECT rec, start AS x, ix * 1000 AS y FROM iv WHERE ix % 50 = 0)"
@@ -250,33 +249,21 @@ r AS (SELECT iv.rec, ix, min(x) AS rx FROM iv JOIN an ON an.rec = iv.rec AND x >
 SELECT l.rec, l.ix, CASE WHEN rx IS NULL THEN a.y::DOUBLE ELSE a.y + (l.start - a.x) * (b.y - a.y) / (b.x - a.x) END AS y FROM l LEFT JOIN r USING (rec, ix) JOIN (SELECT rec, x, max(y) AS y FROM an GROUP BY 1, 2) a ON a.rec = l.rec AND a.x = lx LEFT JOIN (SELECT rec, x, min(y) AS y FROM an GROUP BY 1, 2) b ON b.rec = l.rec AND b.x = rx""")
 def jn7(spark, sf):
     rows = intervals(spark, sf)
-    anchors = rows.where("ix % 50 = 0").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("x"), (F.col("ix") * 1000).alias("y")))).alias("anchors"))
-    return rows.join(anchors, "rec").select("rec", "ix", iv.interpolate(F.col("start"), F.col("anchors")).cast("double").alias("y"))
+    anchors = rows.where("ix % 50 = 0").select("rec", F.col("start").alias("x"), (F.col("ix") * 1000).alias("y"))
+    return iv.interpolated(rows.select("rec", "ix", "start"), "start", anchors).select("rec", "ix", "y")
 
 
-@query("jn8_point_in_interval", f"""WITH {IV} SELECT a.rec, a.ix, min(b.ix) AS holder FROM iv a JOIN iv b ON b.rec = a.rec AND a."end" >= b.start AND a."end" < b."end" WHERE a.ix % 10 = 0 AND b.ix <= a.ix + 20 AND b.ix >= a.ix - 20 GROUP BY 1, 2""")
+_HELD = f"""WITH {IV} SELECT a.rec, a.ix, min(b.ix) AS holder FROM iv a LEFT JOIN iv b ON b.rec = a.rec AND a."end" >= b.start AND a."end" < b."end" GROUP BY 1, 2"""
+
+
+@query("jn8_point_in_interval", _HELD)
 def jn8(spark, sf):
-    """The first interval of the neighbourhood that holds a point, by equi-join on recording and block of 20."""
+    """Every row's end to the first of all intervals that holds it, or null."""
     rows = intervals(spark, sf).select("rec", "ix", "start", "end")
-    points = rows.where("ix % 10 = 0").select("rec", F.col("ix").alias("at"), F.col("end").alias("p"), F.explode(F.array(*[F.expr(f"ix div 20 + {d}") for d in (-1, 0, 1)])).alias("part"))
-    held = points.join(rows.withColumn("part", F.expr("ix div 20")), ["rec", "part"]).where("p >= start and p < `end` and ix between at - 20 and at + 20")
-    return held.groupBy("rec", F.col("at").alias("ix")).agg(F.min(F.col("ix")).alias("holder"))
+    return iv.first_holder(rows, "end", rows, closed=False).select("rec", "ix", "holder")
 
 
-@query("jn8_point_in_any_interval")
-def jn8_all(spark, sf):
-    """Every row's end to the first of all intervals that holds it, or null. The query above has SQL, which asks for every tenth row's neighbourhood.
-
-    Rows are in order of their starts, so that the first row that ends later than a point holds it or nobody does; the first row that
-    ends later is one that ends later than all before it. These and the points are put in one order, and each point sees the next.
-    """
-    rows = intervals(spark, sf).select("rec", "ix", "start", "end")
-    longest = rows.withColumn("before", F.max("end").over(iv.before(iv.in_order()))).where("end is not null and (before is null or end > before)")
-    longest = longest.select("rec", F.col("end").alias("at"), F.lit(0).alias("point"), F.lit(None).cast("long").alias("ix"), F.struct("ix", "start").alias("next"))
-    both = rows.select("rec", F.col("end").alias("at"), F.lit(1).alias("point"), "ix", F.lit(None).cast(longest.schema["next"].dataType).alias("next")).unionByName(longest)
-    onward = F.first("next", ignorenulls=True).over(iv.onward(Window.partitionBy("rec").orderBy("at", "point")))
-    held = both.withColumn("next", onward).where("point = 1")
-    return held.select("rec", "ix", F.when(F.col("at") >= F.col("next.start"), F.col("next.ix")).alias("holder"))
+query("jn8_point_in_any_interval", _HELD)(jn8)
 
 
 @query("pf1_valid_intervals", f'WITH {IV} SELECT rec, count(*) FILTER (start >= 0 AND "end" > start) AS n_valid, count(*) AS n_rows FROM iv GROUP BY rec')

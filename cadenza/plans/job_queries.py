@@ -187,9 +187,15 @@ def ag22(spark, sf):
     return cachematch.collisions(table(spark, sf, "pages").select(path.alias("path")).distinct())
 
 
-@query("ag23_common_parent", "SELECT 'root/media' AS parent")
+@query("ag23_common_parent", r"""WITH h AS (SELECT 'root/' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, 'root/' || regexp_replace(url, '^([a-z]+)://([^?#]*).*$', '\2') AS path FROM pages),
+s AS (SELECT host, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS parts FROM h), k AS (SELECT host, parts, unnest(range(1, len(parts) + 1)) AS k FROM s),
+f AS (SELECT host, k, count(*) AS n, count(DISTINCT parts[1:k]) AS d, min(parts[1:k]) AS a FROM k GROUP BY host, k), c AS (SELECT host, count(*) AS n FROM s GROUP BY host)
+SELECT c.host, coalesce(array_to_string(max_by(a, k) FILTER (d = 1 AND f.n = c.n), '/'), '') AS parent FROM c LEFT JOIN f USING (host) GROUP BY c.host""")
 def ag23(spark, sf):
-    return cachematch.common_parent(_paths(spark, sf).select(F.concat(F.lit("root/media/"), "path").alias("path")))
+    """The deepest folder that holds all paths of a host."""
+    path = F.concat(F.lit("root/"), F.regexp_replace("url", r"^([a-z]+)://([^?#]*).*$", "$2"))
+    host = F.concat(F.lit("root/"), F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1))
+    return cachematch.common_parent(table(spark, sf, "pages").select(host.alias("host"), path.alias("path")), "host")
 
 
 _MATCH = """w AS (SELECT o_orderkey AS item, o_custkey % 7 AS recognition, o_custkey % 3 AS layout, 'srt' AS fmt FROM orders),
@@ -271,10 +277,12 @@ def sc15(spark, sf):
     return media.frames(table(spark, sf, "events").select(line.alias("line")), "event_id long, k int").select("frame.*")
 
 
-@query("jn1_failures", "SELECT c_custkey, c_name, n_name AS error FROM customer LEFT JOIN nation ON lower(n_name) = lower(n_name) AND n_nationkey = c_nationkey AND n_nationkey % 2 = 0")
+@query("jn1_failures", "SELECT c_custkey, c_name, min(s_suppkey) AS first_failure, count(s_suppkey) AS n_failures FROM customer LEFT JOIN supplier ON lower(replace(s_name, 'Supplier', 'customer')) = lower(c_name) GROUP BY 1, 2")
 def jn1(spark, sf):
-    failures = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("error"))
-    return table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey").join(failures, "c_nationkey", "left").drop("c_nationkey")
+    """Failures to items by the folded path: names that differ in case meet."""
+    failures = table(spark, sf, "supplier").select("s_suppkey", F.lower(F.regexp_replace("s_name", "Supplier", "customer")).alias("key"))
+    joined = table(spark, sf, "customer").select("c_custkey", "c_name", F.lower("c_name").alias("key")).join(failures, "key", "left")
+    return joined.groupBy("c_custkey", "c_name").agg(F.min("s_suppkey").alias("first_failure"), F.count("s_suppkey").alias("n_failures"))
 
 
 @query("jn2_initial_items", "SELECT c_custkey, coalesce(o.k, -1) AS first_order, CASE WHEN o.k IS NULL THEN 'queued' ELSE o.s END AS state FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k, arg_min(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) o ON o_custkey = c_custkey")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import numbers as n
 from cadenza.functions import text as t
-from cadenza.operators import layout
+from cadenza.operators import layout, reconcile
 from cadenza.operators.intervals import in_order
 from cadenza.plans.base import CU, LN, cues, lines, query, table
 from cadenza.sources import subtitles as s
@@ -95,11 +95,15 @@ _ASSCLOCK = "printf('%d:%02d:%02d.%02d', x // 360000, x // 6000 % 60, x // 100 %
 _CS = ", cs AS (SELECT rec, ix, tick_start // 10 AS a, tick_end // 10 AS b, cue_text FROM cu)"
 
 
+#: Guards doubled, backslashes guarded, braces and line breaks behind backslashes.
+_ASSTEXT = "replace(replace(replace(replace(replace(x, chr(8288), chr(8288) || chr(8288)), chr(92), chr(92) || chr(8288)), chr(123), chr(92) || chr(123)), chr(125), chr(92) || chr(125)), chr(10), chr(92) || 'N')"
+
+
 def _centi(spark, sf):
     return cues(spark, sf).withColumns({"tick_start": F.expr("tick_start div 10"), "tick_end": F.expr("tick_end div 10")})
 
 
-@query("sk3_render_ass_events", CU.join(["WITH ", _CS]) + f" SELECT rec, ix, 'Dialogue: 0,' || {_ASSCLOCK.replace('x', 'a')} || ',' || {_ASSCLOCK.replace('x', 'b')} || ',Default,,0,0,0,,' || replace(replace(replace(cue_text, chr(92), chr(8288) || chr(92)), '{{', chr(8288) || '{{'), '}}', chr(8288) || '}}') AS line FROM cs".replace("{{", "{").replace("}}", "}"))
+@query("sk3_render_ass_events", CU.join(["WITH ", _CS]) + f" SELECT rec, ix, 'Dialogue: 0,' || {_ASSCLOCK.replace('x', 'a')} || ',' || {_ASSCLOCK.replace('x', 'b')} || ',Default,,0,0,0,,' || {_ASSTEXT.replace('x', 'cue_text')} AS line FROM cs")
 def sk3(spark, sf):
     files = s.render_ass(_centi(spark, sf))
     rows = files.select("rec", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.startswith("line", F.lit("Dialogue: ")))
@@ -117,9 +121,9 @@ def sc11(spark, sf):
     return s.parse_vtt(sk2(spark, sf)).withColumn("ix", F.col("ix").cast("long"))
 
 
-@query("sc12_parse_ass", "WITH " + CU + _CS + ' SELECT rec, ix, ix + 1 AS "index", a AS tick_start, b AS tick_end FROM cs')
+@query("sc12_parse_ass", "WITH " + CU + _CS + ' SELECT rec, ix, ix + 1 AS "index", a AS tick_start, b AS tick_end, cue_text FROM cs')
 def sc12(spark, sf):
-    return s.parse_ass(s.render_ass(_centi(spark, sf))).drop("cue_text")
+    return s.parse_ass(s.render_ass(_centi(spark, sf)))
 
 
 @query("sc13_ass_fields", "WITH " + CU + _CS + f" SELECT rec, 'Dialogue' AS event_type, '0' AS layer, {_ASSCLOCK.replace('x', 'a')} AS start_text, {_ASSCLOCK.replace('x', 'b')} AS end_text, 'Default' AS style, '0' AS margin_l, '' AS effect FROM cs")
@@ -167,11 +171,14 @@ def nm11(spark, sf):
     return rows.select("o_orderkey", n.human_bytes(F.col("b")).alias("size"), n.size_reserve(F.col("b")).alias("reserve"))
 
 
-@query("nm4_parse_duration", "SELECT event_id, value * 3600 + 60 + 5 AS a, value AS b, NULL::DOUBLE AS c FROM (SELECT event_id, (event_id % 5)::DOUBLE AS value FROM events)")
+@query("nm4_parse_duration", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id // 3600 * 3600.0 + event_id // 60 % 60 * 60 + event_id % 60 WHEN 1 THEN value WHEN 2 THEN (event_id // 7)::DOUBLE WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE NULL END::DOUBLE AS seconds FROM events""")
 def nm4(spark, sf):
-    v = F.col("event_id") % 5
-    rows = table(spark, sf, "events").select("event_id", v.cast("string").alias("v"))
-    return rows.select("event_id", n.parse_duration(F.concat("v", F.lit(":01:05"))).alias("a"), n.parse_duration(F.concat(F.lit(" "), "v")).alias("b"), n.parse_duration(F.concat(F.lit("N/A"), "v")).alias("c"))
+    """Clocks, numbers, numbers between blanks, N/A, negative numbers and too few parts."""
+    e = F.col("event_id")
+    part = lambda c: c.cast("long").cast("string")
+    clock = F.concat(part(F.floor(e / 3600)), F.lit(":"), part(F.floor(e / 60) % 60), F.lit(":"), part(e % 60))
+    shapes = [clock, F.col("value").cast("string"), F.concat(F.lit("  "), part(F.floor(e / 7)), F.lit(" ")), F.lit("N/A"), F.concat(F.lit("-"), part(e)), F.concat(part(e), F.lit(":5"))]
+    return table(spark, sf, "events").select("event_id", n.parse_duration(F.get(F.array(*shapes), (e % 6).cast("int"))).alias("seconds"))
 
 
 @query("st17_vtt_escape", "SELECT event_id, replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, x AS back FROM (SELECT event_id, '<' || event_type || '> & ' || props AS x FROM events)")
@@ -191,33 +198,37 @@ def js1(spark, sf):
     return table(spark, sf, "events").select("event_id", k.alias("k"), F.to_json(F.struct("event_id", k.alias("k"))).alias("encoded"))
 
 
-@query("mp_map_defaults", "SELECT event_id, event_type AS kind, 'none' AS lang, 2 AS n_keys FROM events")
+@query("mp_map_defaults", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type ELSE '?' END AS kind, CASE event_id % 5 WHEN 0 THEN 'user ' || user_id ELSE 'none' END AS lang, 2 AS n_keys, (event_id % 3 = 0)::INT + (event_id % 5 = 0)::INT AS n_given FROM events")
 def mp(spark, sf):
-    """Defaults filled under given keys, unknown keys dropped."""
-    given = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("junk"), F.lit("x"))
+    """Defaults filled where a known key isn't given, unknown keys dropped; which keys an event gives varies."""
+    e = F.col("event_id")
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    given = F.map_from_entries(F.array_compact(F.array(F.when(e % 3 == 0, pair("kind", F.col("event_type"))), F.when(e % 5 == 0, pair("lang", F.concat(F.lit("user "), F.col("user_id").cast("string")))), F.when(e % 2 == 0, pair("junk", F.lit("x"))))))
     known = F.map_filter(given, lambda k, _: k.isin("kind", "lang"))
     defaults = F.map_filter(F.create_map(F.lit("kind"), F.lit("?"), F.lit("lang"), F.lit("none")), lambda k, _: ~F.map_contains_key(known, k))
     both = F.map_concat(defaults, known)
-    return table(spark, sf, "events").select("event_id", both["kind"].alias("kind"), both["lang"].alias("lang"), F.size(both).alias("n_keys"))
+    return table(spark, sf, "events").select("event_id", both["kind"].alias("kind"), both["lang"].alias("lang"), F.size(both).alias("n_keys"), F.size(known).alias("n_given"))
 
 
-@query("ag11_join_words", f"""WITH {LN}, w AS (SELECT rec, ix, line, regexp_replace(line, '([.,!?])', ' \\1', 'g') AS spaced FROM ln) SELECT rec, ix, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(spaced, ' +', ' ', 'g'), ' ([.,!?]+)', '\\1', 'g'), ' '), lambda x: x <> ''), ' ') AS text FROM w WHERE NOT regexp_matches(line, '[^a-zA-Z,. ]') AND NOT regexp_matches(line, '[.,] *[.,]') AND NOT regexp_matches(line, '[.,][a-zA-Z]|^ *[.,]')""")
-def ag11(spark, sf):
-    rows = lines(spark, sf).where(~F.col("line").rlike(r"[^a-zA-Z,. ]") & ~F.col("line").rlike(r"[.,] *[.,]") & ~F.col("line").rlike(r"[.,][a-zA-Z]|^ *[.,]"))
-    words = F.filter(F.split(F.regexp_replace("line", r"([.,])", " $1"), " "), lambda x: x != "")
-    return rows.select("rec", "ix", t.join_words(words).alias("text"))
+_CLOSERS = r"[.,!?;:%…)\]}»”]"
+_JOINED = rf"""WITH {LN}, w AS (SELECT rec, ix, list_filter(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM ln),
+a AS (SELECT rec, ix, list_filter(flatten(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '{_CLOSERS}*') THEN [x] ELSE [regexp_replace(x, '{_CLOSERS}+$', ''), regexp_extract(x, '{_CLOSERS}+$')] END)), lambda x: x <> '') AS w FROM w)
+SELECT rec, ix, ltrim(array_to_string(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '{_CLOSERS}+') THEN x ELSE ' ' || x END), ''), ' ') AS text FROM a"""
 
 
-@query("ag11_join_all_words")
-def ag11_all(spark, sf):
-    """Every line's words, with the closing marks at their ends as words of their own, joined again. The query above has SQL, which asks for plain lines only."""
-    apart = F.regexp_replace("line", r"(?<=\S)(?<![.,!?;:%…)\]}»”])([.,!?;:%…)\]}»”]+)(?=\s|$)", " $1")
+@query("ag11_join_words", _JOINED)
+def ag11(spark, sf):
+    """Every line's words, with the closing marks at their ends as words of their own, joined again."""
+    apart = F.regexp_replace("line", rf"(?<=\S)(?<!{_CLOSERS})({_CLOSERS}+)(?=\s|$)", " $1")
     return lines(spark, sf).select("rec", "ix", t.join_words(F.filter(F.split(apart, r"\s+"), lambda x: x != "")).alias("text"))
 
 
+query("ag11_join_all_words", _JOINED)(ag11)
+
+
 def _words(spark, sf):
     """Lines' words as timed words: half a second each."""
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("rec"), F.posexplode(F.filter(F.split(F.substring("text", 1, 1 << 30), r"\s+"), lambda x: x != "")).alias("ix", "text"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("rec"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("ix", "text"))
     rows = rows.withColumns({"ix": F.col("ix").cast("long"), "start": F.col("ix") * 0.5, "end": F.col("ix") * 0.5 + 0.45})
     from cadenza.operators.intervals import islands_after
 
@@ -264,10 +275,10 @@ def wn11(spark, sf):
 
 @query("st7_display_units")
 def st7(spark, sf):
-    return lines(spark, sf).select("rec", "ix", layout.display_units_of("line").alias("units"))
+    return lines(spark, sf).select("rec", "ix", reconcile.display_units_of("line").alias("units"))
 
 
-@query("st9_split_embedded")
+@query("st9_split_embedded", rf"""WITH {LN} SELECT rec, ix, regexp_replace(line, '([.!?…]["''»”’)]*)([A-ZА-ЯЁ«“"(\[])', '\1 \2', 'g') AS text FROM ln""")
 def st9(spark, sf):
     return lines(spark, sf).select("rec", "ix", t.split_embedded_sentences(F.col("line")).alias("text"))
 
@@ -277,9 +288,14 @@ def st14(spark, sf):
     return lines(spark, sf).select("rec", "ix", layout.split_capacity_of("line").alias("parts"))
 
 
-@query("st18_ass_escape")
+@query("st18_ass_escape", f"""WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN chr(92) || event_type || chr(92) || 'N' || chr(8288) WHEN 2 THEN event_type || chr(10) || chr(8288) || chr(92) || chr(92) || props ELSE event_type END AS x FROM events)
+SELECT event_id, {_ASSTEXT} AS escaped, x AS back, CASE WHEN event_id % 4 = 3 THEN x END AS raw FROM x""")
 def st18(spark, sf):
-    return table(spark, sf, "events").select("event_id", t.ass_escape(F.col("props")).alias("escaped"))
+    """Texts with every mark that is escaped, escaped and read back; unescaped, those that aren't escapes give null."""
+    x = F.get(F.array(F.col("props"), F.concat(F.lit("\\"), "event_type", F.lit("\\N" + t.GUARD)), F.concat("event_type", F.lit("\n" + t.GUARD + "\\\\"), "props"), F.col("event_type")), (F.col("event_id") % 4).cast("int"))
+    rows = table(spark, sf, "events").select("event_id", x.alias("x"))
+    escaped = t.ass_escape(F.col("x"))
+    return rows.select("event_id", escaped.alias("escaped"), t.ass_unescape(escaped).alias("back"), t.ass_unescape(F.col("x")).alias("raw"))
 
 
 @query("ud3_similarity")
@@ -289,21 +305,22 @@ def ud3(spark, sf):
     return rows.select("rec", "ix", layout.alignment("line", "following").alias("found")).select("rec", "ix", "found.ratio", "found.anchors")
 
 
-@query("ag10_pairwise_mean", "WITH e AS (SELECT user_id AS rec, list(value ORDER BY ts, event_id)[1:3] AS v FROM events GROUP BY user_id) SELECT rec, CASE len(v) WHEN 1 THEN v[1] WHEN 2 THEN (v[1] + v[2]) / 2 ELSE ((v[1] + v[2]) / 2 + v[3]) / 2 END AS probability FROM e")
-def ag10(spark, sf):
-    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("rec")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    return rows.select("rec", layout.merge_probability(F.transform(F.slice("v", 1, 3), lambda x: x["value"])).alias("probability"))
+_FOLDED = "SELECT user_id AS rec, list_reduce(list(value ORDER BY ts, event_id), lambda a, x: (a + x) / 2) AS probability FROM events GROUP BY user_id"
 
 
-@query("ag10_pairwise_mean_all")
-def ag10_all(spark, sf):
-    """Over all of a user's values in order. The query above has SQL, which folds the first three only."""
+@query("ag10_pairwise_mean", _FOLDED)
+def ag10(spark, sf):
+    """Over all of a user's values in order."""
     rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("rec")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
     return rows.select("rec", layout.merge_probability(F.transform("v", lambda x: x["value"])).alias("probability"))
 
 
-@query("ag7_language", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), d AS (SELECT DISTINCT source, lang FROM documents) SELECT source, arg_max(lang, (n, lang)) AS main, (SELECT string_agg(lang, ',' ORDER BY lang) FROM d WHERE d.source = c.source) AS langs FROM (SELECT source, lang, n * 1000 - ascii(lang) AS n FROM c) c GROUP BY source")
+query("ag10_pairwise_mean_all", _FOLDED)(ag10)
+
+
+@query("ag7_language", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, first(lang ORDER BY n DESC, lang) AS main, string_agg(lang, ',' ORDER BY lang) AS langs FROM c GROUP BY source")
 def ag7(spark, sf):
     """Most frequent language, the first by name on a tie, and all of them in order."""
     counts = table(spark, sf, "documents").groupBy("source", "lang").count()
-    return counts.groupBy("source").agg(F.max_by("lang", F.col("count") * 1000 - F.ascii("lang")).alias("main"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "lang")))
+    return counts.groupBy("source").agg(ranked[0]["lang"].alias("main"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))

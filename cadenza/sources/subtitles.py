@@ -32,7 +32,7 @@ def _timed(blocks: DataFrame, separator: str, first: Column, number: Column) ->
     """Rows of blocks whose time line is ``lines[first]``."""
     times = F.split(F.get("lines", first), " --> ")
     start, end = (n.parse_clock(F.get(times, F.lit(k)), separator) for k in (0, 1))
-    body = F.array_join(F.expr("slice(lines, _first + 2, 1000000)"), "\n")
+    body = F.array_join(F.expr("slice(lines, _first + 2, greatest(size(lines), 1))"), "\n")
     out = blocks.withColumns({"_first": first, "index": number, "tick_start": start, "tick_end": end})
     return out.withColumn("cue_text", body).select("rec", "ix", "index", "tick_start", "tick_end", "cue_text")
 
@@ -61,7 +61,7 @@ def parse_ass(files: DataFrame) -> DataFrame:
     events = parse_ass_events(files).where("event_type = 'Dialogue'")
     number = F.row_number().over(in_order()).cast("long")
     start, end = (n.parse_clock(F.concat(F.lit("0"), F.col(c)), ".", 2) for c in ("start_text", "end_text"))
-    return events.select("rec", (number - 1).alias("ix"), number.alias("index"), start.alias("tick_start"), end.alias("tick_end"), F.replace("event_text", F.lit("\\N"), F.lit("\n")).alias("cue_text"))
+    return events.select("rec", (number - 1).alias("ix"), number.alias("index"), start.alias("tick_start"), end.alias("tick_end"), t.ass_unescape(F.col("event_text")).alias("cue_text"))
 
 
 def _whole(rows: DataFrame, piece: Column, head: str, separator: str, foot: str) -> DataFrame:
