@@ -26,6 +26,24 @@ def hex_int(digest: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` that tells rows apart and orders them: the id, where ids are whole numbers, unique and not null.
+
+    Otherwise rows are numbered in order of id (null last), then text.
+    """
+    repeated = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1))
+    if docs.schema[id_col].dataType.simpleString() in ("int", "bigint", "smallint", "tinyint") and repeated.isEmpty():
+        return docs.withColumn(name, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))  # none is null; said so, plans can share exchanges
+    return written(docs.sort(F.col(id_col).asc_nulls_last(), text_col).withColumn(name, F.monotonically_increasing_id()))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset (local runs)."""
     conf = spark.sparkContext.getConf()
@@ -42,4 +60,13 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: cuts the lineage, survives lost executors."""
     at = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    back = df.sparkSession.read.schema(df.schema).parquet(at)
+    back._written_to = at
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `written` wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

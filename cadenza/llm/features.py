@@ -24,17 +24,20 @@ _CLASS[[32, 9, 10, 11, 12, 13]] = _SPACE
 _CLASS[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = _WORD
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(192, 256)]] = True  # of a letter beyond ASCII, its first byte
-_ROOT = 0x9E3779B97F4A7C15
+ROOT = 0x9E3779B97F4A7C15
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, root: int = ROOT) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a root and of its inverse, modulo 2^64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _TABLES:
-        _TABLES.clear()
-        _TABLES[size] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, root, np.uint64)])) for root in (_ROOT, pow(_ROOT, -1, 1 << 64)))
-    return _TABLES[size]
+    if root not in _TABLES or len(_TABLES[root][0]) < n:
+        steps = np.full(1 << max(16, (n - 1).bit_length()), 1, np.uint64)
+        made = []
+        for r in (root, pow(root, -1, 1 << 64)):
+            steps[1:] = r
+            made.append(np.multiply.accumulate(steps))
+        _TABLES[root] = tuple(made)
+    return _TABLES[root]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,12 +10,19 @@ tokens within one more, in any common order of tokens.
 * The boundary is the size with the least cost: signatures posted, and verifications that chance collisions cause. Sizes and
   collisions are counted over all sets of up to `LARGEST_BOUNDARY` shingles.
 
-The order puts long shingles first (in bytes: a longer shingle is a rarer one) and those last that are in very many sets. The latter
-are found by counting within blocks of sets and adding up; as they only set the order, a bounded number of them suffices.
+The order puts long shingles first (in bytes: a longer shingle is a rarer one) and those last that are in very many sets, the most
+frequent at the very end. These are found by counting within blocks of sets and adding up; as they only set the order, a bounded number
+of them suffices. So what pages of one template share is in no prefix unless they are similar.
 
-Long lists are not expanded into all pairs. While that would give many more pairs than rows, each class is compared with one class of
-each of its lists (a star), and what is similar joins a component. In the end all pairs of one list are compared that are still in
-different components, for no other pair can change a component. A candidate pair must pass an exact upper bound on the overlap from parity bitmaps; then the sets are compared.
+Of a pair, the smaller set must have the first shared token within a still shorter prefix: it needs an overlap of 2 t / (1 + t) of its
+own size. Rows within that prefix hold a list, the others only ask it, lists that nobody holds are dropped, and pairs are made of
+holders and askers of at least their size. While lists would still give many more pairs than rows, each class is compared with one
+class of each of its lists (a star), and what is similar joins a component, as long as that halves the pairs. In the end all askers and
+holders of one list are compared that are still in different components, for no other pair can change a component. A candidate pair
+must pass an exact upper bound on the overlap from parity bitmaps; then the sets are compared.
+
+A class is told by 128 bits of a cryptographic hash of its set, in which small sets stand with their very words: two documents of one
+class need no further proof. The joins use 64 of these bits; of classes that agree in them by chance all but one get other ones.
 
 Edge cases: null, empty and blank texts have an empty set and no links; fewer than five words make one shingle; repeated rows are in
 one class; a null id takes part and gets its component's smallest non-null id; an empty table gives no rows; only the named id and
@@ -33,8 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table, written
+from cadenza.llm.common import discard, numbered, table, unused, written
 from cadenza.llm.components import components
+from cadenza.llm.features import mix
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -44,8 +52,8 @@ LARGEST_BOUNDARY = 96
 VERIFY_COST = 4
 #: Shingles counted together when very frequent ones are looked for, sets of a block that must share one, sets in all, and how many are kept.
 BLOCK_SHINGLES, LOCAL_SETS, FREQUENT_SETS, FREQUENT = 1 << 20, 3, 48, 1 << 17
-#: Rounds of stars at most, and the pairs a list row may give, in the mean, before stars come first.
-STARS, PAIRS_PER_ROW = 2, 2
+#: Pairs that a list row may give, in the mean, before stars come first.
+PAIRS_PER_ROW = 4
 #: Sets of up to so many shingles have bitmaps of under 256 bits.
 SKETCHED = 32
 #: Bytes of text that are hashed at once.
@@ -53,26 +61,13 @@ CHUNK = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_ROOT = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _COEFFICIENTS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
+#: Sets of up to so many shingles are told apart by their words, not by the shingles' hashes.
+BY_WORDS = 8
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, root in enumerate((_ROOT, pow(_ROOT, -1, 1 << 64))):
-            steps = np.full(size, root, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+PLACES = 64
+_RANDOM = mix(mix(np.arange(PLACES << 8, dtype=np.uint64) >> np.uint64(8)) + (np.arange(PLACES << 8, dtype=np.uint64) & np.uint64(255)))
 
 
 def _chunks(body: bytes) -> Iterator[bytes]:
@@ -86,6 +81,19 @@ def _chunks(body: bytes) -> Iterator[bytes]:
     yield body
 
 
+def _at_place(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """A random number for each byte and its place in its word, so that no structure of a word cancels out; 0 between words."""
+    marks = np.zeros(len(raw), np.int64)
+    marks[starts] = starts
+    place = np.arange(len(raw)) - np.maximum.accumulate(marks)
+    near = place < PLACES
+    out = _RANDOM[np.where(near, place, 0) << 8 | raw]
+    if not near.all():
+        out[~near] = mix(mix(place[~near].astype(np.uint64)) + raw[~near])
+    out[~inside] = 0
+    return out
+
+
 def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A hash and the length of every word of a lower-cased text."""
     hashes, lengths = [], []
@@ -94,9 +102,8 @@ def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
         inside = np.concatenate([[False], ~_SPACE[raw], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
-        up, down = _powers(len(raw) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-        hashes.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_at_place(raw, starts, inside[1:-1]), dtype=np.uint64)])
+        hashes.append(mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)))
         lengths.append(ends - starts)
     return np.concatenate(hashes), np.concatenate(lengths)
 
@@ -119,8 +126,19 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n + 1 - -(-threshold * n // 100)
 
 
-def set_key(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(tokens: np.ndarray, text: bytes) -> tuple[int, int]:
+    """128 bits, in two halves, of the set's hash."""
+    told = hashlib.blake2b(tokens.tobytes(), digest_size=16)
+    if len(tokens) <= BY_WORDS:
+        words = text.lower().split()
+        told.update(b"\n".join(sorted({b" ".join(words[k : k + WORDS]) for k in range(max(1, len(words) - WORDS + 1))})))
+    whole = told.digest()
+    return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
+
+
+def name_of(tokens: np.ndarray, text: bytes, renamed: dict[tuple[int, int], int]) -> int:
+    key = set_key(tokens, text)
+    return renamed.get(key, key[0])
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -149,16 +167,19 @@ def largest_overlap(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
     return (n_a + n_b - int(np.bitwise_count(a ^ b).sum())) // 2
 
 
-def signatures(tokens: np.ndarray, boundary: int, frequent: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, boundary: int, frequent: np.ndarray, threshold: int = THRESHOLD, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """2-subsets for a small set, single tokens for a large one or one that may pair with such.
 
     With each, the largest overlap with a set for which it is the first that both have: what comes before is not shared.
+    ``frequent`` shingles come last, in order of their ``place``.
     """
     n = len(tokens)
     p = prefix_length(n, threshold)
     if len(frequent):
-        late = np.isin(tokens, frequent, assume_unique=True)
-        tokens = np.concatenate([tokens[~late][: p + 1], tokens[late][: p + 1]])
+        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        late = frequent[at] == tokens
+        last = tokens[late] if place is None else tokens[late][np.argsort(place[at[late]], kind="stable")]
+        tokens = np.concatenate([tokens[~late][: p + 1], last[: p + 1]])
     out, most = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if n <= boundary:
         first, second = np.triu_indices(min(p + 1, n), 1)
@@ -173,6 +194,11 @@ def signatures(tokens: np.ndarray, boundary: int, frequent: np.ndarray, threshol
     return np.concatenate(out), np.concatenate(most)
 
 
+def holds(n, most, threshold: int = THRESHOLD):
+    """Can the overlap be what similarity with a set of at least this size asks for?"""
+    return (100 + threshold) * most >= 2 * threshold * n
+
+
 def choose_boundary(sizes: dict[int, int], collisions: float, threshold: int = THRESHOLD) -> int:
     """The size up to which sets enumerate subsets, with the least cost over all sets of up to `LARGEST_BOUNDARY`."""
 
@@ -187,12 +213,15 @@ def choose_boundary(sizes: dict[int, int], collisions: float, threshold: int = T
 
 
 def _each_set(docs: DataFrame, fields: str, make) -> DataFrame:
-    """mapInArrow over (did, text): ``make(did, tokens)`` gives rows."""
+    """mapInArrow over (did, text): ``make(did, text, tokens)`` gives rows."""
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
         for batch in batches:
-            rows = [row for did, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for row in make(did, shingles(text.as_py()))]
+            rows = []
+            for did, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = text.as_py()
+                rows += make(did, body, shingles(body))
             yield _record(rows, names, fields)
 
     return docs.mapInArrow(run, fields)
@@ -208,23 +237,27 @@ def _record(rows: list[tuple], names: list[str], fields: str) -> pa.RecordBatch:
 
 
 def _sets(docs: DataFrame, threshold: int) -> DataFrame:
-    """did, n, key, bits and, for small sets, the prefix; rows without bits are frequent shingles: key and, as n, how many sets have it."""
-    fields = "did long, n long, key long, bits binary, sketch array<long>, prefix array<long>"
+    """did, n, key, rest, bits and, for small sets, the prefix; rows without bits are frequent shingles: key and, as n, how many sets have it."""
+    fields = "did long, n long, key long, rest long, bits binary, sketch array<long>, prefix array<long>"
     names = [f.split()[0] for f in fields.split(", ")]
 
     def frequent(block: list[np.ndarray]) -> list[tuple]:
-        tokens, counts = np.unique(np.concatenate(block), return_counts=True) if block else ((), ())
-        return [(None, int(c), int(t), None, None, None) for t, c in zip(np.asarray(tokens)[np.asarray(counts) >= LOCAL_SETS].view(np.int64).tolist(), np.asarray(counts)[np.asarray(counts) >= LOCAL_SETS].tolist(), strict=True)] if block else []
+        if not block:
+            return []
+        tokens, counts = np.unique(np.concatenate(block), return_counts=True)
+        often = counts >= LOCAL_SETS
+        return [(None, c, t, None, None, None, None) for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
 
     def run(batches):
         block, seen, held = [], set(), 0
         for batch in batches:
             rows = []
             for did, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = shingles(text.as_py())
-                key, n = set_key(tokens), len(tokens)
+                body = text.as_py()
+                tokens = shingles(body)
+                (key, rest), n = set_key(tokens, body), len(tokens)
                 bits = bitmap(tokens)
-                rows.append((did, n, key, bits, sketch(bits), tokens[: prefix_length(n, threshold)].view(np.int64) if 0 < n <= LARGEST_BOUNDARY else None))
+                rows.append((did, n, key, rest, bits, sketch(bits), tokens[: prefix_length(n, threshold)].view(np.int64) if 0 < n <= LARGEST_BOUNDARY else None))
                 if key not in seen:
                     seen.add(key)
                     block.append(tokens)
@@ -239,26 +272,26 @@ def _sets(docs: DataFrame, threshold: int) -> DataFrame:
     return docs.mapInArrow(run, fields)
 
 
-def _live(docs: DataFrame, boundary: int, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """(token, key, n, most) of every signature that at least two classes post.
+def _live(docs: DataFrame, boundary: int, frequent: np.ndarray, place: np.ndarray, renamed: dict, threshold: int) -> DataFrame:
+    """(token, key, n, most) of every signature that a class holds and at least one other posts.
 
     Signatures that are known to be frequent are dealt out by class and kept, so that no task gets one's whole list.
     """
     names = ["token", "key", "n", "most"]
     fields = "token long, key long, n int, most int"
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)  # at most FREQUENT values
-    known = spark.sparkContext.broadcast(np.sort(mix(frequent) & ~np.uint64(1)))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, place, np.sort(mix(frequent) & ~np.uint64(1)), renamed))  # at most FREQUENT values
 
     def post(batches):
+        frequent, place, known, renamed = shared.value
         for batch in batches:
             token, cols = [np.zeros(0, np.uint64)], [[np.zeros(0, t)] for t in (np.int64, np.int32, np.int32)]
             for text in batch.column(1):
-                found = shingles(text.as_py())
+                body = text.as_py()
+                found = shingles(body)
                 if len(found):
-                    posted, most = signatures(found, boundary, shared.value, threshold)
+                    posted, most = signatures(found, boundary, frequent, threshold, place)
                     token.append(posted)
-                    for col, x in zip(cols, (np.full(len(posted), set_key(found)), np.full(len(posted), len(found), np.int32), most.astype(np.int32)), strict=True):
+                    for col, x in zip(cols, (np.full(len(posted), name_of(found, body, renamed)), np.full(len(posted), len(found), np.int32), most.astype(np.int32)), strict=True):
                         col.append(x)
             token, rest = np.concatenate(token), [np.concatenate(c) for c in cols]
             order = np.lexsort((rest[0], token))
@@ -266,34 +299,38 @@ def _live(docs: DataFrame, boundary: int, frequent: np.ndarray, threshold: int)
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (rest[0][1:] != rest[0][:-1])
             token, rest = token[new], [x[new] for x in rest]
-            deal = np.where(np.isin(token, known.value), mix(token ^ rest[0].view(np.uint64)), token).view(np.int64)
+            deal = np.where(np.isin(token, known), mix(token ^ rest[0].view(np.uint64)), token).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), *rest, deal)], [*names, "deal"])
         pa.default_memory_pool().release_unused()
 
     def shared_only(batches):
-        """From rows in order of token and key: one per class, of lists with two classes or more."""
-        held = None  # the last row, not yet known to be alone, and whether its list had rows before
+        """From rows in order of token, who holds, and key: one per class, of lists that one holds and another has too."""
+        held = None  # the last row, not yet known to be alone; whether its list had rows before; whether its list is held
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(k).to_numpy() for k in range(5)]
             if held is not None:
                 cols = [np.concatenate([h, x]) for h, x in zip(held[0], cols, strict=True)]
-            token, key = cols[:2]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
             cols = [x[new] for x in cols]
             same = cols[0][1:] == cols[0][:-1]
             before = np.concatenate([[held is not None and held[1]], same])
-            keep = (before | np.concatenate([same, [False]]) | (cols[0] != cols[4]))[:-1]
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(before)), 0))
+            is_held = holds(cols[2].astype(np.int64), cols[3].astype(np.int64), threshold)[first]
+            if held is not None:
+                is_held[first == 0] = held[2]
+            keep = (is_held & (before | np.concatenate([same, [False]])) | (cols[0] != cols[4]))[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in cols[:4]], names)
-            held = [x[-1:] for x in cols], bool(before[-1])
-        if held is not None and (held[1] or held[0][0] != held[0][4]):
+            held = [x[-1:] for x in cols], bool(before[-1]), bool(is_held[-1])
+        if held is not None and (held[1] and held[2] or held[0][0] != held[0][4]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0][:4]], names)
         pa.default_memory_pool().release_unused()
 
     posted = docs.mapInArrow(post, fields + ", deal long")
-    return posted.repartition("deal").sortWithinPartitions("token", "key").mapInArrow(shared_only, fields)
+    asks = f"{100 + threshold} * cast(most as long) < {2 * threshold} * cast(n as long)"
+    return posted.repartition("deal").sortWithinPartitions("token", F.expr(asks), "key").mapInArrow(shared_only, fields)
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -316,14 +353,14 @@ def _bounded(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     return joined.mapInArrow(check, fields)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, renamed: dict, threshold: int) -> DataFrame:
     """Pairs whose sets are similar: the sets are made anew from one text a class."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key")
     wanted = written(wanted)  # its size is then known: few are sent to the texts, many are met by a shuffle
     texts = docs.join(wanted.select(F.col("rep").alias("did"), "key"), "did").select("key", "text")
 
-    def make(key, tokens):
-        return [(key, tokens.tobytes())] if set_key(tokens) == key else []
+    def make(key, text, tokens):
+        return [(key, tokens.tobytes())] if name_of(tokens, text, renamed) == key else []
 
     sets = _each_set(texts, "key long, tokens binary", make).groupBy("key").agg(F.first("tokens").alias("tokens"))
     fields = "a long, b long"
@@ -341,18 +378,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold:
 
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return with_b.mapInArrow(compare, fields)
+    found = written(with_b.mapInArrow(compare, fields))
+    discard(wanted)
+    return found
 
 
-def _mixed(live: DataFrame, labels: DataFrame | None, classes: DataFrame) -> DataFrame:
-    """Rows of the lists that still join different components, each with its component, whether that is the list's largest, and its sketch."""
+def _mixed(live: DataFrame, labels: DataFrame | None, classes: DataFrame, threshold: int) -> DataFrame:
+    """Rows of the lists that are held and still join different components: each with its component, whether that is the list's largest, whether it holds, and its sketch."""
     if labels is None:
         named = live.withColumn("component", F.col("key"))
     else:
         named = live.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    counts = named.groupBy("token", "component").count()
-    major = counts.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    rows = named.join(major, "token").select("token", "key", "n", "most", "component", (F.col("component") == F.col("major")).alias("inside"))
+    named = named.withColumn("holds", holds(F.col("n").cast("long"), F.col("most").cast("long"), threshold))
+    counts = named.groupBy("token", "component").agg(F.count("*").alias("count"), F.max("holds").alias("holds"))
+    major = counts.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("parts"), F.max("holds").alias("held")).where("parts > 1 and held")
+    rows = named.join(major, "token").select("token", "key", "n", "most", "holds", "component", (F.col("component") == F.col("major")).alias("inside"))
     return written(rows.join(classes.select("key", "sketch"), "key"))
 
 
@@ -380,40 +420,56 @@ def _star(mixed: DataFrame, threshold: int, turn: int) -> DataFrame:
 
 
 def _between(mixed: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of one list and different components: classes outside the largest with those in it, and among themselves."""
-    joined = mixed.join(_other(mixed.where("not inside")), "token")
-    return _pairs(joined.where(_fits(threshold) & (F.col("inside") | (F.col("key") < F.col("key_b")))))
+    """Askers and holders of one list and different components, the holder the smaller set."""
+    smaller = (F.col("n_b") < F.col("n")) | (F.col("n_b") == F.col("n")) & (F.col("key_b") < F.col("key"))
+    outside, holders = mixed.where("not inside"), mixed.where("holds")
+    joined = outside.join(_other(holders), "token").where(smaller & _fits(threshold)).select("key", "key_b")
+    return _pairs(joined.unionByName(mixed.where("inside").join(_other(holders.where("not inside")), "token").where(smaller & _fits(threshold)).select("key", "key_b")))
 
 
-def _links(live: DataFrame, chosen: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def _links(live: DataFrame, chosen: DataFrame, classes: DataFrame, renamed: dict, threshold: int) -> DataFrame | None:
     """Components of the classes. Stars first while lists would give many more pairs than they have rows, then every pair left."""
-    links, labels, turn = None, None, 0
+    links, labels, turn, most = None, None, 0, float("inf")
     while True:
-        mixed = _mixed(live, labels, classes)
-        inside, outside = F.count_if("inside"), F.count_if(~F.col("inside"))
-        cost = mixed.groupBy("token").agg((inside + outside).alias("n_rows"), (inside * outside + outside * (outside - 1) / 2).alias("n_pairs")).agg(F.sum("n_rows"), F.sum("n_pairs")).first()
+        mixed = _mixed(live, labels, classes, threshold)
+        inside = F.col("inside")
+        counted = mixed.groupBy("token").agg(F.count_if(inside).alias("i"), F.count_if(~inside).alias("o"), F.count_if(inside & F.col("holds")).alias("ih"), F.count_if(~inside & F.col("holds")).alias("oh"))
+        cost = counted.agg(F.sum(F.expr("i + o")), F.sum(F.expr("o * (ih + oh) + i * oh"))).first()
         if not cost[0]:
             return labels
-        last = cost[1] <= PAIRS_PER_ROW * cost[0] or turn == STARS
-        pairs = _between(mixed, threshold) if last else _star(mixed, threshold, turn)
-        new = written(_verified(written(_bounded(pairs, classes, threshold)), chosen, classes, threshold))
+        last = cost[1] <= PAIRS_PER_ROW * cost[0] or cost[1] > most / 2  # a star that saved less than half isn't followed by another
+        most = cost[1]
+        bounded = written(_bounded(_between(mixed, threshold) if last else _star(mixed, threshold, turn), classes, threshold))
+        new = _verified(bounded, chosen, classes, renamed, threshold)
         none = new.isEmpty()
+        discard(mixed, bounded)
         if not none:
             links = new if links is None else links.unionByName(new)
             labels = components(links)
         if last:
             return labels
-        turn = STARS if none else turn + 1
+        turn += 1
+
+
+def _named_apart(members: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Members whose key tells their class, and which (key, rest) have another key for that; of 2^32 classes, about one does."""
+    several = members.groupBy("key").agg(F.min("rest").alias("first"), F.max("rest").alias("last")).where("first != last").select("key", "first")
+    wrong = members.join(F.broadcast(several), "key").where("rest != first").select("key", "rest").distinct().collect()
+    if not wrong:
+        return members, {}
+    renamed = {(r["key"], r["rest"]): int(mix(np.array([r["key"] ^ (r["rest"] | 1)]).view(np.uint64)).view(np.int64)[0]) for r in wrong}
+    other = members.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "key long, rest long, other long")
+    return members.join(F.broadcast(other), ["key", "rest"], "left").withColumn("key", F.coalesce("other", "key")).drop("other"), renamed
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """Per document: id, n_shingles and component_id, the smallest id that links lead to."""
-    spark = docs.sparkSession
     lowest = F.lit(-(1 << 63)).cast("long")
     chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("did"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     sets = written(_sets(chosen, threshold))
-    members = sets.where("bits is not null")
-    classes = members.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"), F.min("did").alias("rep"))
+    members, renamed = _named_apart(sets.where("bits is not null"))
+    known = F.when(F.col("did") != lowest, F.col("did"))
+    classes = members.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"), F.min("did").alias("rep"), F.min(known).alias("least"))
     # bounded: LARGEST_BOUNDARY sizes, one number, FREQUENT shingles
     small = members.where("prefix is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     sizes = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
@@ -421,15 +477,27 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     squares = lists.agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"), F.sum("count").alias("all")).first()
     boundary = choose_boundary(sizes, squares["squares"] / squares["all"] - 1 if squares["all"] else 0.0, threshold)
     common = sets.where("bits is null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_SETS).orderBy(F.desc("n"), "key").limit(FREQUENT)
-    frequent = np.sort(np.array([r["key"] for r in common.select("key").collect()], np.int64).view(np.uint64))
-    live = written(_live(chosen, boundary, frequent, threshold))
-    labels = _links(live, chosen, classes, threshold)
+    by_count = np.array([r["key"] for r in common.orderBy("n", "key").select("key").collect()], np.int64).view(np.uint64)
+    place = np.argsort(by_count, kind="stable")
+    live = written(_live(chosen, boundary, by_count[place], place, renamed, threshold))
+    labels = _links(live, chosen, classes, renamed, threshold)
+    discard(live)
     if labels is None:
         labels = classes.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
-    named = members.select("did", "n", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    known = F.when(F.col("did") != lowest, F.col("did"))
-    least = named.where("n > 0").groupBy("component").agg(F.min(known).alias("component_id"))
-    return named.join(least, "component", "left").select(known.alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(known).alias("component_id"))
+    # one row a class; then every document finds its own, and a hot class is a skewed join's matter
+    named = written(classes.select("key", "least").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    joined = named.groupBy("component").agg(F.count("*").alias("classes"), F.min("least").alias("component_id")).where("classes > 1")
+    linked = written(joined.select("component", "component_id"))
+    own = named.join(linked, "component", "left").select("key", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return members.select("did", "n", "key").join(written(own), "key", "left").select(known.alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(known).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The documents, of those that similarity leads between only the first by id (of repeated or null ids, by text); those without words stay."""
+    number = unused(docs, "_number")
+    rows = numbered(docs, id_col, text_col, number)
+    gone = similar(rows, number, text_col, threshold).where((F.col(number) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(number)
+    return rows.join(gone, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

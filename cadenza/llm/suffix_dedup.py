@@ -10,7 +10,9 @@ order is made by most-significant-digit passes, and after each pass the groups t
 3. What is left - the first run of each range where ranges differ, which is where passages begin and end - is told apart by the
    windows themselves.
 
-Equal windows have the same least string, so that no pass parts them. Digits are compared as 64-bit hashes. Tasks combine their own
+Equal windows have the same least string, so that no pass parts them. Digits are hashes, as a row with the bytes would take several
+times the input: a range counts as equal if 64 bits of its string and 64 bits of the whole are, a window if `CHECK` bits of a second
+hash with another root are too. Tasks combine their own
 rows before each exchange: later rows of a group are known to be repeats there and then, and a string with many ranges sends on one
 row that says so, so that a passage in every document gives each exchange a few rows per task.
 
@@ -24,25 +26,28 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table, written
-from cadenza.llm.ngram_join import _powers, mix
+from cadenza.llm.common import numbered, table, unused, written
+from cadenza.llm.features import ROOT, mix, powers
 
 DEPTH = 100
 GRAM = 32
 #: Windows of a text that are hashed at once, rows that a task combines before it sends them on, ranges of a string that it sends.
 BLOCK, COMBINED, RANGES = 1 << 19, 1 << 19, 16
+#: Bits of the second hash, and of a window's place in its text (so that a text may have 256 GB).
+CHECK, PLACE = 24, 38
 
 FIRST, MANY, REPEAT, OPEN = range(4)
+OTHER_ROOT = 0xD1B54A32D192ED03
 
 
 class Hasher:
     """Hashes of any part of a block of bytes."""
 
-    def __init__(self, raw: np.ndarray):
-        up, self.down = _powers(len(raw) + 1)
+    def __init__(self, raw: np.ndarray, root: int = ROOT):
+        up, self.down = powers(len(raw) + 1, root)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
 
     def __call__(self, starts, ends) -> np.ndarray:
@@ -118,21 +123,43 @@ def _combine_runs(gram, span, did, lo, hi) -> pa.RecordBatch:
     return _batch(_RUN, *cols)
 
 
-def _whole_groups(batches, width: int):
-    """Batches of columns in which no value of the first column goes on in the next batch."""
-    held = None
+def _ranges(batches):
+    """Passes 1 and 2 over batches in order of string, kind, range, document and place: rows of (did, lo, hi, kind).
+
+    Of a string that goes on in the next batch, only its last range is carried on, whether it has several, and, while it has not, its
+    first row, of which it is not known yet whether it stays.
+    """
+    gram = span = first = None  # of the string that may go on; first is (did, lo, hi) while one range has been seen
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy() for k in range(width)]
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        cut = int(np.flatnonzero(_changes(cols[0]))[-1])
-        if cut:
-            yield [c[:cut] for c in cols]
-        held = [c[cut:] for c in cols]
-    if held is not None:
-        yield held
+        g, s, did, place = (batch.column(k).to_numpy() for k in range(4))
+        lo, hi, kind = _unplace(place)
+        passed = kind > MANY  # dealt by themselves: known already
+        out = [(did[passed], lo[passed], hi[passed], kind[passed])]
+        g, s, did, lo, hi, plain = (x[~passed] for x in (g, s, did, lo, hi, kind == FIRST))
+        if len(g):
+            goes_on = g[0] == gram
+            starts = _changes(g)
+            starts[0] = not goes_on
+            new = _changes(g, s) & plain
+            new[0] = plain[0] and not (goes_on and s[0] == span)
+            group = np.cumsum(starts) - starts[0]  # the string that goes on is group 0
+            ranges = np.bincount(group, new) + 2 * np.bincount(group, ~plain)
+            if goes_on:
+                ranges[0] += 2 if first is None else 1
+                if first is not None and ranges[0] > 1:
+                    out.append((*([np.array([x]) for x in first]), np.array([OPEN])))
+            several = ranges[group] > 1
+            keep = plain & (~new | several)
+            out.append((did[keep], lo[keep], hi[keep], np.where(new, OPEN, REPEAT)[keep]))
+            if ranges[-1] > 1:
+                first = None
+            elif not (goes_on and group[-1] == 0):
+                k = np.flatnonzero(starts)[-1]
+                first = did[k], lo[k], hi[k]
+            gram, span = g[-1], s[-1]
+        yield _batch(_MARK, *(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
 def _marks(docs: DataFrame, depth: int, gram: int) -> DataFrame:
@@ -152,23 +179,8 @@ def _marks(docs: DataFrame, depth: int, gram: int) -> DataFrame:
         if kept:
             yield _combine_runs(*(np.concatenate(c) for c in zip(*kept, strict=True)))
 
-    def sort_out(batches):
-        for gram, span, did, place in _whole_groups(batches, 4):
-            lo, hi, kind = _unplace(place)
-            mine = kind <= MANY
-            g, s, first = gram[mine], span[mine], kind[mine] == FIRST
-            passed = [x[~mine] for x in (did, lo, hi, kind)]
-            if len(g):
-                group = np.cumsum(_changes(g)) - 1
-                new = _changes(g, s) & first
-                ranges = np.bincount(group, new) + 2 * np.bincount(group, ~first)
-                out = np.where(new, OPEN, REPEAT)
-                keep = first & (~new | (ranges[group] > 1))
-                passed = [np.concatenate([p, x]) for p, x in zip(passed, (did[mine][keep], lo[mine][keep], hi[mine][keep], out[keep]), strict=True)]
-            yield _batch(_MARK, *passed)
-
     sent = docs.mapInArrow(send, _LONGS(_RUN)).repartition(F.expr(f"if({_KIND} <= {MANY}, gram, xxhash64(did, place))"))
-    return sent.sortWithinPartitions("gram", F.expr(_KIND), "span", "did", "place").mapInArrow(sort_out, _LONGS(_MARK))
+    return sent.sortWithinPartitions("gram", F.expr(_KIND), "span", "did", "place").mapInArrow(_ranges, _LONGS(_MARK))
 
 
 def _open_windows(docs: DataFrame, marks: DataFrame, depth: int) -> DataFrame:
@@ -176,10 +188,10 @@ def _open_windows(docs: DataFrame, marks: DataFrame, depth: int) -> DataFrame:
     todo = written(marks.where(f"kind = {OPEN}").groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
 
     def combine(kept):
-        window, did, lo = (np.concatenate(c) for c in zip(*kept, strict=True))
-        order = np.lexsort((lo, did, window))
-        window, did, lo = window[order], did[order], lo[order]
-        return _batch(_WINDOW, window, did, _place(lo, lo, np.where(_changes(window), FIRST, REPEAT)))
+        window, check, did, lo = (np.concatenate(c) for c in zip(*kept, strict=True))
+        order = np.lexsort((lo, did, check, window))
+        window, check, did, lo = (x[order] for x in (window, check, did, lo))
+        return _batch(_WINDOW, window, did, (check << PLACE | lo) << 2 | np.where(_changes(window, check), FIRST, REPEAT))
 
     def send(batches):
         kept, n = [], 0
@@ -191,9 +203,10 @@ def _open_windows(docs: DataFrame, marks: DataFrame, depth: int) -> DataFrame:
                     at = spans[0][0]
                     here = [x for x in spans if x[1] < at + BLOCK]
                     spans = spans[len(here) :]
-                    hasher = Hasher(raw[at : here[-1][1] + depth])
+                    part = raw[at : here[-1][1] + depth]
                     lo = np.concatenate([np.arange(a, b + 1) for a, b in here])
-                    kept.append((hasher(lo - at, lo - at + depth), np.full(len(lo), did), lo))
+                    check = Hasher(part, OTHER_ROOT)(lo - at, lo - at + depth) >> np.uint64(64 - CHECK)
+                    kept.append((Hasher(part)(lo - at, lo - at + depth), check.astype(np.int64), np.full(len(lo), did), lo))
                     n += len(lo)
                     if n >= COMBINED:
                         yield combine(kept)
@@ -202,17 +215,22 @@ def _open_windows(docs: DataFrame, marks: DataFrame, depth: int) -> DataFrame:
             yield combine(kept)
 
     def sort_out(batches):
-        for window, did, place in _whole_groups(batches, 3):
-            lo, _, kind = _unplace(place)
-            again = kind == REPEAT
-            fresh = ~again
-            if fresh.any():
-                again[fresh] = ~_changes(window[fresh])
+        before = None  # the last window that no task had seen before
+        for batch in batches:
+            window, did, place = (batch.column(k).to_numpy() for k in range(3))
+            check, lo = place >> 2 + PLACE, place >> 2 & (1 << PLACE) - 1
+            again = (place & 3) == REPEAT
+            fresh = np.flatnonzero(~again)
+            if len(fresh):
+                same = ~_changes(window[fresh], check[fresh])
+                same[0] = (window[fresh[0]], check[fresh[0]]) == before
+                again[fresh] = same
+                before = window[fresh[-1]], check[fresh[-1]]
             yield _batch(["did", "lo", "hi"], did[again], lo[again], lo[again])
 
     opened = docs.join(todo, "did").select("did", "body", "runs")
     sent = opened.mapInArrow(send, _LONGS(_WINDOW)).repartition(F.expr(f"if({_KIND} = {FIRST}, window, xxhash64(did, place))"))
-    return sent.sortWithinPartitions("window", F.expr(_KIND), "did", "place").mapInArrow(sort_out, _LONGS(["did", "lo", "hi"]))
+    return sent.sortWithinPartitions("window", F.expr(_KIND), F.expr(f"shiftright(place, {2 + PLACE})"), "did", "place").mapInArrow(sort_out, _LONGS(["did", "lo", "hi"]))
 
 
 def _merged(spans, depth: int) -> list[tuple[int, int]]:
@@ -226,15 +244,11 @@ def _merged(spans, depth: int) -> list[tuple[int, int]]:
     return out
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
-    """did, body and the document's columns, and its id; did orders the documents and is the id where ids are whole numbers and unique."""
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    repeated = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1))
-    if docs.schema[id_col].dataType.simpleString() in ("int", "bigint", "smallint", "tinyint") and repeated.isEmpty():
-        did = F.coalesce(F.col(id_col).cast("long"), F.lit(0))  # none is null; said so, both joins read one exchange of the texts
-        return docs.select(did.alias("did"), body.alias("body"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc")), F.col("did").cast(docs.schema[id_col].dataType)
-    ordered = docs.sort(F.col(id_col).asc_nulls_last(), text_col).withColumn("_did", F.monotonically_increasing_id())
-    return written(ordered).select(F.col("_did").alias("did"), body.alias("body"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc")), F.col(f"doc.`{id_col}`")
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """did, body and the document's columns; did orders the documents."""
+    number = unused(docs, "did")
+    rows = numbered(docs, id_col, text_col, number)
+    return rows.select(F.col(number).alias("did"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -247,9 +261,8 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    numbered, key = _numbered(docs.select(id_col, text_col), id_col, text_col)
-    spans = repeats(numbered, depth)
-    joined = numbered.join(spans, "did", "left").select(key.alias("key"), "body", "spans")
+    rows = _numbered(docs.select(id_col, text_col), id_col, text_col)
+    joined = rows.join(repeats(rows, depth), "did", "left").select(F.col(f"doc.`{id_col}`").alias("key"), "body", "spans")
 
     def make(batches):
         for batch in batches:
@@ -276,9 +289,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     Characters that a cut leaves in part are left out.
     """
-    numbered, _ = _numbered(docs, id_col, text_col)
+    rows = _numbered(docs, id_col, text_col)
     text = F.col(f"doc.`{text_col}`")
-    joined = numbered.select("did", "doc").join(repeats(numbered, depth), "did", "left")
+    joined = rows.select("did", "doc").join(repeats(rows, depth), "did", "left")
 
     @F.pandas_udf("string")
     def remaining(bodies, spans):
