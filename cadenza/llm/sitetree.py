@@ -1,19 +1,21 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree: a node is a path of block elements with their classes, and it knows how often it has
-which presentation (the sequence of its children) and which content (its own text). The importance of a node is one minus the
-entropy that its contents have over the pages: text that differs from page to page is the site's matter, text that returns is its
-frame. Varied presentation adds a little. Branches whose nodes are all of low importance are removed from each page.
-
-Elements that are frame by their meaning - menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments - are
-branches of no importance whatever their entropy, by tag, role, or a word of their class or id. Of hyphenated names all parts must say
-so, and none of `NEGATING` stand before them. Class words never mark an article, and where they alone would take every article, or all
-prose of a page, they don't count. Where a page has an article (or else a main element) with text, what lies outside has none either.
-Inside an article a branch goes only if nearly every page of many has it, and never if less than `LEAST_KEPT` of the text would stay.
-
-The tree's statistics are counts per host, path and content over the host's different pages: copies count once. They are summed again; a host with a third of all pages is no
-group that one task must hold. The low branches of each host are joined to its pages; few are sent to all tasks, many are met by a
-shuffle whose large partitions are split.
+The pages of a host, whole, are merged into one tree: a node is a path of block elements with their classes, and it knows how often it
+has which presentation (the sequence of its children) and which content (its own text). The importance of a node is the entropy that
+its contents have over the pages, as a share of the greatest possible: text that differs from page to page is the site's matter, text
+that returns is its frame. Varied presentation adds a little. The importance of a branch is that of its nodes, each weighed with its
+part of the branch's characters, which is the same from the leaves up. Branches of low importance are removed from each page.
+
+What elements mean is a prior, a factor of their importance. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and comments have `FRAME`, less than any threshold, by tag, role, or a word of their class or id. Of hyphenated names all parts
+must say so, and none of `NEGATING` stand before them. Class words never mark an article, and where they alone would take every
+article, or all prose of a page, they don't count. Where a page has an article (or else a main element) with text, what lies outside
+has `FRAME` too. So statistics alone can only remove more: inside an article a branch goes if nearly every page of many has it, and
+never if less than `LEAST_KEPT` of the text would stay.
+
+The tree's statistics are counts per host, path and content over the host's different pages: copies count once. They are summed again;
+a host with a third of all pages is no group that one task must hold. The low branches of each host are joined to its pages; few are
+sent to all tasks, many are met by a shuffle whose large partitions are split.
 
 Edge cases: null, empty and broken html give what text there is, or the empty string; pages without a host, and hosts with few pages,
 are judged by meaning alone; a page that would lose everything to statistics keeps what meaning leaves;
@@ -35,8 +37,8 @@ from cadenza.llm.common import table, written
 
 #: Least importance outside and inside articles, and the pages that a node must be in to be judged there.
 LEAST, PAGES, LEAST_IN_ARTICLE, PAGES_IN_ARTICLE = 0.3, 3, 0.1, 10
-#: What presentation adds to importance.
-PRESENTATION = 0.1
+#: What presentation adds to importance, and the prior of what is frame by its meaning.
+PRESENTATION, FRAME = 0.1, 0.2
 #: Share of an article's characters that statistics must leave, or else they take nothing.
 LEAST_KEPT = 1 / 3
 DEPTH = 16
@@ -145,7 +147,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str]]:
             stack.pop()
         attributes = {a.lower(): x or y or z for a, x, y, z in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         parent = stack[-1]
-        label = tag + "".join(f".{_DIGITS.sub('#', w)}" for w in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()[:4])
+        label = tag + "".join(f".{_DIGITS.sub('#', w).replace('/', '|')}" for w in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()[:4])
         path = f"{parent.path}/{label}" if len(stack) <= DEPTH else parent.path
         inside = tag if tag in (ARTICLE, MAIN) and parent.inside != ARTICLE else MAIN if attributes.get("role") == "main" and not parent.inside else parent.inside
         outermost = tag == ARTICLE and parent.inside != ARTICLE
@@ -168,9 +170,16 @@ def _has_prose(found: list[tuple[Node, str]]) -> bool:
     return any(node.tag in PROSE for node, _ in found) or sum(len(text.split()) for _, text in found) >= PROSE_WORDS
 
 
-def by_meaning(page: str) -> list[tuple[Node, str]]:
+def by_meaning(page: str) -> list[tuple[Node, str, bool]]:
+    """All texts of a page, and whether their elements mean that they are no frame."""
+    whole = list(blocks(page))
+    kept = {id(x) for x in _no_frame(whole)}
+    return [(*x, id(x) in kept) for x in whole]
+
+
+def _no_frame(whole: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
     """The texts that no frame holds, of the articles if these have text, else of the main element, else of the page."""
-    found = [(node, text) for node, text in blocks(page) if not node.frame]
+    found = [x for x in whole if not x[0].frame]
     articles = [x for x in found if x[0].inside == ARTICLE]
     for level in (0, 1):
         if own := [x for x in articles if x[0].marked <= level]:
@@ -187,55 +196,79 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def low_branches(pages: DataFrame) -> DataFrame:
-    """(site, html) to (site, paths): the nodes of low importance that meaning alone would keep."""
+def tree(pages: DataFrame) -> DataFrame:
+    """(site, html) to the site's nodes: site, path, kept (by meaning), article, pages, characters, content and style (entropies, from 0 to 1)."""
 
     def nodes(batches):
         for batch in batches:
-            sites, paths, styles, contents, articles, copies = [], [], [], [], [], []
+            rows: list[tuple] = []
             for site, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own: dict[str, list] = {}
-                for node, text in by_meaning(page):
-                    seen = own.setdefault(node.path, [node, []])
-                    seen[1].append(text)
-                made = [(path, "/".join(node.children), "\n".join(texts), node.inside == ARTICLE) for path, (node, texts) in own.items()]
-                copy = blake2b(repr(made).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                for path, style, content, article in made:
-                    sites.append(site)
-                    paths.append(path)
-                    styles.append(style)
-                    contents.append(content)
-                    articles.append(article)
-                    copies.append(int.from_bytes(copy, "big", signed=True))
-            cols = [pa.array(c, t) for c, t in zip((sites, paths, styles, contents, articles, copies), (pa.string(),) * 4 + (pa.bool_(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["site", "path", "style", "content", "article", "copy"])
-
-    made = pages.where("site != ''").mapInArrow(nodes, "site string, path string, style string, content string, article boolean, copy long")
-    made = made.select("site", "path", "article", "copy", F.xxhash64("style").alias("style"), F.xxhash64("content").alias("content"))
+                own: dict[tuple, list] = {}
+                for node, text, kept in by_meaning(page):
+                    own.setdefault((node.path, kept), [node, []])[1].append(text)
+                made = [(path, kept, node.inside == ARTICLE, sum(map(len, texts)), _hash("/".join(node.children)), _hash("\n".join(texts))) for (path, kept), (node, texts) in own.items()]
+                copy = _hash(repr(made))
+                rows += [(site, *row, copy) for row in made]
+            names = ["site", "path", "kept", "article", "chars", "style", "content", "copy"]
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * 4]
+            cols = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    made = pages.where("site != ''").mapInArrow(nodes, "site string, path string, kept boolean, article boolean, chars long, style long, content long, copy long")
     made = made.distinct()  # a page counts once, however many copies there are
-    key = ["site", "path", "article"]
+    key = ["site", "path", "kept", "article"]
 
     def spread(feature: str) -> DataFrame:
-        """One less the entropy over the pages: 0 where all pages have the same, 1 where each has its own."""
-        counts = made.groupBy(*key, feature).agg(F.count("*").alias("t"))
-        return counts.groupBy(*key).agg(F.sum("t").alias("pages"), (1 - F.sum(F.col("t") * F.log("t")) / (F.sum("t") * F.log(F.greatest(F.sum("t"), F.lit(2))))).alias(feature))
+        """The entropy over the pages as a share of the greatest: 0 where all pages have the same, 1 where each has its own."""
+        counts = made.groupBy(*key, feature).agg(F.count("*").alias("t"), F.sum("chars").alias("chars"))
+        entropy = 1 - F.sum(F.col("t") * F.log("t")) / (F.sum("t") * F.log(F.greatest(F.sum("t"), F.lit(2))))
+        return counts.groupBy(*key).agg(F.sum("t").alias("pages"), F.sum("chars").alias("chars"), entropy.alias(feature))
+
+    return spread("content").join(spread("style").drop("pages", "chars"), key)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    importance = F.col("content") + PRESENTATION * F.col("style") * (1 - F.col("content"))
-    judged = spread("content").join(spread("style").drop("pages"), key)
-    low = F.when(F.col("article"), (importance < LEAST_IN_ARTICLE) & (F.col("pages") >= PAGES_IN_ARTICLE)).otherwise((importance < LEAST) & (F.col("pages") >= PAGES))
+
+def branches(nodes: DataFrame) -> DataFrame:
+    """(site, path, kept, article, pages, importance) of every branch: of its nodes, weighed by their characters, prior times entropies."""
+    own = F.col("content") + PRESENTATION * F.col("style") * (1 - F.col("content"))
+    rated = nodes.withColumn("importance", own * F.when(F.col("kept"), 1.0).otherwise(FRAME))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))  # a path begins with "/"
+    each = rated.select("site", "kept", "article", "pages", "chars", "importance", F.explode(F.when(F.size(parts) > 1, above).otherwise(F.array("path"))).alias("path"))
+    weight = F.greatest(F.sum("chars"), F.lit(1))
+    return each.groupBy("site", "path", "kept", "article").agg(F.max("pages").alias("pages"), (F.sum(F.col("importance") * F.col("chars")) / weight).alias("importance"))
+
+
+def low_branches(pages: DataFrame) -> DataFrame:
+    """(site, html) to (site, paths): the branches of low importance in enough pages, of what meaning alone would keep.
+
+    Others have `FRAME` as their prior, and no entropy can raise them over the threshold: they need no look-up.
+    """
+    judged = branches(tree(pages)).where("kept")
+    low = F.when(F.col("article"), (F.col("importance") < LEAST_IN_ARTICLE) & (F.col("pages") >= PAGES_IN_ARTICLE)).otherwise((F.col("importance") < LEAST) & (F.col("pages") >= PAGES))
     return judged.where(low).groupBy("site").agg(F.collect_set("path").alias("paths"))
 
 
 def main_text(page: str, low: list[str] | None) -> str:
-    kept = by_meaning(page)
+    kept = [(node, text) for node, text, stays in by_meaning(page) if stays]
     if low:
         gone = set(low)
-        rest = [x for x in kept if x[0].path not in gone]
+        rest = [x for x in kept if not _within(x[0].path, gone)]
         least = LEAST_KEPT * sum(len(text) for node, text in kept if node.inside == ARTICLE)
         kept = rest if rest and sum(len(text) for _, text in rest) >= least else kept
     return " ".join(text for _, text in kept)
 
 
+def _within(path: str, gone: set[str]) -> bool:
+    """Is a node in one of the branches?"""
+    while path and path not in gone:
+        path = path.rpartition("/")[0]
+    return bool(path)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, text, n_chars."""
     chosen = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host(F.col(url_col)).alias("site"))
