@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import table, written
 
-TRAIN, PROBES, RECALL = 20_000, 128, 0.97
+TRAIN, PROBES, RECALL = 20_000, 128, 0.94
 #: Entries per cell that the number of centroids aims at, centroids of a half at most, entries of a block, least budget.
 CELL, CENTROIDS, BLOCK, LEAST = 8, 512, 4096, 64
 ROUNDS = 12
+#: Visits of a query to a block that are sent on together.
+VISITS = 2048
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -130,11 +132,17 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
     fields = "block long, asks int, id long, vec array<double>, ids array<long>, js array<int>"
 
     def visit(batches):
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "asks", "id", "vec", "ids", "js"])
+
+        rows: list[tuple] = []
         for batch in batches:
+            keys = batch.column(0).to_pylist()
             x = _matrix(batch.column(1), dim)
             first, second = squares(x[:, :half], books[0]), squares(x[:, half:], books[1])
-            blocks, ids, vecs, lists = [], [], [], []
-            for at, key in enumerate(batch.column(0).to_pylist()):
+            for at, key in enumerate(keys):
                 cells: dict[int, list[int]] = {}
                 for i, j, total in walk(first[at], second[at], counts):
                     cells.setdefault(i, []).append(j)
@@ -142,12 +150,12 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
                         break
                 for i, js in cells.items():
                     for block in range(first_block[i], first_block[i + 1]):
-                        blocks.append(block)
-                        ids.append(key)
-                        vecs.append(x[at])
-                        lists.append(js)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((blocks, [1] * len(ids), ids, vecs, [None] * len(ids), lists), kinds, strict=True)], ["block", "asks", "id", "vec", "ids", "js"])
+                        rows.append((block, 1, key, x[at], None, js))
+                        if len(rows) == VISITS:
+                            yield sent(rows)
+                            rows = []
+        if rows:
+            yield sent(rows)
 
     def rerank(batches):
         block, held, js, owners = None, None, None, None
