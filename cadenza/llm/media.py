@@ -1,12 +1,13 @@
 """Media columns: Netpbm and BMP images decoded to arrays, area-resized by integral images, written as NPY tiles with difference hashes.
 
-Decoded forms: Netpbm P1 to P6 with one or two bytes a sample, and uncompressed BMP of 1, 4, 8, 24 and 32 bits, either row order.
+Decoded forms: Netpbm P1 to P6, scaled to the whole range of one or two bytes a sample, and uncompressed BMP of 1, 4, 8, 16, 24 and 32
+bits, with or without masks, in either row order, with any header.
 A difference hash has one bit for each horizontal pair of a 9 x 8 area-resized grey image: is the left one brighter.
 
 The query stores a text's padded UTF-8 bytes as a grey image 64 samples wide: BMP where its height is even, else PGM. It decodes the
 stored bytes again and takes everything it reports from the decoded array.
 
-Edge cases: null texts and images count as empty; an empty text is one row of zeros; an image that can't be decoded gives nulls; rows
+Edge cases: null texts and images count as empty; an empty text is one row of zeros; an image that can't be decoded, or has no samples, gives nulls; rows
 that repeat give equal rows; an empty table gives no rows; only the named columns are read.
 """
 
@@ -53,8 +54,17 @@ def to_bmp(samples: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """Samples as (height, width, channels)."""
-    return _decode_bmp(data) if data[:2] == b"BM" else _decode_netpbm(data)
+    """Samples as (height, width, channels); ValueError where that can't be."""
+    try:
+        return _decode_bmp(data) if data[:2] == b"BM" else _decode_netpbm(data)
+    except (struct.error, OverflowError, IndexError, TypeError) as wrong:
+        raise ValueError(f"no image: {wrong}") from wrong
+
+
+def _sized(width: int, height: int, most: int) -> None:
+    """Images without samples, or with more than their bytes can hold, are none."""
+    if width < 1 or height < 1 or width * height > most:
+        raise ValueError("an image without samples, or with too many")
 
 
 def _decode_netpbm(data: bytes) -> np.ndarray:
@@ -62,8 +72,11 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     if not head:
         raise ValueError("neither Netpbm nor BMP")
     kind, width, height = int(head[1]), int(head[2]), int(head[3])
+    _sized(width, height, 8 * len(data))
     bitmap, channels = kind in (1, 4), 3 if kind in (3, 6) else 1
     at, most = (head.end(3), 1) if bitmap else (head.end(4), int(head[4]))
+    if not 1 <= most <= 65535:
+        raise ValueError("no such greatest value")
     n = width * height * channels
     if kind <= 3:
         body = re.sub(rb"#[^\n]*", b" ", data[at:])
@@ -74,23 +87,48 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         values = bits[:, :width].ravel()
     else:
         values = np.frombuffer(data, np.uint8 if most < 256 else ">u2", n, at + 1)
+    if len(values) and (values.min() < 0 or values.max() > most):
+        raise ValueError("a value over the greatest")
+    full = 255 if most < 256 else 65535
     if bitmap:  # 1 is black
-        values, most = (1 - values.astype(np.int64)) * 255, 255
-    return values.astype(np.uint8 if most < 256 else np.uint16, copy=False).reshape(height, width, channels)
+        values = (1 - values.astype(np.int64)) * 255
+    elif most != full:
+        values = (values.astype(np.int64) * full + most // 2) // most
+    return values.astype(np.uint8 if full == 255 else np.uint16, copy=False).reshape(height, width, channels)
+
+
+def _channel(values: np.ndarray, mask: int) -> np.ndarray:
+    """What a mask takes from 32-bit values, on the scale of a byte."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    shift = (mask & -mask).bit_length() - 1
+    most = mask >> shift
+    return (((values & mask) >> shift) * 255 + most // 2) // most
 
 
 def _decode_bmp(data: bytes) -> np.ndarray:
-    start, head = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<IiiHHIIiiII", data, 14)
-    size, width, height, _, bits, compression, _, _, _, colours, _ = head
-    if compression not in (0, 3) or bits not in (1, 4, 8, 24, 32) or compression == 3 and bits != 32:
+    start, size = struct.unpack_from("<II", data, 10)
+    if size == 12:  # the oldest header
+        width, height, _, bits = struct.unpack_from("<HHHH", data, 18)
+        compression, colours, entry = 0, 0, 3
+    else:
+        width, height, _, bits, compression, _, _, _, colours = struct.unpack_from("<iiHHIIiiI", data, 18)
+        entry = 4
+    if compression not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or compression == 3 and bits not in (16, 32):
         raise ValueError("compressed BMP")
+    _sized(width, abs(height), 8 * len(data))
     stride, rows = (width * bits + 31) // 32 * 4, abs(height)
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if height > 0:
         raw = raw[::-1]
+    if bits == 16 or compression == 3:
+        masks = struct.unpack_from("<III", data, 54) if compression == 3 else (0x7C00, 0x3E0, 0x1F)
+        values = np.ascontiguousarray(raw[:, : width * bits // 8]).view(f"<u{bits // 8}").astype(np.int64)
+        return np.stack([_channel(values, m) for m in masks], 2).astype(np.uint8)
     if bits >= 24:
         return np.ascontiguousarray(raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1])
-    palette = np.frombuffer(data, np.uint8, 4 * (colours or 1 << bits), 14 + size).reshape(-1, 4)[:, 2::-1]
+    known = min(colours or 1 << bits, 1 << bits)
+    palette = np.frombuffer(data, np.uint8, entry * known, 14 + size).reshape(-1, entry)[:, 2::-1]
     if bits == 8:
         index = raw[:, :width]
     else:
@@ -150,7 +188,7 @@ def tiles(images: DataFrame, id_col: str, content_col: str, height: int | None =
                     if height and width:
                         image = np.rint(area_resize(image, height, width)).astype(image.dtype)
                     rows = [(*image.shape[:2], y, x, npy, shown) for y, x, npy in npy_tiles(image, tile)]
-                except (ValueError, TypeError, struct.error, IndexError):
+                except ValueError:
                     rows = [(None,) * 6]
                 cols = [pa.array([key.as_py()] * len(rows), batch.schema[0].type), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] * 4 + [pa.binary(), pa.string()], strict=True)]]
                 yield pa.RecordBatch.from_arrays(cols, [id_col, "image_height", "image_width", "tile_row", "tile_col", "npy", "hash"])

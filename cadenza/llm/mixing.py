@@ -12,7 +12,7 @@ A running sum over one source would put a hot source into one task. Offsets are
 source's hash range first, rows within a bucket second.
 
 Edge cases: null or blank texts have size 0, take nothing and have no position; null sources are one source, the last; a table
-without words has targets 0; repeated rows are separate documents; null ids hash as the empty string. Columns of the input beyond
+without words has targets 0; repeated rows are separate documents; rows without an id are placed by their text. Columns of the input beyond
 the three used pass through only in ``take``.
 """
 
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import hex_int, table, word_count
+from cadenza.llm.common import hex_int, table, unused, word_count
 
 WEIGHTS = (1, 2, 3)
 SLOPES = (-0.5, 0.0, 0.5)
@@ -59,7 +59,7 @@ def passes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """Per document: id, size, source_size, target and passes, an array of (position, words taken) of those that take from it."""
     sizes = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"),
-        word_count(F.col(text_col)).alias("size"), hex_int(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8).alias("h"),
+        word_count(F.col(text_col)).alias("size"), hex_int(F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("/"), F.md5(F.coalesce(text_col, F.lit("")))))), 1, 8).alias("h"),
     )
     n = max(BUCKETS, math.ceil(docs.count() / BUCKET_ROWS))
     sizes = sizes.withColumn("bucket", F.shiftright(F.col("h") * n, 32))
@@ -106,10 +106,12 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
     made = passes(docs, id_col, text_col=text_col, **how).where(F.size("passes") > 0)
     last = F.element_at("passes", -1)["words"]
     marked = F.transform("passes", lambda x, k: F.struct(x["position"].alias("position"), k.alias("copy"), F.when((k == F.size("passes") - 1) & (last < F.col("size")), last.cast("int")).alias("cut")))
-    plan = made.select(F.col(id_col).alias("_id"), marked.alias("_passes")).groupBy("_id").agg(F.max_by("_passes", F.struct(F.size("_passes"), "_passes")).alias("_passes"))
-    mixed = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"])).select(*[docs[c] for c in docs.columns], F.explode("_passes").alias("_pass"))
-    text = F.when(F.col("_pass.cut").isNull(), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_pass.cut")))
-    return mixed.withColumn(text_col, text).sort("_pass.position", "_pass.copy").select(*docs.columns)
+    key, own, one = (unused(docs, x) for x in ("_id", "_passes", "_pass"))
+    plan = made.select(F.col(id_col).alias(key), marked.alias(own)).groupBy(key).agg(F.max_by(own, F.struct(F.size(own), own)).alias(own))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    mixed = docs.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col(key))).select(*columns, F.explode(own).alias(one))
+    text = F.when(F.col(f"{one}.cut").isNull(), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col(f"{one}.cut")))
+    return mixed.withColumn(text_col, text).sort(f"{one}.position", f"{one}.copy").select(*columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """WARC derivatives: every response record becomes a metadata record and a plain-text conversion record that refer to it.
 
 A derivative keeps the response's target URI, date, IP address and warc-info id, names its record id in WARC-Refers-To, and repeats
-its block and payload digests (they are computed where the response has none). Record ids are name-based, so that a rerun gives the
+its block and payload digests (they are computed where the response has none) in two headers of its own, `SOURCE_DIGESTS`, and the
+metadata record in its block too. Chunked bodies are put together, and those in gzip or deflate unpacked; broken ones are taken as they are. Record ids are name-based, so that a rerun gives the
 same. The metadata block is JSON: status, HTTP headers, title, language and links of the page; the conversion block is its text,
 one block element a line.
 
@@ -17,6 +18,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -28,9 +30,11 @@ from cadenza.llm.common import table
 DATE = "2024-01-01T00:00:00Z"
 #: Headers of the response that its derivatives keep.
 KEPT = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID")
+SOURCE_DIGESTS = {"source-block-digest": "WARC-Source-Block-Digest", "source-payload-digest": "WARC-Source-Payload-Digest"}
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:cadenza:warc")
 _SILENT = re.compile(r"(?is)<(script|style|template|noscript|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<![^>]*>")
 _BREAK = re.compile(r"(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|table|tr|section|article|header|footer|nav|aside|form|blockquote|pre|hr|dl|dt|dd|main|body|html|head)\b[^>]*>")
+_CELL = re.compile(r"(?i)</?(?:td|th|caption|option)\b[^>]*>")
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
 _LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
@@ -63,17 +67,47 @@ def parse(data: bytes, start: bytes = b"WARC/") -> tuple[str, list[tuple[str, st
 
 def response(key: str, url: str | None, body: bytes, date: str = DATE) -> bytes:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url or "")), ("WARC-Date", date)]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url or "", digest(block))), ("WARC-Date", date)]
     headers += [("WARC-Target-URI", url)] if url else []
     headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(body))]
     return record(headers, block)
 
 
 def plain_text(page: str) -> str:
-    lines = html.unescape(_TAG.sub("", _BREAK.sub("\n", _SILENT.sub(" ", page)))).split("\n")
+    lines = html.unescape(_TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", _SILENT.sub(" ", page))))).split("\n")
     return "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
 
 
+def unchunked(body: bytes) -> bytes:
+    """The parts of a chunked body; ValueError where their sizes don't say where they end."""
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16)
+        if not size:
+            return b"".join(out)
+        if end + 2 + size > len(body):
+            raise ValueError("a part is cut")
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def unpacked(http: list[tuple[str, str]], body: bytes) -> bytes:
+    """A body without its transfer and content codings."""
+    named = {k.lower(): v.lower() for k, v in http}
+    try:
+        if "chunked" in named.get("transfer-encoding", ""):
+            body = unchunked(body)
+        coding = named.get("content-encoding", "")
+        if "gzip" in coding:
+            return zlib.decompress(body, 31)
+        if "deflate" in coding:
+            return zlib.decompress(body, 15 if body[:1] == b"x" else -15)
+    except (ValueError, zlib.error):
+        pass
+    return body
+
+
 def page_metadata(status: str, http: list[tuple[str, str]], page: str, url: str) -> dict:
     title, lang = _TITLE.search(page), _LANG.search(page)
     links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)]
@@ -97,18 +131,18 @@ def derivatives(data: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]:
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = re.search(r"charset=[\"']?([\w-]+)", kind, re.I)
     try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace")
+        page = unpacked(http, body).decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = unpacked(http, body).decode("utf-8", "replace")
     source = named.get("warc-record-id", "")
     kept = [(k, named[k.lower()]) for k in KEPT if k.lower() in named]
     kept += [("WARC-Refers-To", source)] if source else []
     sums = {"source-block-digest": named.get("warc-block-digest") or digest(block), "source-payload-digest": named.get("warc-payload-digest") or digest(body)}
     meta = json.dumps(page_metadata(status, http, page, named.get("warc-target-uri", "")) | sums, ensure_ascii=False).encode()
     out = []
-    for name, mime, content in (("metadata", "application/json", meta), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"))):
-        own = [("WARC-Type", name), ("WARC-Record-ID", record_id(name, source, sums["source-block-digest"])), *kept, ("Content-Type", mime), ("WARC-Block-Digest", digest(content))]
-        out.append((name, own, content))
+    for kind, mime, content in (("metadata", "application/json", meta), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"))):
+        own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source, sums["source-block-digest"])), *kept, *((name, sums[k]) for k, name in SOURCE_DIGESTS.items()), ("Content-Type", mime), ("WARC-Block-Digest", digest(content))]
+        out.append((kind, own, content))
     return out
 
 
