@@ -19,10 +19,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similarity links lead between, the one with the smallest id; documents without words stay, and so do null ids."""
-    found = ngram_join.similar(docs)
-    gone = found.where("doc_id != component_id and n_shingles > 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that similarity links lead between, the one with the smallest id; documents without words stay."""
+    return ngram_join.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
