@@ -85,19 +85,37 @@ def _way(came: list[int]) -> list[int]:
 
 
 def pack_lines(words: DataFrame, width: int = 42, gap: int = 8) -> DataFrame:
-    """Words (rec, sentence, ix, start, end, text) to lines (rec, sentence, line, start, end, text, n_words, sentence_end)."""
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (rec, sentence), part in rows.sort_values("ix").groupby(["rec", "sentence"], sort=True):
-            texts, starts, ends, at = part["text"].tolist(), part["start"].tolist(), part["end"].tolist(), 0
-            for k, cut in enumerate(line_breaks(texts, width, gap)):
-                out.append((rec, sentence, k, starts[at], max(ends[at:cut]), join_units(texts[at:cut]), cut - at, cut == len(texts)))
-                at = cut
-        return pd.DataFrame(out, columns=["rec", "sentence", "line", "start", "end", "text", "n_words", "sentence_end"])
-
+    """Words (rec, sentence, ix, start, end, text) to lines (rec, sentence, line, start, end, text, n_words, sentence_end).
+
+    Sentences are dealt by themselves, so that a long recording is no task of its own; a task holds one batch and the sentence that goes on.
+    """
+    names = ["rec", "sentence", "start", "end", "text"]
+
+    def lines_of(rec: int, sentence: int, starts: list, ends: list, texts: list) -> Iterator[tuple]:
+        at = 0
+        for k, cut in enumerate(line_breaks(texts, width, gap)):
+            yield rec, sentence, k, starts[at], max(ends[at:cut]), join_units(texts[at:cut]), cut - at, cut == len(texts)
+            at = cut
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own = None, ([], [], [])
+        for frame in frames:
+            out: list[tuple] = []
+            for rec, sentence, *word in zip(*(frame[c].tolist() for c in names), strict=True):
+                if (rec, sentence) != key:
+                    if key:
+                        out += lines_of(*key, *own)
+                    key, own = (rec, sentence), ([], [], [])
+                for column, value in zip(own, word, strict=True):
+                    column.append(value)
+            yield pd.DataFrame(out, columns=made)
+        if key:
+            yield pd.DataFrame(list(lines_of(*key, *own)), columns=made)
+
+    made = ["rec", "sentence", "line", "start", "end", "text", "n_words", "sentence_end"]
     fields = "rec long, sentence long, line long, start double, end double, text string, n_words long, sentence_end boolean"
-    return words.groupBy("rec").applyInPandas(pack, fields)
+    ordered = words.repartition("rec", "sentence").sortWithinPartitions("rec", "sentence", "ix")
+    return ordered.select(*names).mapInPandas(pack, fields)
 
 
 def cue_breaks(starts: list[float], ends: list[float], sentences: list[int], sizes: list[int], max_lines: int, pause: float) -> list[int]:
@@ -124,9 +142,10 @@ def group_cues(lines: DataFrame, max_lines: int = 2, pause: float = 0.7) -> Data
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["sentence", "line"])
-        cuts = cue_breaks(rows["start"].tolist(), rows["end"].tolist(), rows["sentence"].tolist(), rows["n_words"].tolist(), max_lines, pause)
-        parts = [rows.iloc[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-        return pd.DataFrame([(p["rec"].iloc[0], k, p["start"].iloc[0], p["end"].max(), "\n".join(p["text"])) for k, p in enumerate(parts)], columns=["rec", "ix", "start", "end", "cue_text"])
+        starts, ends, texts = (rows[c].tolist() for c in ("start", "end", "text"))
+        cuts = cue_breaks(starts, ends, rows["sentence"].tolist(), rows["n_words"].tolist(), max_lines, pause)
+        parts = enumerate(zip([0, *cuts], cuts, strict=False))
+        return pd.DataFrame([(rows["rec"].iloc[0], k, starts[a], max(ends[a:b]), "\n".join(texts[a:b])) for k, (a, b) in parts], columns=["rec", "ix", "start", "end", "cue_text"])
 
     return lines.groupBy("rec").applyInPandas(group, "rec long, ix long, start double, end double, cue_text string")
 

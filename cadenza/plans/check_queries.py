@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import numbers as n
 from cadenza.operators import checks, reconcile
 from cadenza.plans.base import CT, EV, IT, IV, LN, intervals, job_events, lines, query, table
+from cadenza.sources import media
 
 SECOND = 1_000_000
 _FIELDS = "start := start / 1e6, \"end\" := \"end\" / 1e6, text := CASE WHEN event_id % 13 = 0 THEN ' ' ELSE text END, probability := CASE WHEN event_id % 7 > 0 THEN (event_id % 11) / 10 END"
@@ -361,3 +362,10 @@ def st15(spark, sf):
     """Lines as single words that last by their length: those over seven seconds in parts."""
     rows = lines(spark, sf).select("rec", "ix", (F.col("ix") * 100.0).alias("start"), (F.col("ix") * 100.0 + F.length("line") / 8).alias("end"), F.col("line").alias("text"), F.lit(None).cast("double").alias("probability"))
     return reconcile.split_long_words(rows, 7.0)
+
+
+@query("ag21_file_digests")
+def ag21(spark, sf):
+    """Size and digest of every file of the small dimension tables."""
+    made = [media.file_fingerprints(spark, f"{sf}/{name}.parquet").select(F.lit(name).alias("table"), "size", "sha256") for name in ("region", "nation")]
+    return made[0].unionByName(made[1])
