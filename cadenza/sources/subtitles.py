@@ -23,7 +23,7 @@ ASS_PATTERN = r"^(Dialogue|Comment): (\d+),([^,]*),([^,]*),([^,]*),([^,]*),(\d+)
 
 def _blocks(files: DataFrame, skip: int = 0) -> DataFrame:
     """(rec, ix, lines) of the blocks between blank lines, from block ``skip`` on."""
-    plain = F.regexp_replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"\r\n?", "\n"), r"^\s+|\s+$", "")
     parts = files.select("rec", F.posexplode(F.split(plain, r"\n[ \t]*\n+")).alias("ix", "block"))
     return parts.where((F.col("ix") >= skip) & (F.col("block") != "")).select("rec", (F.col("ix") - skip).alias("ix"), F.split("block", "\n").alias("lines"))
 

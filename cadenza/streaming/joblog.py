@@ -18,7 +18,7 @@ STATE = "last_id long, finished array<string>, closed boolean"
 def fold(events: DataFrame) -> DataFrame:
     """(job, at, kind, path, state) to the same events with ids from 1 per job, and how many items are finished.
 
-    Events after a job's ``done`` are dropped. The state of a job holds its last id and the paths that are finished.
+    Events after a job's ``done`` are dropped. The state of a job holds its last id and, while it runs, the paths that are finished.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -32,7 +32,7 @@ def fold(events: DataFrame) -> DataFrame:
                 paths.add(e.path)
             closed = e.kind == "done"
             rows.append((key[0], last, e.kind, e.path, e.state, len(paths), closed))
-        state.update((last, sorted(paths), closed))
+        state.update((last, [] if closed else sorted(paths), closed))  # at most a batch's items, and none once the job is done
         yield pd.DataFrame(rows, columns=["job", "event_id", "kind", "path", "state", "finished", "closed"])
 
     return events.groupBy("job").applyInPandasWithState(step, FOLDED, STATE, "append", GroupStateTimeout.NoTimeout)

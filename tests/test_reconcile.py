@@ -212,3 +212,20 @@ def test_file_fingerprints(spark, tmp_path):
         (tmp_path / "deep" / name).write_bytes(body)
     found = {r.path.rsplit("/", 1)[1]: (r.size, r.sha256) for r in file_fingerprints(spark, str(tmp_path)).collect()}
     assert found == {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in made.items()}
+
+
+def test_files_from_elsewhere(spark):
+    """Byte order marks, line ends of every kind, missing numbers and broken time lines."""
+    from cadenza.sources.subtitles import parse_ass_events, parse_srt, parse_vtt
+
+    srt = "\ufeff1\r\n00:00:01,000 --> 00:00:02,500\r\nline one\r\nline two\r\n\r\n\r\n2\r\n00:00:03,000 -> 00:00:04,000\r\nbroken\r\n\r\nx\r\n00:00:05,000 --> 00:00:06,000\r\nno number"
+    df = spark.createDataFrame([(1, srt), (2, srt.replace("\r\n", "\r")), (3, srt.replace("\r\n", "\n"))], "rec long, text string")
+    for rec in (1, 2, 3):
+        found = sorted(tuple(r)[1:] for r in parse_srt(df.where(f"rec = {rec}")).collect())
+        assert found == [(0, 1, 1000, 2500, "line one\nline two"), (1, 2, None, None, "broken"), (2, None, 5000, 6000, "no number")]
+    vtt = "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\na &amp; b\n\n7\n00:00:03.000 --> 00:00:04.000\nc <i>d</i>\n"
+    found = sorted(tuple(r)[1:] for r in parse_vtt(spark.createDataFrame([(1, vtt)], "rec long, text string")).collect())
+    assert found == [(0, 1, 1000, 2000, "a & b"), (1, 7, 3000, 4000, None)]
+    ass = "[Events]\r\nDialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,a, b\\\\Nc\r\nDialogue: x\r\nComment: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,note"
+    events = parse_ass_events(spark.createDataFrame([(1, ass.replace("\\\\", "\\"))], "rec long, text string")).collect()
+    assert [(e.event_type, e.event_text) for e in events] == [("Dialogue", "a, b\\Nc"), ("Comment", "note")]
