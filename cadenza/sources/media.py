@@ -111,6 +111,6 @@ def transcribe(audio: DataFrame, recogniser, schema: str) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, modified, sha256) of the files under ``path``; a file is read by one task, and may have up to 2 GB."""
+    """(path, size, modified, sha256) of the files under ``path``; a file is read by one task, and may have up to 2 GB; scans leave empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
