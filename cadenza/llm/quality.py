@@ -144,7 +144,7 @@ class Learner:
         return {key for own in self.taught for key in own}
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, labelled: int) -> DataFrame:
+def _wanted(docs: DataFrame, labels: DataFrame, id_col: str, labelled: int = LABELLED) -> DataFrame:
     """At most ``labelled`` ids with their labels, and how many labelled documents each stands for."""
     names = list(LABELS)
     known = written(_clear(labels, id_col).join(docs.select(id_col).where(F.col(id_col).isNotNull()).distinct(), id_col, "left_semi"))
@@ -289,7 +289,7 @@ def surest(pool: DataFrame, learners: dict[str, Learner], model: dict) -> list:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, rounds: int = ROUNDS) -> dict:
     """Features, layout statistics, and for each label both views' weights and calibration."""
-    chosen = docs.select(*_columns(docs, id_col)).join(F.broadcast(_labelled(docs, labels, id_col, labelled)), id_col)  # at most `labelled` rows
+    chosen = docs.select(*_columns(docs, id_col)).join(F.broadcast(_wanted(docs, labels, id_col, labelled)), id_col)  # at most `labelled` rows
     extra = ", ".join(f"{c} int" for c in LABELS) + ", stands_for double"
     noted = _noted(chosen.select(id_col, "text", "lang", "source", *LABELS, "stands_for"), None, extra)
     least = F.min(F.struct("found", "lang", "source", "layout", *LABELS, "stands_for")).alias("x")
