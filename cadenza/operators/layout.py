@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.operators.reconcile import SIMILAR, compact
+from cadenza.operators.reconcile import SIMILAR, compact, display_units, display_units_of  # noqa: F401  units are part of the layout
 
 # Word lists of the layout rules (Russian) and their weights.
 CONJUNCTIONS = ("а", "да", "и", "или", "либо", "но")
