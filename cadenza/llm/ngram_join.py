@@ -16,9 +16,10 @@ of them suffices. So what pages of one template share is in no prefix unless the
 
 Of a pair, the smaller set must have the first shared token within a still shorter prefix: it needs an overlap of 2 t / (1 + t) of its
 own size. Rows within that prefix hold a list, the others only ask it, lists that nobody holds are dropped, and pairs are made of
-holders and askers of at least their size. While lists would still give many more pairs than rows, each class is compared with one
-class of each of its lists (a star), and what is similar joins a component, as long as that halves the pairs. In the end all askers and
-holders of one list are compared that are still in different components, for no other pair can change a component. A candidate pair
+holders and askers of at least their size. Rounds follow each other: lists that have no more than `CENTRES` pairs a row
+are compared whole and are done; of longer ones, each class outside the list's largest component is compared with so many classes of
+the list (a star), and what is similar joins a component. Then lists that lie within one component are done too, and `CENTRES` is
+raised to its next power, so that in the end every list has been compared whole but for pairs within a component. A candidate pair
 must pass an exact upper bound on the overlap from parity bitmaps; then the sets are compared.
 
 A class is told by 128 bits of a cryptographic hash of its set, in which small sets stand with their very words: two documents of one
@@ -52,8 +53,8 @@ LARGEST_BOUNDARY = 96
 VERIFY_COST = 4
 #: Shingles counted together when very frequent ones are looked for, sets of a block that must share one, sets in all, and how many are kept.
 BLOCK_SHINGLES, LOCAL_SETS, FREQUENT_SETS, FREQUENT = 1 << 20, 3, 48, 1 << 17
-#: Pairs that a list row may give, in the mean, before stars come first.
-PAIRS_PER_ROW = 4
+#: Classes of a long list that each of its rows is compared with in the first round; in the next ones, powers of that.
+CENTRES = 8
 #: Sets of up to so many shingles have bitmaps of under 256 bits.
 SKETCHED = 32
 #: Bytes of text that are hashed at once.
@@ -383,17 +384,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, renamed: di
     return found
 
 
-def _mixed(live: DataFrame, labels: DataFrame | None, classes: DataFrame, threshold: int) -> DataFrame:
-    """Rows of the lists that are held and still join different components: each with its component, whether that is the list's largest, whether it holds, and its sketch."""
+def _mixed(rows: DataFrame, labels: DataFrame | None, classes: DataFrame, threshold: int, centres: int) -> DataFrame:
+    """Rows of the lists that are held and still join different components: each with its component, whether that is the list's largest, whether it holds, its sketch, and whether its list is short: all its pairs are no more than ``centres`` for each row."""
+    named = rows.select("token", "key", "n", "most", *(["sketch"] if "sketch" in rows.columns else []))
     if labels is None:
-        named = live.withColumn("component", F.col("key"))
+        named = named.withColumn("component", F.col("key"))
     else:
-        named = live.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        named = named.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = named.withColumn("holds", holds(F.col("n").cast("long"), F.col("most").cast("long"), threshold))
-    counts = named.groupBy("token", "component").agg(F.count("*").alias("count"), F.max("holds").alias("holds"))
-    major = counts.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("parts"), F.max("holds").alias("held")).where("parts > 1 and held")
-    rows = named.join(major, "token").select("token", "key", "n", "most", "holds", "component", (F.col("component") == F.col("major")).alias("inside"))
-    return written(rows.join(classes.select("key", "sketch"), "key"))
+    counts = named.groupBy("token", "component").agg(F.count("*").alias("count"), F.count_if("holds").alias("held"))
+    most = F.max_by(F.struct("component", "count", "held"), F.struct("count", "component")).alias("most")
+    lists = counts.groupBy("token").agg(most, F.count("*").alias("parts"), F.sum("count").alias("size"), F.sum("held").alias("held")).where("parts > 1 and held > 0")
+    outside = F.col("size") - F.col("most.count")
+    pairs = outside * F.col("held") + F.col("most.count") * (F.col("held") - F.col("most.held"))
+    lists = lists.select("token", F.col("most.component").alias("major"), (pairs <= centres * F.col("size")).alias("short"))
+    out = named.join(lists, "token").withColumn("inside", F.col("component") == F.col("major")).drop("major")
+    return written(out if "sketch" in rows.columns else out.join(classes.select("key", "sketch"), "key"))
 
 
 def _fits(threshold: int):
@@ -412,11 +418,12 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
 
-def _star(mixed: DataFrame, threshold: int, turn: int) -> DataFrame:
-    """Classes outside their list's largest component, each with one class in it; the lists choose different ones."""
-    centre = F.min_by(F.struct("key", "n", "most", "component", "sketch"), F.xxhash64("key", "token", F.lit(turn))).alias("centre")
-    centres = mixed.where("inside").groupBy("token").agg(centre).select("token", "centre.*")
-    return _pairs(mixed.where("not inside").join(_other(centres), "token").where(_fits(threshold)))
+def _star(mixed: DataFrame, threshold: int, turn: int, centres: int) -> DataFrame:
+    """Classes outside their list's largest component, each with up to ``centres`` classes of the list; the lists choose different ones."""
+    chance = F.xxhash64("key", "token", F.lit(turn))
+    one = F.min_by(F.struct("key", "n", "most", "component", "sketch"), chance).alias("centre")
+    chosen = mixed.groupBy("token", F.pmod(chance, F.lit(centres))).agg(one).select("token", "centre.*")
+    return _pairs(mixed.where("not inside").join(_other(chosen), "token").where(_fits(threshold)))
 
 
 def _between(mixed: DataFrame, threshold: int) -> DataFrame:
@@ -428,27 +435,25 @@ def _between(mixed: DataFrame, threshold: int) -> DataFrame:
 
 
 def _links(live: DataFrame, chosen: DataFrame, classes: DataFrame, renamed: dict, threshold: int) -> DataFrame | None:
-    """Components of the classes. Stars first while lists would give many more pairs than they have rows, then every pair left."""
-    links, labels, turn, most = None, None, 0, float("inf")
+    """Components of the classes. A round compares all pairs of short lists, and of long ones each row with some; what is short grows with every round."""
+    links, labels, turn, before, rows = None, None, 0, None, live
     while True:
-        mixed = _mixed(live, labels, classes, threshold)
-        inside = F.col("inside")
-        counted = mixed.groupBy("token").agg(F.count_if(inside).alias("i"), F.count_if(~inside).alias("o"), F.count_if(inside & F.col("holds")).alias("ih"), F.count_if(~inside & F.col("holds")).alias("oh"))
-        cost = counted.agg(F.sum(F.expr("i + o")), F.sum(F.expr("o * (ih + oh) + i * oh"))).first()
-        if not cost[0]:
+        centres = CENTRES ** (turn + 1)
+        mixed = _mixed(rows, labels, classes, threshold, centres)
+        if before is not None:
+            discard(before)
+        if mixed.isEmpty():
             return labels
-        last = cost[1] <= PAIRS_PER_ROW * cost[0] or cost[1] > most / 2  # a star that saved less than half isn't followed by another
-        most = cost[1]
-        bounded = written(_bounded(_between(mixed, threshold) if last else _star(mixed, threshold, turn), classes, threshold))
+        rows = mixed.where("not short")
+        bounded = written(_bounded(_between(mixed.where("short"), threshold).unionByName(_star(rows, threshold, turn, centres)).distinct(), classes, threshold))
         new = _verified(bounded, chosen, classes, renamed, threshold)
-        none = new.isEmpty()
-        discard(mixed, bounded)
-        if not none:
+        discard(bounded)
+        if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = components(links)
-        if last:
+        if rows.isEmpty():
             return labels
-        turn += 1
+        before, turn = mixed, turn + 1
 
 
 def _named_apart(members: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
