@@ -1,6 +1,5 @@
 """Queries that once took less than the whole of their input, on small tables of their own."""
 
-import math
 import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
