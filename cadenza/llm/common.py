@@ -33,15 +33,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """``docs`` with a column ``name`` that tells rows apart and orders them: the id, where ids are whole numbers, unique and not null.
+def numbered(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a column ``name`` that tells rows apart and orders them: the id, where ids are whole numbers, unique and not null; and is it that.
 
     Otherwise rows are numbered in order of id (null last), then text.
     """
     repeated = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1))
     if docs.schema[id_col].dataType.simpleString() in ("int", "bigint", "smallint", "tinyint") and repeated.isEmpty():
-        return docs.withColumn(name, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))  # none is null; said so, plans can share exchanges
-    return written(docs.sort(F.col(id_col).asc_nulls_last(), text_col).withColumn(name, F.monotonically_increasing_id()))
+        return docs.withColumn(name, F.coalesce(F.col(id_col).cast("long"), F.lit(0))), True  # none is null; said so, plans can share exchanges
+    return written(docs.sort(F.col(id_col).asc_nulls_last(), text_col).withColumn(name, F.monotonically_increasing_id())), False
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -500,7 +500,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The documents, of those that similarity leads between only the first by id (of repeated or null ids, by text); those without words stay."""
     number = unused(docs, "_number")
-    rows = numbered(docs, id_col, text_col, number)
+    rows, _ = numbered(docs, id_col, text_col, number)
     gone = similar(rows, number, text_col, threshold).where((F.col(number) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(number)
     return rows.join(gone, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import numbered, table, unused, written
@@ -244,11 +244,13 @@ def _merged(spans, depth: int) -> list[tuple[int, int]]:
     return out
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did, body and the document's columns; did orders the documents."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """did, body and the document's columns; did orders the documents. And its id: from did where that is the id, so that both joins read one exchange of the texts."""
     number = unused(docs, "did")
-    rows = numbered(docs, id_col, text_col, number)
-    return rows.select(F.col(number).alias("did"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows, is_id = numbered(docs, id_col, text_col, number)
+    key = F.col("did").cast(docs.schema[id_col].dataType) if is_id else F.col(f"doc.`{id_col}`")
+    rows = rows.select(F.col(number).alias("did"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return rows, key
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -261,8 +263,8 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = _numbered(docs.select(id_col, text_col), id_col, text_col)
-    joined = rows.join(repeats(rows, depth), "did", "left").select(F.col(f"doc.`{id_col}`").alias("key"), "body", "spans")
+    rows, key = _numbered(docs.select(id_col, text_col), id_col, text_col)
+    joined = rows.join(repeats(rows, depth), "did", "left").select(key.alias("key"), "body", "spans")
 
     def make(batches):
         for batch in batches:
@@ -289,7 +291,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     Characters that a cut leaves in part are left out.
     """
-    rows = _numbered(docs, id_col, text_col)
+    rows, _ = _numbered(docs, id_col, text_col)
     text = F.col(f"doc.`{text_col}`")
     joined = rows.select("did", "doc").join(repeats(rows, depth), "did", "left")
 
