@@ -37,7 +37,7 @@ GRAM = 32
 #: Windows of a text that are hashed at once, rows that a task combines before it sends them on, ranges of a string that it sends.
 BLOCK, COMBINED, RANGES = 1 << 19, 1 << 19, 16
 #: Bits of the second hash, and of a window's place in its text (so that a text may have 256 GB).
-CHECK, PLACE = 24, 38
+CHECK, PLACE = 8, 38
 
 FIRST, MANY, REPEAT, OPEN = range(4)
 OTHER_ROOT = 0xD1B54A32D192ED03
