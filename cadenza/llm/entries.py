@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from cadenza.llm import ann, media, mixing, ngram_join, packing, quality, sharding, sitetree, suffix_dedup, warc
+from cadenza.llm import ann, media, mixing, ngram_join, packing, quality, sharding, simhash, sitetree, suffix_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 SQL = {
