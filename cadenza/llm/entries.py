@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from cadenza.llm import ann, media, mixing, ngram_join, packing, quality, repair, sharding, simhash, sitetree, suffix_dedup, warc
+from cadenza.llm import ann, divergence, media, mixing, ngram_join, packing, quality, repair, sharding, simhash, sitetree, suffix_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,10 +15,12 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_simhash": simhash.op11_simhash,
     "op12_repair": repair.op12_repair,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 SQL = {
     "op3_sharding": sharding.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op12_repair": repair.OP12_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }
