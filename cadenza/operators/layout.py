@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.functions.text import join_glued
 from cadenza.operators.reconcile import SIMILAR, compact, display_units, display_units_of  # noqa: F401  units are part of the layout
 
 # Word lists of the layout rules (Russian) and their weights.
@@ -23,6 +24,8 @@ SHORT_LINE = {1: 20, 2: 6}
 ORPHAN = {1: 10, 2: 3}
 WEAK_END, CONJUNCTION, PLAIN = 6, 1, 3
 PAIR_GAP = 0.5
+#: What is around a token.
+AROUND = ".,!?…;:—-\"'«»“”’()[]{}"
 
 _POINTS = T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
 
@@ -49,10 +52,18 @@ def join_units(words: list[str]) -> str:
     return out
 
 
+def plain(token: str) -> str:
+    """A token as the word lists have it."""
+    return token.casefold().strip(AROUND)
+
+
 def line_breaks(words: list[str], width: int, gap: int) -> list[int]:
-    """Ends of the lines of one sentence: fewest lines, then least penalty, overflow and raggedness; the earliest on a tie."""
-    marks = "".join({c for w in words for c in w if not c.isalnum()})
-    bare = [w.lower().strip(marks) for w in words]
+    """Ends of the lines of one sentence: fewest lines, then least penalty, overflow and raggedness; the earliest on a tie.
+
+    A unit may hold several tokens (a dash and a word), and one that ends in a hyphen makes one token with the next: lines are judged
+    by the tokens of their text.
+    """
+    first = [plain(w) for w in words]
     best: list[tuple | None] = [(0, 0, 0, 0)] + [None] * len(words)
     came = [0] * (len(words) + 1)
     for start in range(len(words)):
@@ -63,12 +74,13 @@ def line_breaks(words: list[str], width: int, gap: int) -> list[int]:
             size = len(text)
             if size > width + gap and end > start + 1:
                 break
-            cost = SHORT_LINE.get(end - start, 0)
+            tokens = text.split()
+            cost = SHORT_LINE.get(len(tokens), 0)
             if end < len(words):
-                if bare[end - 1] in WEAK_ENDS:
+                if tokens and plain(tokens[-1]) in WEAK_ENDS:
                     cost += WEAK_END
-                elif not text.endswith(GOOD_ENDS):
-                    cost += CONJUNCTION if bare[end] in CONJUNCTIONS else PLAIN
+                elif not text.rstrip().endswith(GOOD_ENDS):
+                    cost += CONJUNCTION if first[end] in CONJUNCTIONS else PLAIN
             rank = (lines + 1, penalty + cost, over + max(0, size - width), ragged + size * size)
             if best[end] is None or rank < best[end]:
                 best[end], came[end] = rank, start
@@ -84,38 +96,38 @@ def _way(came: list[int]) -> list[int]:
     return ends[::-1]
 
 
-def pack_lines(words: DataFrame, width: int = 42, gap: int = 8) -> DataFrame:
-    """Words (rec, sentence, ix, start, end, text) to lines (rec, sentence, line, start, end, text, n_words, sentence_end).
+def _taken(ends: Column, items: Column) -> Column:
+    """The runs of ``items`` that end at ``ends``."""
+    return F.transform(ends, lambda end, k: F.slice(items, F.coalesce(F.get(ends, k - 1), F.lit(0)) + 1, end - F.coalesce(F.get(ends, k - 1), F.lit(0))))
+
+
+def _spans(parts: Column) -> Column:
+    """(start, end, texts) of runs of (start, end, text)."""
+    return F.transform(parts, lambda p: F.struct(p[0]["start"].alias("start"), F.array_max(F.transform(p, lambda w: w["end"])).alias("end"), F.transform(p, lambda w: w["text"]).alias("texts")))
 
-    Sentences are dealt by themselves, so that a long recording is no task of its own; a task holds one batch and the sentence that goes on.
+
+def _in_turn(*columns: str) -> Column:
+    """A group's rows as an array, in order of the first column."""
+    return F.array_sort(F.collect_list(F.struct(*columns)))
+
+
+def pack_lines(words: DataFrame, width: int = 42, gap: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Words (rec, sentence, ix, start, end, text) to lines (rec, sentence, line, start, end, text, n_words, sentence_end); ``keep`` names columns that a recording has one value of.
+
+    A sentence is a row, so that a long recording is no task of its own; words that are already dealt by recording stay where they are.
     """
-    names = ["rec", "sentence", "start", "end", "text"]
-
-    def lines_of(rec: int, sentence: int, starts: list, ends: list, texts: list) -> Iterator[tuple]:
-        at = 0
-        for k, cut in enumerate(line_breaks(texts, width, gap)):
-            yield rec, sentence, k, starts[at], max(ends[at:cut]), join_units(texts[at:cut]), cut - at, cut == len(texts)
-            at = cut
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, own = None, ([], [], [])
-        for frame in frames:
-            out: list[tuple] = []
-            for rec, sentence, *word in zip(*(frame[c].tolist() for c in names), strict=True):
-                if (rec, sentence) != key:
-                    if key:
-                        out += lines_of(*key, *own)
-                    key, own = (rec, sentence), ([], [], [])
-                for column, value in zip(own, word, strict=True):
-                    column.append(value)
-            yield pd.DataFrame(out, columns=made)
-        if key:
-            yield pd.DataFrame(list(lines_of(*key, *own)), columns=made)
-
-    made = ["rec", "sentence", "line", "start", "end", "text", "n_words", "sentence_end"]
-    fields = "rec long, sentence long, line long, start double, end double, text string, n_words long, sentence_end boolean"
-    ordered = words.repartition("rec", "sentence").sortWithinPartitions("rec", "sentence", "ix")
-    return ordered.select(*names).mapInPandas(pack, fields)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def breaks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda own: line_breaks(list(own), width, gap))
+
+    rows = words.groupBy("rec", "sentence").agg(_in_turn("ix", "start", "end", "text").alias("_w"), *[F.first(c).alias(c) for c in keep])
+    rows = rows.withColumn("_cuts", breaks(F.col("_w.text")))
+    lines = rows.select("rec", "sentence", *keep, F.posexplode(_spans(_taken(F.col("_cuts"), F.col("_w")))).alias("line", "_l"), F.size("_cuts").alias("_n"))
+    return lines.select(
+        "rec", "sentence", F.col("line").cast("long").alias("line"), "_l.start", "_l.end", join_glued(F.col("_l.texts")).alias("text"),
+        F.size("_l.texts").cast("long").alias("n_words"), (F.col("line") == F.col("_n") - 1).alias("sentence_end"), *keep,
+    )
 
 
 def cue_breaks(starts: list[float], ends: list[float], sentences: list[int], sizes: list[int], max_lines: int, pause: float) -> list[int]:
@@ -137,17 +149,28 @@ def cue_breaks(starts: list[float], ends: list[float], sentences: list[int], siz
     return _way(came)
 
 
-def group_cues(lines: DataFrame, max_lines: int = 2, pause: float = 0.7) -> DataFrame:
-    """Lines to cues (rec, ix, start, end, cue_text)."""
+def group_cues(lines: DataFrame, max_lines: int = 2, pause: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines (rec, sentence, line, start, end, text) to cues (rec, ix, start, end, cue_text) of one or two lines.
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sentence", "line"])
-        starts, ends, texts = (rows[c].tolist() for c in ("start", "end", "text"))
-        cuts = cue_breaks(starts, ends, rows["sentence"].tolist(), rows["n_words"].tolist(), max_lines, pause)
-        parts = enumerate(zip([0, *cuts], cuts, strict=False))
-        return pd.DataFrame([(rows["rec"].iloc[0], k, starts[a], max(ends[a:b]), "\n".join(texts[a:b])) for k, (a, b) in parts], columns=["rec", "ix", "start", "end", "cue_text"])
+    Where a pause parts two sentences, no cue goes across, and as ranks are sums, the lines between such places are grouped by
+    themselves: these runs are rows, not the recordings. ``keep`` is as in `pack_lines`.
+    """
+    if max_lines not in (1, 2):
+        raise ValueError("a cue has one line or two")
+    w = Window.partitionBy("rec").orderBy("sentence", "line")
+    apart = (F.col("sentence") != F.lag("sentence").over(w)) & (F.col("start") - F.lag("end").over(w) >= min(pause, PAIR_GAP))
+    rows = lines.withColumns({"_ix": F.row_number().over(w), "_new": F.coalesce(apart, F.lit(False)).cast("int")}).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def breaks(starts: pd.Series, ends: pd.Series, sentences: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([cue_breaks(list(a), list(b), list(s), list(n), max_lines, pause) for a, b, s, n in zip(starts, ends, sentences, sizes, strict=True)])
 
-    return lines.groupBy("rec").applyInPandas(group, "rec long, ix long, start double, end double, cue_text string")
+    rows = rows.withColumn("_tokens", F.size(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")))
+    runs = rows.groupBy("rec", "_run").agg(_in_turn("_ix", "start", "end", "text", "sentence", "_tokens").alias("_l"), *[F.first(c).alias(c) for c in keep])
+    runs = runs.withColumn("_cuts", breaks(*[F.col(f"_l.{c}") for c in ("start", "end", "sentence", "_tokens")]))
+    cues = runs.select("rec", "_run", *keep, F.posexplode(_spans(_taken(F.col("_cuts"), F.col("_l")))).alias("_k", "_c"))
+    ix = (F.row_number().over(Window.partitionBy("rec").orderBy("_run", "_k")) - 1).cast("long")
+    return cues.select("rec", ix.alias("ix"), "_c.start", "_c.end", F.array_join("_c.texts", "\n").alias("cue_text"), *keep)
 
 
 def _sweep(df: DataFrame, step, schema: str | None = None) -> DataFrame:
@@ -215,19 +238,44 @@ def merge_probability(parts: Column) -> Column:
     return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.get(parts, F.lit(0)), lambda acc, x: F.when(acc.isNull(), x).when(x.isNull(), acc).otherwise((acc + x) / 2))
 
 
-def split_capacity(word: str, most: int) -> list[str]:
-    """Parts of at most ``most`` characters, cut at the last space, else behind the last hyphen; the whole word where that can't be."""
-    parts, rest = [], word.strip()
-    while len(rest) > most:
-        cut = rest.rfind(" ", 1, most + 1)
-        cut = cut if cut > 0 else rest.rfind("-", 1, most) + 1
-        if cut <= 0:
-            return [word.strip()]
-        parts.append(rest[:cut].strip())
-        rest = rest[cut:].strip()
-    return [*parts, rest] if rest else parts
+def last_place(text: Column, mark: str) -> Column:
+    """Where ``mark`` stands last in a text, from 1; 0 if nowhere."""
+    back = F.locate(mark, F.reverse(text))
+    return F.when(back > 0, F.length(text) + 1 - back).otherwise(0)
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def cut_greedily(text: Column, fits, cut, strip_rest: bool) -> Column:
+    """Parts of a text: while the rest does not fit, ``cut(rest)`` characters are taken off; null where that is 0 or leaves a blank part."""
+    state = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("parts"), F.lit(True).alias("good"))
+
+    def step(acc: Column, _: Column) -> Column:
+        rest = acc["rest"]
+        k = cut(rest)
+        part = _stripped(F.substring(rest, F.lit(1), k))
+        after = F.substring(rest, k + 1, F.length(rest))
+        good = (k > 0) & (part != "")
+        new = F.struct(F.when(good, _stripped(after) if strip_rest else after).otherwise(rest).alias("rest"), F.when(good, F.array_append(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"), good.alias("good"))
+        return F.when(acc["good"] & ~fits(rest), new).otherwise(acc)
+
+    def whole(acc: Column) -> Column:
+        tail = _stripped(acc["rest"])
+        return F.when(acc["good"], F.when(tail != "", F.array_append(acc["parts"], tail)).otherwise(acc["parts"]))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), state, step, whole)
+
+
+def split_capacity(word: Column, most: int = 50) -> Column:
+    """Parts of at most ``most`` characters, cut at the last space, else behind the last hyphen; the whole word where that can't be; null for null."""
 
+    def cut(rest: Column) -> Column:
+        space = last_place(F.substring(rest, 1, most + 1), " ") - 1
+        hyphen = last_place(F.substring(rest, 1, most), "-")
+        return F.when(space > 0, space).otherwise(F.when(hyphen > 1, hyphen).otherwise(0))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_capacity_of(word: pd.Series) -> pd.Series:
-    return word.fillna("").map(lambda w: split_capacity(w, 50))
+    text = _stripped(word)
+    parts = F.coalesce(cut_greedily(text, lambda rest: F.length(rest) <= most, cut, True), F.array(text))
+    return F.when(word.isNotNull(), F.when(F.length(text) <= most, F.filter(F.array(text), lambda x: x != "")).otherwise(parts))

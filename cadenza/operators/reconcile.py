@@ -271,7 +271,7 @@ def retime_island(words: Column, size: Column, start: Column) -> Column:
 
 
 def prepare(segments: DataFrame) -> DataFrame:
-    """Segments (rec, seg, start, end, text, words) with how (the way taken), retimed (had a leading island) and words as prepared.
+    """Segments (rec, seg, start, end, text, words) with how (the way taken), retimed (had a leading island) and words as prepared; other columns stay.
 
     Blank words are left out first; words that are not in order count as none.
     """
@@ -282,16 +282,17 @@ def prepare(segments: DataFrame) -> DataFrame:
     out = out.withColumn("_size", island_size(F.col("words"), start, F.col("text"))).withColumn("_moved", retime_island(F.col("words"), F.col("_size"), start))
     out = out.withColumn("retimed", F.coalesce(F.col("_moved") != F.col("words"), F.lit(False)))
     out = out.withColumn("_made", prepared_of("start", "end", "text", "_moved"))
-    return out.select("rec", "seg", "start", "end", "_made.how", "retimed", "_made.words")
+    return out.select(*[c for c in segments.columns if c not in ("text", "words")], "_made.how", "retimed", "_made.words")
 
 
-def merged_hyphens(words: DataFrame) -> DataFrame:
-    """Words (rec, ix, start, end, text, probability) where particles and what follows a hyphen are joined to the word before, over segments too."""
-    joined = t.is_hyphen_suffix(F.col("text")) | F.coalesce(F.lag("text").over(in_order()).endswith("-"), F.lit(False))
-    rows = words.withColumn("_open", (~joined).cast("int")).withColumn("_word", F.greatest(F.sum("_open").over(upto(in_order())), F.lit(1)))
+def merged_hyphens(words: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Words (rec, ix, start, end, text, probability) where particles and what follows a hyphen are joined to the word before, over segments too; ``keep`` names columns that a recording has one value of."""
+    last = F.lag("text").over(in_order())
+    joined = F.coalesce(last.isNotNull() & t.is_hyphen_suffix(F.col("text")) | last.endswith("-"), F.lit(False))  # the first word is joined to none
+    rows = words.withColumn("_open", (~joined).cast("int")).withColumn("_word", F.sum("_open").over(upto(in_order())))
     parts = F.array_sort(F.collect_list(F.struct("ix", "text", "probability")))
     pairwise = F.aggregate(F.transform(parts, lambda p: p["probability"]), F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).when(x.isNull(), acc).otherwise((acc + x) / 2))
-    made = rows.groupBy("rec", "_word").agg(F.min("ix").alias("ix"), F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), pairwise.alias("probability"))
+    made = rows.groupBy("rec", "_word").agg(F.min("ix").alias("ix"), F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), pairwise.alias("probability"), *[F.first(c).alias(c) for c in keep])
     return made.drop("_word")
 
 

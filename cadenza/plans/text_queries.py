@@ -285,7 +285,7 @@ def st9(spark, sf):
 
 @query("st14_split_capacity")
 def st14(spark, sf):
-    return lines(spark, sf).select("rec", "ix", layout.split_capacity_of("line").alias("parts"))
+    return lines(spark, sf).select("rec", "ix", layout.split_capacity(F.col("line")).alias("parts"))
 
 
 @query("st18_ass_escape", f"""WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN chr(92) || event_type || chr(92) || 'N' || chr(8288) WHEN 2 THEN event_type || chr(10) || chr(8288) || chr(92) || chr(92) || props ELSE event_type END AS x FROM events)

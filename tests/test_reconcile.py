@@ -163,12 +163,13 @@ def test_split_by_duration(longest):
             assert made[0]["start"] == pytest.approx(max(0, end - longest))
 
 
-def test_split_by_capacity():
-    assert layout.split_capacity("a" * 60, 50) == ["a" * 60]  # nothing to cut at: whole
-    assert layout.split_capacity("ab cd-" + "e" * 60, 10) == ["ab cd-" + "e" * 60]
-    for _ in range(300):
-        word = "".join(rng.choice("ab -") for _ in range(rng.randrange(1, 80)))
-        parts = layout.split_capacity(word, 12)
+def test_split_by_capacity(spark):
+    fixed = [("a" * 60, ["a" * 60]), ("ab cd-" + "e" * 60, ["ab cd-" + "e" * 60])]  # nothing to cut at: whole
+    made = [w for w, _ in fixed] + ["".join(rng.choice("ab -") for _ in range(rng.randrange(1, 80))) for _ in range(300)]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(made)], "k int, w string")
+    found = [(r.w, r.parts) for r in df.select("k", "w", layout.split_capacity(F.col("w"), 12).alias("parts")).orderBy("k").collect()]
+    assert found[:2] == fixed
+    for word, parts in found:
         assert all(len(p) <= 12 for p in parts) or parts == [word.strip()]
         assert "".join("".join(parts).split()) == "".join(word.split())
 
