@@ -87,11 +87,11 @@ def apart(p: Column, q: Column) -> Column:
 
 
 def _sources(counts: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, total, kept, p0): one row a group."""
+    """(lang, source, total, kept, whole, p0): one row a group; kept and whole are the language's terms and their occurrences."""
     groups = counts.where("term = ''").select("lang", "source")
     totals = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    found = groups.join(totals, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count("*").alias("kept")), "lang", "left")
-    found = found.fillna(0, ["total", "kept"])
+    found = groups.join(totals, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all").alias("whole")), "lang", "left")
+    found = found.fillna(0, ["total", "kept", "whole"])
     return found.withColumn("p0", share(F.lit(0), F.col("total"), F.col("kept")))
 
 
@@ -130,9 +130,8 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     sums = written(_pair_sums(columns, sources))
     discard(counts, columns)
     pairs = sums.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(sums.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
-    whole = kept.groupBy("lang").agg(F.sum("all").alias("whole"))
     q = share(F.col("all"), F.col("whole"), F.col("kept"))
-    terms = rows.join(whole, "lang").withColumn("q", q).where("p > q").select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
+    terms = rows.withColumn("q", q).where("p > q").select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = F.row_number().over(order)
     pairs = pairs.withColumn("rank", ranked).withColumn("part", F.lit("pair"))
