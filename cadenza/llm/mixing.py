@@ -12,7 +12,7 @@ A running sum over one source would put a hot source into one task. Offsets are
 source's hash range first, rows within a bucket second.
 
 Edge cases: null or blank texts have size 0, take nothing and have no position; null sources are one source, the last; a table
-without words has targets 0; repeated rows are separate documents; rows without an id are placed by their text. Columns of the input beyond
+without words has targets 0; repeated rows are separate documents; rows without an id are placed by their text (in ``take`` by number). Columns of the input beyond
 the three used pass through only in ``take``.
 """
 
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import hex_int, table, unused, word_count
+from cadenza.llm.common import hex_int, numbered, table, unused, word_count
 
 WEIGHTS = (1, 2, 3)
 SLOPES = (-0.5, 0.0, 0.5)
@@ -100,16 +100,18 @@ def first_words(text: Column, n: Column) -> Column:
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The mix itself: every document as often as the schedule takes it, each pass at its own position; columns as they were.
 
-    Of a source's last document, the text is cut after the words taken. Rows whose id is null or repeated can't be told apart by the
-    schedule and are taken as the one of them is that is taken most often.
+    Of a source's last document, the text is cut after the words taken. Rows whose id is null or repeated are numbered, so that each is
+    taken as often as its own place in its source says.
     """
-    made = passes(docs, id_col, text_col=text_col, **how).where(F.size("passes") > 0)
+    number = unused(docs, "_number")
+    rows, _ = numbered(docs, id_col, text_col, number)
+    made = passes(rows, number, text_col=text_col, **how).where(F.size("passes") > 0)
     last = F.element_at("passes", -1)["words"]
     marked = F.transform("passes", lambda x, k: F.struct(x["position"].alias("position"), k.alias("copy"), F.when((k == F.size("passes") - 1) & (last < F.col("size")), last.cast("int")).alias("cut")))
     key, own, one = (unused(docs, x) for x in ("_id", "_passes", "_pass"))
-    plan = made.select(F.col(id_col).alias(key), marked.alias(own)).groupBy(key).agg(F.max_by(own, F.struct(F.size(own), own)).alias(own))
+    plan = made.select(F.col(number).alias(key), marked.alias(own))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    mixed = docs.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col(key))).select(*columns, F.explode(own).alias(one))
+    mixed = rows.join(plan, F.col(number) == F.col(key)).select(*columns, F.explode(own).alias(one))
     text = F.when(F.col(f"{one}.cut").isNull(), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col(f"{one}.cut")))
     return mixed.withColumn(text_col, text).sort(f"{one}.position", f"{one}.copy").select(*columns)
 

@@ -26,8 +26,8 @@ A class is told by 128 bits of a cryptographic hash of its set, in which small s
 class need no further proof. The joins use 64 of these bits; of classes that agree in them by chance all but one get other ones.
 
 Edge cases: null, empty and blank texts have an empty set and no links; fewer than five words make one shingle; repeated rows are in
-one class; a null id takes part and gets its component's smallest non-null id; an empty table gives no rows; only the named id and
-text columns are read.
+one class; a null id takes part and gets its component's smallest non-null id; ids keep their type, and where they are null or no
+whole numbers, rows are told apart by numbers; an empty table gives no rows; only the named id and text columns are read.
 """
 
 from __future__ import annotations
@@ -469,12 +469,17 @@ def _named_apart(members: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], i
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """Per document: id, n_shingles and component_id, the smallest id that links lead to."""
-    lowest = F.lit(-(1 << 63)).cast("long")
-    chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("did"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    name, kind, ids = id_col, docs.schema[id_col].dataType.simpleString(), None
+    if kind not in ("bigint", "int", "smallint", "tinyint") or not docs.where(F.col(id_col).isNull()).isEmpty():
+        number = unused(docs, "_number")  # what tells rows apart is then not their id
+        docs, _ = numbered(docs.select(id_col, text_col), id_col, text_col, number)
+        ids = docs.select(F.col(number).alias("did"), F.col(id_col).alias("id"))
+        id_col = number
+    chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("did"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     sets = written(_sets(chosen, threshold))
     members, renamed = _named_apart(sets.where("bits is not null"))
-    known = F.when(F.col("did") != lowest, F.col("did"))
-    classes = members.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"), F.min("did").alias("rep"), F.min(known).alias("least"))
+    members = members.withColumn("id", F.col("did").cast(kind)) if ids is None else members.join(ids, "did")
+    classes = members.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"), F.min("did").alias("rep"), F.min("id").alias("least"))
     # bounded: LARGEST_BOUNDARY sizes, one number, FREQUENT shingles
     small = members.where("prefix is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     sizes = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
@@ -494,7 +499,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     joined = named.groupBy("component").agg(F.count("*").alias("classes"), F.min("least").alias("component_id")).where("classes > 1")
     linked = written(joined.select("component", "component_id"))
     own = named.join(linked, "component", "left").select("key", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return members.select("did", "n", "key").join(written(own), "key", "left").select(known.alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(known).alias("component_id"))
+    found = members.select("id", "n", "key").join(written(own), "key", "left")
+    return found.select(F.col("id").alias(name), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:

@@ -238,7 +238,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers:
         return pa.RecordBatch.from_arrays(arrays, names[: len(arrays)]), number + len(sequences)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = Encoder(load_tokenizer(tokenizer_path)), TaskContext.get().partitionId() << 32
+        tokenizer = load_tokenizer(tokenizer_path)
+        encode, number = Encoder(tokenizer), TaskContext.get().partitionId() << 32
+        small = np.uint16 if max(end_id + 1, tokenizer.get_vocab_size(with_added_tokens=True)) <= 1 << 16 else np.uint32
         ids, tokens, held = [], [], 0
         for batch in batches:
             texts = batch.column(1)
@@ -250,7 +252,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers:
                 ends = np.cumsum(counts)
                 for doc, stop, n in zip(batch.column(0)[at:end].to_pylist(), ends.tolist(), counts.tolist(), strict=True):
                     ids.append(doc)
-                    tokens.append(np.append(flat[stop - n : stop], end_id).astype(np.uint16 if end_id < 1 << 16 else np.uint32))
+                    tokens.append(np.append(flat[stop - n : stop], end_id).astype(small))
                     held += n + 1
                     if held >= GROUP_TOKENS:
                         out, number = emit(ids, tokens, number)

@@ -255,6 +255,8 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, C
 
 def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """(did, body) to (did, spans): the windows (lo to hi) that also begin earlier."""
+    if not gram <= depth < gram + 256:
+        raise ValueError(f"a string has {gram} to {gram + 255} bytes: a run's length is held in 8 bits")
     marks = written(_marks(docs.select("did", "body"), depth, gram))
     windows = _open_windows(docs.select("did", "body"), marks, depth)
     spans = marks.where(f"kind = {REPEAT}").select("did", "lo", "hi").unionByName(windows)

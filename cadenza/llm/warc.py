@@ -2,7 +2,8 @@
 
 A derivative keeps the response's target URI, date, IP address and warc-info id, names its record id in WARC-Refers-To, and repeats
 its block and payload digests (they are computed where the response has none) in two headers of its own, `SOURCE_DIGESTS`, and the
-metadata record in its block too. Chunked bodies are put together, and those in gzip or deflate unpacked; broken ones are taken as they are. Record ids are name-based, so that a rerun gives the
+metadata record in its block too. Chunked bodies are put together, and those in gzip (all members) or
+deflate unpacked; broken ones, those that unpack to more than `MOST_UNPACKED` bytes, and those in Brotli are taken as they are. Record ids are name-based, so that a rerun gives the
 same. The metadata block is JSON: status, HTTP headers, title, language and links of the page; the conversion block is its text,
 one block element a line.
 
@@ -31,6 +32,8 @@ DATE = "2024-01-01T00:00:00Z"
 #: Headers of the response that its derivatives keep.
 KEPT = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID")
 SOURCE_DIGESTS = {"source-block-digest": "WARC-Source-Block-Digest", "source-payload-digest": "WARC-Source-Payload-Digest"}
+#: Bytes that a packed body may unpack to.
+MOST_UNPACKED = 1 << 28
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:cadenza:warc")
 _SILENT = re.compile(r"(?is)<(script|style|template|noscript|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<![^>]*>")
 _BREAK = re.compile(r"(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|table|tr|section|article|header|footer|nav|aside|form|blockquote|pre|hr|dl|dt|dd|main|body|html|head)\b[^>]*>")
@@ -92,6 +95,27 @@ def unchunked(body: bytes) -> bytes:
         at = end + 4 + size
 
 
+def gunzipped(body: bytes) -> bytes:
+    """All members of a gzip body; what follows the last one and is none is left out. More than `MOST_UNPACKED` bytes is an error."""
+    out, size = [], 0
+    while body:
+        one = zlib.decompressobj(31)
+        try:
+            part = one.decompress(body, MOST_UNPACKED - size + 1)
+        except zlib.error:
+            if not out:
+                raise
+            break
+        size += len(part)
+        if size > MOST_UNPACKED:
+            raise ValueError("a body unpacks to too much")
+        if not one.eof and not out:
+            raise ValueError("a member is cut")
+        out.append(part)
+        body = one.unused_data
+    return b"".join(out)
+
+
 def unpacked(http: list[tuple[str, str]], body: bytes) -> bytes:
     """A body without its transfer and content codings."""
     named = {k.lower(): v.lower() for k, v in http}
@@ -100,9 +124,11 @@ def unpacked(http: list[tuple[str, str]], body: bytes) -> bytes:
             body = unchunked(body)
         coding = named.get("content-encoding", "")
         if "gzip" in coding:
-            return zlib.decompress(body, 31)
+            return gunzipped(body)
         if "deflate" in coding:
-            return zlib.decompress(body, 15 if body[:1] == b"x" else -15)
+            one = zlib.decompressobj(15 if body[:1] == b"x" else -15)
+            out = one.decompress(body, MOST_UNPACKED)
+            return out if one.eof else body
     except (ValueError, zlib.error):
         pass
     return body

@@ -253,3 +253,70 @@ def test_media_of_repeated_rows(spark):
 def test_arrow_of_a_slice():
     texts_ = pa.array(["a", "b" * 10, None, "c" * (features.BATCH_BYTES + 1), "d"])
     assert [x for a, b in features.groups(texts_.slice(1)) for x in range(a, b)] == [0, 1, 2, 3]
+
+
+def test_ids_of_a_large_vocabulary(spark, tmp_path):
+    """Token ids beyond 16 bits come back whole."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from cadenza.llm import packing
+
+    made = Tokenizer(models.WordLevel({f"w{k}": k for k in range(70_001)}, unk_token="w0"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    made.save(str(tmp_path / "many.json"))
+    df = spark.createDataFrame([(1, "w69000 w3 w65536 w70000")], "doc_id long, text string")
+    pieces = packing.pack(df, tokenizer_path=str(tmp_path / "many.json"), with_ids=True).orderBy("start").collect()
+    assert [x for p in pieces for x in p["ids"]] == [69000, 3, 65536, 70000, 2]
+
+
+def test_repeated_ids_are_taken_to_the_target(spark):
+    """A hundred rows of one id are taken as often as the schedule says, not each as the one taken most."""
+    from cadenza.llm import mixing
+
+    rows = [(7, f"{k} " + "x " * 9, "a") for k in range(100)] + [(k, "y " * 10, "b") for k in range(1000, 1020)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = sum(len(r.text.split()) for r in mixing.take(df).where("source = 'a'").collect())
+    want = mixing.schedule(df).where("doc_id = 7").selectExpr("sum(taken) as n", "first(target) as t").first()
+    assert words == want.n == int(want.t)
+
+
+def test_gzip_members(monkeypatch):
+    import gzip
+    import zlib
+
+    from cadenza.llm import warc
+
+    packed = [("Content-Encoding", "gzip")]
+    assert warc.unpacked(packed, gzip.compress(b"one ") + gzip.compress(b"two")) == b"one two"
+    assert warc.unpacked(packed, gzip.compress(b"one ") + b"junk") == b"one "
+    cut = gzip.compress(b"one two three")[:-9]
+    assert warc.unpacked(packed, cut) == cut
+    assert warc.unpacked([("Content-Encoding", "deflate")], zlib.compress(b"abc")) == b"abc"
+    monkeypatch.setattr(warc, "MOST_UNPACKED", 1000)
+    bomb = gzip.compress(b"0" * 600) + gzip.compress(b"0" * 600)
+    assert warc.unpacked(packed, bomb) == bomb
+    assert warc.unpacked(packed, gzip.compress(b"0" * 1000)) == b"0" * 1000
+
+
+def test_join_of_null_and_string_ids(spark):
+    """Rows without an id are told apart by numbers; ids keep their type."""
+    from cadenza.llm import ngram_join
+
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    near = text[0] + " tail"
+    rows = [(None, t) for t in text for _ in range(3)] + [("b", near), ("c", text[5]), ("a", ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.n_shingles, r.component_id or "") for r in ngram_join.similar(df).collect())
+    assert got == sorted([("", 36, "b")] * 3 + [("", 36, "")] * 12 + [("", 36, "c")] * 3 + [("b", 37, "b"), ("c", 36, "c"), ("a", 0, "a"), ("", 0, "")])
+    small = spark.createDataFrame([(-(2**63), text[0]), (None, near), (5, text[1])], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in ngram_join.similar(small).collect()) == [(-(2**63), -(2**63)), (0, -(2**63)), (5, 5)]
+
+
+def test_too_deep_strings_are_refused(spark):
+    import pytest
+
+    from cadenza.llm import suffix_dedup
+
+    df = spark.createDataFrame([(1, "x" * 500)], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        suffix_dedup.removals(df, depth=400)
