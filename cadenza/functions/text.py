@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +24,28 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+@cache
+def _folds() -> dict[str, str]:
+    """What folding makes of characters in lower case, where that is another text, by the rules of this Python's Unicode."""
+    return {c: c.casefold() for c in map(chr, range(0x80, 0x1E944)) if c == c.lower() != c.casefold()}
+
+
+def folded(text: Column) -> Column:
+    """Case folded, as `str.casefold` does it: lower case, and ß as ss, both sigmas as one, ligatures apart.
+
+    Characters that fold to one other are translated; the few that fold to several are replaced, in texts that have one.
+    """
+    one = {c: f for c, f in _folds().items() if len(f) == 1}
+    many = {c: f for c, f in _folds().items() if len(f) > 1}
+    single = F.translate(F.lower(F.translate(text, "Σ", "σ")), "".join(one), "".join(one.values()))  # a capital sigma's lower case depends on its place
+    parts = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    apart = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(parts[c], c)), "")
+    return F.when(single.rlike("[" + "".join(many) + "]"), apart).otherwise(single)
+
+
 def compact(text: Column) -> Column:
-    """Lower-case letters and digits only, ё as е: the key by which text and words are aligned."""
-    return F.regexp_replace(F.translate(F.lower(text), "ё", "е"), r"[^\p{L}\p{N}]", "")
+    """Folded letters and digits only, ё as е: the key by which text and words are aligned."""
+    return F.regexp_replace(F.translate(folded(text), "ё", "е"), r"[^\p{L}\p{N}]", "")
 
 
 def tokens(text: Column) -> Column:
@@ -135,6 +156,33 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)$", 1), r"\.[^.]*$", "")
 
 
+def glob_pattern(glob: str) -> str:
+    """A regular expression for the whole of what a shell pattern matches: ``*``, ``?``, ``[ab]``, ``[!ab]``; case counts."""
+    out, at = "", 0
+    while at < len(glob):
+        c, at = glob[at], at + 1
+        end = glob.find("]", at + (glob[at : at + 1] == "!") + 1) if c == "[" else -1
+        if c == "[" and end > 0:
+            inside = glob[at:end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&").replace("^", "\\^")
+            out, at = out + "[" + ("^" + inside[1:] if inside[:1] == "!" else inside) + "]", end + 1
+        else:
+            out += ".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() and ord(c) < 128 else c
+    return f"(?s)\\A(?:{out})\\z"
+
+
+def matches_any(name: Column, globs: tuple[str, ...]) -> Column:
+    """Does a name match one of the shell patterns? None matches nothing."""
+    return name.rlike("|".join(glob_pattern(g) for g in globs)) if globs else F.lit(False)
+
+
+def safe_relative(path: Column) -> Column:
+    """A path inside a folder, with slashes only; null for one that is absolute, has a drive, goes up, or names nothing."""
+    slashed = F.translate(path, "\\", "/")
+    parts = F.filter(F.split(slashed, "/"), lambda x: (x != "") & (x != "."))
+    bad = F.startswith(slashed, F.lit("/")) | slashed.rlike("^[A-Za-z]:") | F.array_contains(parts, "..") | (F.size(parts) == 0)
+    return F.when(~bad, F.array_join(parts, "/"))
+
+
 def output_name(path: Column, fmt: str) -> Column:
     """The subtitle's path beside its source; SRT has no format in its name."""
     return F.concat(F.regexp_replace(path, r"\.[^./\\]*$", ""), F.lit(".srt" if fmt == "srt" else f".{fmt}.{fmt}"))

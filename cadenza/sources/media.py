@@ -5,6 +5,9 @@ Decoding and recognition run outside Spark; here are the scans before them and t
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +113,31 @@ def transcribe(audio: DataFrame, recogniser, schema: str) -> DataFrame:
     return audio.mapInPandas(run, schema)
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, modified, sha256) of the files under ``path``; a file is read by one task, and may have up to 2 GB; scans leave empty files out."""
+def file_fingerprints(spark: SparkSession, path: str, inline: int = 64 << 20, chunk: int = 8 << 20) -> DataFrame:
+    """(path, size, modified, sha256) of the files under ``path``, of any size; scans leave empty files out.
+
+    Files of up to ``inline`` bytes are read by Spark's scan. Larger ones are dealt out by path, and tasks read them ``chunk`` bytes at a
+    time, through the file system that the path names; it must be one that Arrow knows.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    known = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    small = files.where(F.col("length") <= inline).select(*known, F.sha2("content", 256).alias("sha256"))
+
+    def digest(batches):
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            told = []
+            for at in batch["path"]:
+                system, name = fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", quote(at, safe="/:")))
+                sha = hashlib.sha256()
+                with system.open_input_stream(name) as stream:
+                    while part := stream.read(chunk):
+                        sha.update(part)
+                told.append(sha.hexdigest())
+            yield batch.assign(sha256=told)
+
+    large = files.where(F.col("length") > inline).select(*known).repartition("path")
+    return small.unionByName(large.mapInPandas(digest, "path string, size long, modified timestamp, sha256 string"))
