@@ -128,10 +128,18 @@ def join_words(words: Column) -> Column:
     return F.ltrim(F.array_join(F.transform(words, lambda w: F.when(is_closing(w), w).otherwise(F.concat(F.lit(" "), w))), ""))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is made once; where a lambda names an expression, it is made for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def join_glued(words: Column) -> Column:
     """Words with a space between them, but none after one that ends in a hyphen."""
-    before = lambda i: F.get(words, i - 1)
-    return F.array_join(F.transform(words, lambda w, i: F.when((i == 0) | before(i).endswith("-"), w).otherwise(F.concat(F.lit(" "), w))), "")
+
+    def joined(w: Column) -> Column:
+        return F.array_join(F.transform(w, lambda x, i: F.when((i == 0) | F.get(w, i - 1).endswith("-"), x).otherwise(F.concat(F.lit(" "), x))), "")
+
+    return bound(words, joined)
 
 
 def ngrams(words: Column, n: int) -> Column:

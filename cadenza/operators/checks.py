@@ -33,6 +33,17 @@ def transcript_is_valid(segments: Column, duration: Column) -> Column:
     return (duration > 0) & F.forall(segments, lambda s: segment_is_valid(s, duration))
 
 
+def valid_transcripts(segments: DataFrame, duration: Column) -> DataFrame:
+    """Segments (rec, start, end, text, words) to (rec, valid, n_segments, n_bad): one bad segment rejects its recording."""
+    fine = segment_is_valid(F.struct("start", "end", "text", "words"), duration) & (duration > 0)
+    return segments.withColumn("_ok", F.coalesce(fine, F.lit(False))).groupBy("rec").agg(F.bool_and("_ok").alias("valid"), F.count("*").alias("n_segments"), F.count_if(~F.col("_ok")).alias("n_bad"))
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """Pairs (a, b) by position, or null where the arrays differ in length or one is null."""
+    return F.when(F.size(a) == F.size(b), F.transform(a, lambda x, k: F.struct(x.alias("a"), F.get(b, k).alias("b"))))
+
+
 def source_words_are_valid(words: DataFrame, start: Column, end: Column) -> DataFrame:
     """Per recording: may the source words stand in for aligned ones? All are intervals, in order and inside, to 0.05 s."""
     fine = valid_interval(F.col("start"), F.col("end")) & (F.col("start") >= F.coalesce(F.lag("end").over(in_order()), start) - SOURCE_SLACK)

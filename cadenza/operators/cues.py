@@ -81,11 +81,20 @@ def duration_parts(text: Column, length: Column, longest: float) -> Column:
 
 def in_parts(parts: Column, start: Column, end: Column) -> Column:
     """(start, end, text) of parts that share a time by their characters and the spaces between."""
-    last = lambda k: k == F.size(parts) - 1
-    weights = F.transform(parts, lambda p, k: F.greatest(F.lit(1), t.visible_length(p) + F.when(last(k) | F.rtrim(p).endswith("-"), 0).otherwise(1)))
-    upto_k = lambda k: F.aggregate(F.slice(weights, 1, k), F.lit(0), lambda a, x: a + x)
-    at = lambda k: start + (end - start) * upto_k(k) / upto_k(F.size(weights))
-    return F.transform(parts, lambda p, k: F.struct(at(k).alias("start"), F.when(last(k), end).otherwise(at(k + 1)).alias("end"), p.alias("text")))
+
+    def shared(own: Column) -> Column:
+        last = lambda k: k == F.size(own) - 1
+        return t.bound(F.transform(own, lambda p, k: F.greatest(F.lit(1), t.visible_length(p) + F.when(last(k) | F.rtrim(p).endswith("-"), 0).otherwise(1))), lambda weights: spans(own, weights))
+
+    def spans(own: Column, weights: Column) -> Column:
+        sums = F.transform(weights, lambda _, k: F.aggregate(F.slice(weights, 1, k + 1), F.lit(0), lambda a, x: a + x))
+        return t.bound(sums, lambda upto: F.transform(own, lambda p, k: placed(own, upto, p, k)))
+
+    def placed(own: Column, upto: Column, part: Column, k: Column) -> Column:
+        at = lambda n: start + (end - start) * F.coalesce(F.get(upto, n), F.lit(0)) / F.element_at(upto, -1)
+        return F.struct(at(k - 1).alias("start"), F.when(k == F.size(own) - 1, end).otherwise(at(k)).alias("end"), part.alias("text"))
+
+    return F.when(F.size(parts) > 0, t.bound(parts, shared))
 
 
 def fixed_anchors(words: DataFrame, cps: float, least: float, longest: float) -> DataFrame:

@@ -233,9 +233,17 @@ def greedy_groups(words: DataFrame, longest: float) -> DataFrame:
     return words.groupBy("rec").applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in [*words.dtypes, ("group", "bigint")]))
 
 
-def merge_probability(parts: Column) -> Column:
-    """Pairwise means in order: of three, the last counts half."""
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.get(parts, F.lit(0)), lambda acc, x: F.when(acc.isNull(), x).when(x.isNull(), acc).otherwise((acc + x) / 2))
+def merged_probabilities(rows: DataFrame) -> DataFrame:
+    """(rec, ix, probability) to (rec, probability): pairwise means in order of ix, so that of three the last counts half; null ones count for nothing.
+
+    The k-th from the end weighs 2^-k, the first as much as the second: weighted sums, and no recording in one place.
+    """
+    known = rows.where(F.col("probability").isNotNull())
+    w = Window.partitionBy("rec")
+    placed = known.withColumns({"_k": F.row_number().over(w.orderBy(F.desc("ix"))), "_n": F.count("*").over(w)})
+    weight = F.pow(F.lit(0.5), F.least("_k", F.col("_n") - 1).cast("double"))
+    made = placed.groupBy("rec").agg(F.sum(F.col("probability") * weight).alias("probability"))
+    return rows.select("rec").distinct().join(made, "rec", "left")
 
 
 def last_place(text: Column, mark: str) -> Column:

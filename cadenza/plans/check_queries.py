@@ -49,13 +49,6 @@ def pf3(spark, sf):
     return segments_of(spark, sf).select("rec", "seg", checks.segment_is_valid(F.struct("start", "end", "text", "words"), duration()).alias("valid"))
 
 
-@query("pf4_valid_transcripts", f"WITH {SG} SELECT rec, bool_and({_SEGMENT_OK}) AS valid, count(*) AS n_segments FROM sg WHERE rec % 3 <> 0 OR seg = 0 GROUP BY rec")
-def pf4(spark, sf):
-    whole = F.collect_list(F.struct("start", "end", "text", "words"))
-    rows = segments_of(spark, sf).where("rec % 3 <> 0 or seg = 0").groupBy("rec").agg(whole.alias("segments"))
-    return rows.select("rec", checks.transcript_is_valid(F.col("segments"), duration()).alias("valid"), F.size("segments").cast("long").alias("n_segments"))
-
-
 @query("pf6_source_words", f"""WITH {IV}, w AS (SELECT rec * 100000 + ix // 4 AS rec, ix, start / 1e6 AS a, "end" / 1e6 AS b FROM iv), r AS (SELECT *, min(a) OVER (PARTITION BY rec) AS s, max(b) OVER (PARTITION BY rec) - 20 AS e, lag(b) OVER (PARTITION BY rec ORDER BY ix) AS p FROM w)
 SELECT rec, bool_and(a >= 0 AND b > a AND a >= coalesce(p, s) - 0.05 AND a >= s - 0.05 AND b <= e + 0.05) AS usable FROM r GROUP BY rec""")
 def pf6(spark, sf):
@@ -144,15 +137,6 @@ def pf27(spark, sf):
     return segments_of(spark, sf).select("rec", "seg", F.explode(kept).alias("x")).select("rec", "seg", F.col("x.start").alias("at"), F.col("x.text").alias("token"))
 
 
-@query("pf28_whole_text_fallback", f"""WITH {SG} SELECT rec, CASE WHEN bool_or(seg % 4 = 1) THEN count(*) FILTER (seg % 4 = 1) ELSE 1 END AS n_segments, CASE WHEN bool_or(seg % 4 = 1) THEN min(start) FILTER (seg % 4 = 1) ELSE 0 END AS start FROM sg GROUP BY rec""")
-def pf28(spark, sf):
-    """Segments with content, or else the whole text as one segment."""
-    rows = segments_of(spark, sf).groupBy("rec").agg(F.collect_list(F.when(F.col("seg") % 4 == 1, F.struct("start", "text"))).alias("own"), F.max("end").alias("end"))
-    whole = F.array(F.struct(F.lit(0.0).alias("start"), F.lit("whole text").alias("text")))
-    made = F.when(F.size("own") > 0, F.col("own")).otherwise(whole)
-    return rows.select("rec", F.size(made).cast("long").alias("n_segments"), F.array_min(F.transform(made, lambda s: s["start"])).alias("start"))
-
-
 @query("jn3_retry_refresh", "WITH f AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag <> 'R') SELECT o_orderkey, 'queued' AS state, l_orderkey IS NULL AS missing FROM f LEFT JOIN b ON l_orderkey = o_orderkey")
 def jn3(spark, sf):
     """Failed items met with those built anew; an item that isn't among them is named, so that a caller can refuse the retry."""
@@ -184,12 +168,6 @@ def so7(spark, sf):
     return alive.where("active").select("job", "active").unionByName(newest.join(room, F.col("k") <= F.col("room")).select("job", "active"))
 
 
-@query("so11_batch_cap", "SELECT source, count(*) AS n_files, count(*) > 40 AS too_many FROM documents GROUP BY source")
-def so11(spark, sf):
-    """Batches over the cap are refused whole; one row beyond it is enough to know."""
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n_files"), (F.count("*") > 40).alias("too_many"))
-
-
 @query("se5_required_missing", "SELECT DISTINCT o_custkey AS required FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def se5(spark, sf):
     present = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("required"))
@@ -246,30 +224,6 @@ def cf4(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", checks.signature(*parts).alias("signature"))
 
 
-@query("sk5_sidecar_payload", f"""WITH {SG} SELECT rec, '{{"rec":' || rec || ',"segments":[' || string_agg('{{"seg":' || seg || ',"text":"' || text || '"}}', ',' ORDER BY seg) || ']}}' AS payload FROM sg GROUP BY rec""")
-def sk5(spark, sf):
-    rows = segments_of(spark, sf).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("seg", "text"))).alias("segments"))
-    return rows.select("rec", F.to_json(F.struct("rec", "segments")).alias("payload"))
-
-
-@query("sk8_snapshot_upsert", f"WITH {IT}, b AS (SELECT job, path, state FROM it WHERE job % 2 = 0), e AS (SELECT job, path, state, event_id FROM ev WHERE event_id % 3 = 0) SELECT job, path, arg_max(state, event_id) AS state FROM (SELECT job, path, state, 0 AS event_id FROM b UNION ALL SELECT * FROM e) GROUP BY job, path")
-def sk8(spark, sf):
-    """Stored items and new events: the last one by key wins."""
-    from cadenza.plans.job_queries import _items
-
-    stored = _items(spark, sf).where("job % 2 = 0").withColumn("event_id", F.lit(0).cast("long"))
-    new = job_events(spark, sf).where("event_id % 3 = 0").select("job", "path", "state", "event_id")
-    return stored.unionByName(new).groupBy("job", "path").agg(F.max_by("state", "event_id").alias("state"))
-
-
-@query("sk11_report_json", f"WITH {CT} SELECT status, '{{\"status\":\"' || status || '\",\"n_jobs\":' || count(*) || ',\"total\":' || sum(total)::BIGINT || '}}' AS report FROM st GROUP BY status")
-def sk11(spark, sf):
-    from cadenza.plans.job_queries import _status
-
-    rows = _status(spark, sf).groupBy("status").agg(F.count("*").alias("n_jobs"), F.sum("total").alias("total"))
-    return rows.select("status", F.to_json(F.struct("status", "n_jobs", "total")).alias("report"))
-
-
 @query("wn20_float_overlaps", f"""WITH {IV}, d AS (SELECT rec, ix, (ix - 1) AS _, start / 1e6 AS a, "end" / 1e6 AS b, (row_number() OVER (PARTITION BY rec ORDER BY ix) - 1) * 1e-9::DOUBLE AS i FROM iv),
 s AS (SELECT *, i + max(greatest(b, a + 1e-9::DOUBLE) - i) OVER (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING) AS stop FROM d)
 SELECT rec, ix, round(greatest(a, coalesce(lag(stop) OVER (PARTITION BY rec ORDER BY ix), 0)), 6) AS start, round(stop, 6) AS "end" FROM s""")
@@ -333,12 +287,17 @@ def pf22(spark, sf):
     return line_segments(spark, sf).select("rec", "seg", size.cast("long").alias("size"))
 
 
-@query("wn36_prepare_words")
-def wn36(spark, sf):
-    """Segments of every kind, prepared: text with words that say the same, other words, no words, no text, words out of order."""
+def mixed_segments(spark, sf):
+    """Segments of every kind: text with words that say the same, other words, no words, no text, words out of order."""
     kind = F.col("seg") % 7
     words = F.when(kind == 1, F.reverse("words")).when(kind == 3, F.slice("words", 1, 0)).when(kind == 5, F.transform("words", lambda w: w.withField("text", F.md5(w["text"].cast("binary"))))).otherwise(F.col("words"))
-    rows = line_segments(spark, sf).withColumns({"words": words, "text": F.when(kind == 2, "").otherwise(F.col("text"))})
+    return line_segments(spark, sf).withColumns({"words": words, "text": F.when(kind == 2, "").otherwise(F.col("text"))})
+
+
+@query("wn36_prepare_words")
+def wn36(spark, sf):
+    """Segments of every kind, prepared."""
+    rows = mixed_segments(spark, sf)
     made = reconcile.prepare(rows)
     return made.select("rec", "seg", "how", "retimed", F.posexplode("words").alias("k", "w")).select("rec", "seg", "how", "retimed", "k", "w.*")
 

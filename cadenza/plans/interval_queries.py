@@ -169,13 +169,6 @@ def wn23(spark, sf):
     return rows.groupBy("rec", "group").agg(F.count("*").alias("n_rows"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-@query("wn30_retime_leading", f"""WITH {IV}, l AS (SELECT *, min(CASE WHEN ix = 2 THEN start END) OVER (PARTITION BY rec) AS anchor FROM iv), h AS (SELECT * FROM l WHERE ix < 2 AND anchor IS NOT NULL)
-SELECT rec, ix, anchor - sum("end" - start) OVER (PARTITION BY rec ORDER BY ix DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS start FROM h""")
-def wn30(spark, sf):
-    rows = intervals(spark, sf).withColumn("anchor", F.min(F.when(F.col("ix") == 2, F.col("start"))).over(Window.partitionBy("rec"))).where("ix < 2 and anchor is not null")
-    return rows.select("rec", "ix", (F.col("anchor") - F.sum(F.col("end") - F.col("start")).over(iv.onward(iv.in_order()))).alias("start"))
-
-
 @query("wn34_span_offsets", f'WITH {IV} SELECT rec, ix, coalesce(sum(length(text)) OVER (PARTITION BY rec ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "at", sum(length(text)) OVER (PARTITION BY rec ORDER BY ix ROWS UNBOUNDED PRECEDING)::BIGINT AS until FROM iv')
 def wn34(spark, sf):
     w = iv.in_order()
@@ -263,8 +256,6 @@ def jn8(spark, sf):
     return iv.first_holder(rows, "end", rows, closed=False).select("rec", "ix", "holder")
 
 
-query("jn8_point_in_any_interval", _HELD)(jn8)
-
 
 @query("pf1_valid_intervals", f'WITH {IV} SELECT rec, count(*) FILTER (start >= 0 AND "end" > start) AS n_valid, count(*) AS n_rows FROM iv GROUP BY rec')
 def pf1(spark, sf):

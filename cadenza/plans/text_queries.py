@@ -15,7 +15,7 @@ from cadenza.sources import subtitles as s
 TOK = r"[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*"
 
 
-@query("st_line_scalars", rf"""WITH {LN} SELECT rec, ix, length(line) AS n_chars, regexp_replace(replace(lower(line), 'ё', 'е'), '[^\p{{L}}\p{{N}}]', '', 'g') AS compact,
+@query("st_line_scalars", rf"""WITH {LN} SELECT rec, ix, length(line) AS n_chars, regexp_replace(replace(replace(lower(line), 'ß', 'ss'), 'ё', 'е'), '[^\p{{L}}\p{{N}}]', '', 'g') AS compact,
  trim(regexp_replace(line, '[\s\x{{00A0}}]+', ' ', 'g')) AS clean, regexp_matches(line, '[.!?…]["''»”’)]*$') AS sentence_end, length(line) - length(replace(line, '-', '')) >= 2 AS vocalisation,
  right(line, 20) AS tail, regexp_replace(lower(line), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS bare FROM ln""")
 def st_lines(spark, sf):
@@ -43,12 +43,15 @@ def st4(spark, sf):
     return words.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("ag15_quality_report", f"""WITH {CU}, {_GRAMS}, pv AS (SELECT *, lag(tick_end) OVER (PARTITION BY rec ORDER BY ix) AS prev, tick_end - tick_start AS d FROM cu),
+AG15_SQL = f"""WITH {CU}, {_GRAMS}, pv AS (SELECT *, lag(tick_end) OVER (PARTITION BY rec ORDER BY ix) AS prev, tick_end - tick_start AS d FROM cu),
 ag AS (SELECT rec, count(*) AS cue_count, count(*) FILTER (tick_start < prev) AS overlap_count, count(*) FILTER (length(trim(cue_text)) * 1000 > 17 * d) AS reading_speed_violations,
  count(*) FILTER (d < 800) AS short_cue_count, count(*) FILTER (d > 7000) AS long_cue_count, count(*) FILTER (length(cue_text) > 50) AS long_line_count, count(*) FILTER (tick_start >= 300000) AS cues_after_300_seconds,
  max(tick_end) AS last_end, sum(d)::BIGINT AS covered FROM pv GROUP BY rec)
 SELECT ag.rec AS doc_id, cue_count, overlap_count, reading_speed_violations, short_cue_count, long_cue_count, long_line_count, cues_after_300_seconds, n_tokens, len(g) - len(list_distinct(g)) AS repeated_5gram_occurrences,
- last_end / 1000 AS last_cue_end_seconds, covered / (last_end + 2000) AS speech_coverage_ratio, 2.0::DOUBLE AS tail_gap_seconds FROM ag JOIN gr ON gr.doc_id = ag.rec""")
+ last_end / 1000 AS last_cue_end_seconds, covered / (last_end + 2000) AS speech_coverage_ratio, 2.0::DOUBLE AS tail_gap_seconds FROM ag JOIN gr ON gr.doc_id = ag.rec"""
+
+
+@query("ag15_quality_report", AG15_SQL)
 def ag15(spark, sf):
     """Structural report per document: cues from its lines, repeats from its words; the recording lasts two seconds longer than the cues."""
     w, d = in_order(), F.col("tick_end") - F.col("tick_start")
@@ -223,8 +226,6 @@ def ag11(spark, sf):
     return lines(spark, sf).select("rec", "ix", t.join_words(F.filter(F.split(apart, r"\s+"), lambda x: x != "")).alias("text"))
 
 
-query("ag11_join_all_words", _JOINED)(ag11)
-
 
 def _words(spark, sf):
     """Lines' words as timed words: half a second each."""
@@ -245,15 +246,6 @@ def wn27(spark, sf):
     return layout.group_cues(wn26(spark, sf))
 
 
-@query("wn28_layout")
-def wn28(spark, sf):
-    """Words to lines to cues to ticks."""
-    from cadenza.operators.intervals import quantise
-
-    made = quantise(wn27(spark, sf), n.ticks(F.col("start")), n.ticks(F.col("end")))
-    return made.select("rec", "ix", "tick_start", "tick_end", "cue_text")
-
-
 @query("wn25_greedy_groups")
 def wn25(spark, sf):
     return layout.greedy_groups(_words(spark, sf).drop("sentence"), 180.0).groupBy("rec", "group").agg(F.count("*").alias("n_words"), F.min("start").alias("start"), F.max("end").alias("end"))
@@ -283,11 +275,6 @@ def st9(spark, sf):
     return lines(spark, sf).select("rec", "ix", t.split_embedded_sentences(F.col("line")).alias("text"))
 
 
-@query("st14_split_capacity")
-def st14(spark, sf):
-    return lines(spark, sf).select("rec", "ix", layout.split_capacity(F.col("line")).alias("parts"))
-
-
 @query("st18_ass_escape", f"""WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN chr(92) || event_type || chr(92) || 'N' || chr(8288) WHEN 2 THEN event_type || chr(10) || chr(8288) || chr(92) || chr(92) || props ELSE event_type END AS x FROM events)
 SELECT event_id, {_ASSTEXT} AS escaped, x AS back, CASE WHEN event_id % 4 = 3 THEN x END AS raw FROM x""")
 def st18(spark, sf):
@@ -305,17 +292,6 @@ def ud3(spark, sf):
     return rows.select("rec", "ix", layout.alignment("line", "following").alias("found")).select("rec", "ix", "found.ratio", "found.anchors")
 
 
-_FOLDED = "SELECT user_id AS rec, list_reduce(list(value ORDER BY ts, event_id), lambda a, x: (a + x) / 2) AS probability FROM events GROUP BY user_id"
-
-
-@query("ag10_pairwise_mean", _FOLDED)
-def ag10(spark, sf):
-    """Over all of a user's values in order."""
-    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("rec")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    return rows.select("rec", layout.merge_probability(F.transform("v", lambda x: x["value"])).alias("probability"))
-
-
-query("ag10_pairwise_mean_all", _FOLDED)(ag10)
 
 
 @query("ag7_language", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, first(lang ORDER BY n DESC, lang) AS main, string_agg(lang, ',' ORDER BY lang) AS langs FROM c GROUP BY source")

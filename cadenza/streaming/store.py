@@ -6,7 +6,7 @@ folders that it touches and no others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.joblog import MAX_EVENTS
@@ -22,19 +22,21 @@ BUCKETS = 64
 def merged(stored: DataFrame, snapshots: DataFrame, most_events: int = MAX_EVENTS) -> DataFrame:
     """The store's rows after ``snapshots``: of each job the last one's state and files; it stays created when it was first, and its cursor never falls.
 
-    An event replaces the one of its number; the newest ``most_events`` are kept. A job that has ended was completed when it says so, or
-    said so before, or was last updated.
+    An event replaces the one of its number; the newest ``most_events`` are kept. A job that has ended was completed when it last said so
+    since it ended, or else when the first snapshot that says it had ended was updated. How snapshots are cut into batches makes no difference.
     """
     columns = [c.split()[0] for c in STORED.split(", ")]
     old = stored.select(*columns, F.lit(None).cast("long").alias("seq"))
     both = old.unionByName(snapshots.select(*columns, F.coalesce("seq", F.lit(0)).alias("seq")))
     order = F.struct(F.col("seq").isNotNull(), "seq", "updated_at")
+    running = F.max(F.when(~F.coalesce("terminal", F.lit(False)), order)).over(Window.partitionBy("job"))
+    both = both.withColumn("_since", F.coalesce(order > running, F.lit(True)))  # since it has ended
     last = lambda c: F.max_by(c, order).alias(c)
     first_known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order))
     last_known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
     jobs = both.groupBy("job").agg(
         last("status"), last("active"), last("terminal"), first_known("created_at").alias("created_at"), last_known("updated_at").alias("updated_at"),
-        last_known("completed_at").alias("completed_at"), F.max("latest_event_id").alias("latest_event_id"), last("payload"), last("items"),
+        F.coalesce(F.max_by("completed_at", F.when(F.col("_since") & F.col("completed_at").isNotNull(), order)), F.min_by("updated_at", F.when(F.col("_since"), order))).alias("completed_at"), F.max("latest_event_id").alias("latest_event_id"), last("payload"), last("items"),
     )
     said = both.select("job", F.col("seq").isNotNull().alias("_new"), "seq", F.posexplode("events").alias("_at", "e"))
     one = said.groupBy("job", "e.event_id").agg(F.max_by("e", F.struct("_new", "seq", "_at")).alias("e"))
@@ -44,7 +46,7 @@ def merged(stored: DataFrame, snapshots: DataFrame, most_events: int = MAX_EVENT
     cursor = F.greatest(F.coalesce("latest_event_id", F.lit(0)), F.coalesce(F.array_max(F.transform("events", lambda e: e["event_id"])), F.lit(0)))
     out = out.withColumns({
         "latest_event_id": cursor, "active": F.coalesce("active", F.lit(False)) & ~ended, "terminal": ended, "status": F.coalesce("status", F.lit("queued")),
-        "completed_at": F.when(ended, F.coalesce("completed_at", "updated_at")), "events": F.slice("events", F.greatest(F.lit(1), F.size("events") - (most_events - 1)), most_events),
+        "completed_at": F.when(ended, F.col("completed_at")), "events": F.slice("events", F.greatest(F.lit(1), F.size("events") - (most_events - 1)), most_events),
     })
     return out.select(*columns)
 

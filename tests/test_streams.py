@@ -113,9 +113,8 @@ def plain_store(shots, most):
         old = out.get(s["job"], {"created_at": None, "completed_at": None, "latest_event_id": 0, "events": {}})
         events = old["events"] | {e[0]: e for e in s["events"]}
         ended = s["terminal"]
-        said = s["completed_at"] or old["completed_at"]
         out[s["job"]] = s | {
-            "created_at": old["created_at"] or s["created_at"], "said": said, "completed_at": (said or s["updated_at"]) if ended else None, "active": s["active"] and not ended,
+            "created_at": old["created_at"] or s["created_at"], "completed_at": (s["completed_at"] or old["completed_at"] or s["updated_at"]) if ended else None, "active": s["active"] and not ended,
             "latest_event_id": max(s["latest_event_id"], old["latest_event_id"], *events, 0), "events": dict(sorted(events.items())[-most:]),
         }
     return out
@@ -124,7 +123,7 @@ def plain_store(shots, most):
 def test_store_of_snapshots(spark, tmp_path):
     """Batches of snapshots by job, one of them run twice and one broken off before its folders were replaced."""
     r = random.Random(3)
-    shots = [shot(r.randrange(12), k, r.choice(["running", "ok"]), r.random() < 0.3, [(f"p{i}", r.choice(["done", "queued"])) for i in range(r.randrange(4))], [(r.randrange(1, 40), f"e{k}") for _ in range(r.randrange(5))], r.randrange(30)) for k in range(90)]
+    shots = [shot(r.randrange(12), k, r.choice(["running", "ok"]), r.random() < 0.3, [(f"p{i}", r.choice(["done", "queued"])) for i in range(r.randrange(4))], [(r.randrange(1, 40), f"e{k}") for _ in range(r.randrange(5))], r.randrange(30), r.choice([None, None, BEGIN - timedelta(days=k)])) for k in range(90)]
     path = str(tmp_path / "store")
     parts = [shots[:20], shots[20:21], [], shots[21:70], shots[70:]]
     for number, part in enumerate(parts):
@@ -145,7 +144,7 @@ def test_store_of_snapshots(spark, tmp_path):
         assert (g.status, g.active, g.terminal, g.created_at, g.updated_at, g.latest_event_id, g.payload) == (w["status"], w["active"], w["terminal"], w["created_at"], w["updated_at"], w["latest_event_id"], w["payload"]), job
         assert [(i.path, i.state) for i in g["items"]] == [(p, s) for p, s, _ in w["items"]]
         assert [(e.event_id, e.body) for e in g.events] == [(e[0], e[2]) for e in w["events"].values()]
-        assert (g.completed_at is not None) == w["terminal"]
+        assert g.completed_at == w["completed_at"], job
 
 
 def test_store_keeps_the_newest_events(spark):
