@@ -34,7 +34,8 @@ _GLUED = re.compile(r"([.!?…][\"'»”’)]*)(?=[A-ZА-ЯЁ«“\"(\[])")
 
 
 def compact(text: str) -> str:
-    return "".join(c for c in text.casefold().replace("ё", "е") if c.isalnum())
+    folded = text.casefold().replace("ё", "е")
+    return folded if folded.isalnum() else "".join(filter(str.isalnum, folded))
 
 
 def separated(text: str) -> list[str]:
@@ -185,14 +186,27 @@ class Aligned:
         return self.words[self.lexical[k]]["probability"] if k < len(self.stops) else None
 
 
+def word_by_word(units: list[str], words: list[dict]) -> list[dict]:
+    """`reconcile` where each unit has the letters of one word: nothing needs to be aligned."""
+    out, last, final = [], words[0]["start"], len(words) - 1
+    for k, (unit, w) in enumerate(zip(units, words, strict=True)):
+        last = max(last, w["start"])
+        end = w["end"] if k == final else w["start"] + (w["end"] - w["start"])
+        out.append({"start": last, "end": max(last + 0.001, end), "text": unit, "probability": w["probability"]})
+    return out
+
+
 def reconcile(text: str, words: list[dict]) -> list[dict]:
     """The text's units with the times of the characters that they are aligned with; starts never go back, no unit is under 1 ms."""
     units = display_units(text)
-    aligned = Aligned("".join(map(compact, units)), words)
+    letters = [compact(u) for u in units]
+    if all(letters) and letters == [compact(w["text"]) for w in words]:
+        return word_by_word(units, words)
+    aligned = Aligned("".join(letters), words)
     out, cursor, last = [], 0, words[0]["start"]
-    for unit in units:
+    for unit, own in zip(units, letters, strict=True):
         a = aligned.place(cursor)
-        cursor += len(compact(unit))
+        cursor += len(own)
         b = aligned.place(cursor)
         last = max(last, aligned.time(a, False))
         out.append({"start": last, "end": max(last + 0.001, aligned.time(b, True)), "text": unit, "probability": aligned.probability((a + b) / 2)})
@@ -217,14 +231,39 @@ def prepared(start: float, end: float, text: str, words: list[dict]) -> tuple[st
     return ("spread", spread_text(start, end, text)) if text else ("none", [])
 
 
-@F.pandas_udf(T.StructType([T.StructField("how", T.StringType()), T.StructField("words", _WORDS)]))
-def prepared_of(start: pd.Series, end: pd.Series, text: pd.Series, words: pd.Series) -> pd.DataFrame:
-    made = [prepared(a, b, x, [dict(w) for w in own]) for a, b, x, own in zip(start, end, text, words, strict=True)]
-    return pd.DataFrame({"how": [how for how, _ in made], "words": [own for _, own in made]})
+_LISTS = T.StructType([T.StructField("how", T.StringType()), *[T.StructField(c, T.ArrayType(T.StringType() if c == "text" else T.DoubleType())) for c in ("start", "end", "text", "probability")]])
+_NAMES = ("start", "end", "text", "probability")
+
+
+def _plain(values) -> list:
+    """A list of plain numbers with None for what is missing."""
+    return [None if v is None or v != v else v for v in values.tolist()]
+
+
+@F.pandas_udf(_LISTS)
+def _prepared_lists(start: pd.Series, end: pd.Series, text: pd.Series, starts: pd.Series, ends: pd.Series, texts: pd.Series, probabilities: pd.Series) -> pd.DataFrame:
+    made: dict[str, list] = {"how": [], **{c: [] for c in _NAMES}}
+    for a, b, said, *lists in zip(start, end, text, starts, ends, texts, probabilities, strict=True):
+        own = [dict(zip(_NAMES, w, strict=True)) for w in zip(lists[0].tolist(), lists[1].tolist(), lists[2].tolist(), _plain(lists[3]), strict=True)]
+        how, words = prepared(a, b, said, own)
+        made["how"].append(how)
+        for c in _NAMES:
+            made[c].append([w[c] for w in words])
+    return pd.DataFrame(made)
 
 
 #: So that a filter on its result isn't pushed below it, where the expressions above would be inlined over and over.
-prepared_of = prepared_of.asNondeterministic()
+_prepared_lists = _prepared_lists.asNondeterministic()
+
+
+def prepared_of(start: Column, end: Column, text: Column, words: Column) -> Column:
+    """(how, start, end, text, probability): the way taken, and the words' fields as lists, in which Arrow passes them best."""
+    return _prepared_lists(start, end, text, *[words[c] for c in _NAMES])
+
+
+def words_of_lists(made: str) -> Column:
+    lists = [F.col(f"{made}.{c}") for c in _NAMES]
+    return F.transform(F.arrays_zip(*lists), lambda w: F.struct(*[w[c].alias(c) for c in _NAMES]))
 
 
 @F.pandas_udf(_WORDS)
@@ -281,8 +320,8 @@ def prepare(segments: DataFrame) -> DataFrame:
     out = out.withColumn("words", F.when(are_in_order(F.col("words"), start, end), F.col("words")).otherwise(F.array().cast(f"array<{WORD}>")))
     out = out.withColumn("_size", island_size(F.col("words"), start, F.col("text"))).withColumn("_moved", retime_island(F.col("words"), F.col("_size"), start))
     out = out.withColumn("retimed", F.coalesce(F.col("_moved") != F.col("words"), F.lit(False)))
-    out = out.withColumn("_made", prepared_of("start", "end", "text", "_moved"))
-    return out.select(*[c for c in segments.columns if c not in ("text", "words")], "_made.how", "retimed", "_made.words")
+    out = out.withColumn("_made", prepared_of(start, end, F.col("text"), F.col("_moved")))
+    return out.select(*[c for c in segments.columns if c not in ("text", "words")], "_made.how", "retimed", words_of_lists("_made").alias("words"))
 
 
 def merged_hyphens(words: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
