@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from cadenza.functions import text as t
 from cadenza.operators import checks, cues, layout, pcm, reconcile
 from cadenza.plans import text_queries
-from cadenza.plans.base import EV, IV, LN, intervals, job_events, lines, query, table
+from cadenza.plans.base import CU, EV, IV, LN, intervals, job_events, lines, query, table
 from cadenza.plans.check_queries import _ISLAND, _SEGMENT_OK, SG, duration, line_segments, mixed_segments, segments_of
-from cadenza.sources import sidecars
+from cadenza.sources import sidecars, subtitles
 from cadenza.streaming import store
 
 
@@ -230,3 +230,29 @@ def jn12(spark, sf):
     rows = segments_of(spark, sf).withColumn("pairs", checks.zipped(F.transform("words", lambda w: w["start"]), texts))
     return rows.select("rec", "seg", F.when(F.col("pairs").isNotNull(), F.size("pairs").cast("long")).alias("n_pairs"), F.element_at("pairs", -1)["a"].alias("last_start"))
 
+
+
+@query("pf8_foreign_files", f"""WITH {CU}, pv AS (SELECT *, lag(tick_end) OVER (PARTITION BY rec ORDER BY ix) AS prev, (tick_end - tick_start) / 1000 AS sec FROM cu),
+r AS (SELECT rec, ix, unnest(list_filter([CASE WHEN tick_end <= tick_start THEN 'interval' END, CASE WHEN length(cue_text) > 50 THEN 'width' END, CASE WHEN tick_start < prev THEN 'overlap' END,
+ CASE WHEN sec > 0 AND length(cue_text) / sec > 17 AND NOT abs(length(cue_text) / sec - 17) <= greatest(1e-9 * greatest(length(cue_text) / sec, 17), 1e-9) THEN 'speed' END], lambda x: x IS NOT NULL)) AS rule FROM pv)
+SELECT rec, ix, rule FROM r WHERE NOT (rec % 6 = 3 AND (ix = 0 AND rule <> 'width' OR ix = 1 AND rule = 'overlap')) AND NOT (rec % 6 = 5 AND ix = 0 AND rule IN ('width', 'speed'))
+UNION ALL SELECT rec, 0, CASE rec % 6 WHEN 2 THEN 'numbering' WHEN 3 THEN 'interval' ELSE 'text' END FROM cu WHERE ix = 0 AND rec % 6 IN (2, 3, 5)""")
+def pf8(spark, sf):
+    """SRT and WebVTT files as they were written, with a wrong number, a broken time line, and markup in the first cue, read and judged."""
+    k = F.col("rec") % 6
+    srt = text_queries.sk1(spark, sf).where(k < 4)
+    srt = srt.withColumn("text", F.when(k == 2, F.regexp_replace("text", r"^1\n", "99\n")).when(k == 3, F.regexp_replace("text", r"^(1\n[^\n]*) --> ", "$1 -> ")).otherwise(F.col("text")))
+    vtt = text_queries.sk2(spark, sf).where(k >= 4)
+    vtt = vtt.withColumn("text", F.when(k == 5, F.regexp_replace("text", r"^(WEBVTT\n\n[^\n]*\n)", "$1<i>")).otherwise(F.col("text")))
+    read = subtitles.parse_srt(srt).unionByName(subtitles.parse_vtt(vtt))
+    return subtitles.violations(read.withColumn("ix", F.col("ix").cast("long")))
+
+
+@query("wn12_aligned_sweep", f"""WITH {IV}, d AS (SELECT rec, ix, text, start / 1e6 AS a, CASE WHEN event_id % 5 = 0 THEN start / 1e6 ELSE "end" / 1e6 END AS b FROM iv),
+c AS (SELECT *, coalesce(max(CASE WHEN b > a THEN b END) OVER (PARTITION BY rec ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS carry FROM d)
+SELECT rec, ix, greatest(a, carry) AS start, b AS "end" FROM c WHERE b > a AND b > greatest(a, carry)""")
+def wn12(spark, sf):
+    """Words of an aligner, every fifth without length: starts never go back, what can't move forward is dropped."""
+    stop = F.when(F.col("event_id") % 5 == 0, F.col("start")).otherwise(F.col("end"))
+    rows = intervals(spark, sf).select("rec", "ix", (F.col("start") / 1e6).alias("start"), (stop / 1e6).alias("end"), "text")
+    return layout.fill_and_sweep(rows).select("rec", "ix", "start", "end")

@@ -96,7 +96,7 @@ def render(cues: DataFrame, fmt: str) -> DataFrame:
 
 
 def violations(cues: DataFrame, width: int = 42, gap: int = 8, max_lines: int = 2, max_cps: float = 17.0, per_second: int = 1000) -> DataFrame:
-    """One row per cue and rule that it breaks."""
+    """One row per cue and rule that it breaks; a cue whose markup or escapes can't be read has no text."""
     w = in_order()
     lines = F.split("cue_text", "\n")
     seconds = (F.col("tick_end") - F.col("tick_start")) / per_second
@@ -105,6 +105,7 @@ def violations(cues: DataFrame, width: int = 42, gap: int = 8, max_lines: int =
         "numbering": F.col("index").isNull() | (F.col("index") != F.row_number().over(w)),
         "interval": F.col("tick_start").isNull() | F.col("tick_end").isNull() | (F.col("tick_end") <= F.col("tick_start")),
         "lines": (F.size(lines) > max_lines) | F.exists(lines, lambda x: ~x.rlike(r"\S")),
+        "text": F.col("cue_text").isNull(),
         "width": F.exists(lines, lambda x: F.length(x) > width + gap),
         "overlap": F.col("tick_start") < F.lag("tick_end").over(w),
         "speed": (seconds > 0) & (cps > max_cps) & ~n.close(cps, F.lit(max_cps)),
