@@ -61,6 +61,11 @@ def progress(percent: Column) -> Column:
     return (20 + 0.65 * clamp(percent, 0.0, 100.0)).cast("int")
 
 
+def optional_int(text: Column) -> Column:
+    """A whole number between blanks, or null."""
+    return F.trim(text).try_cast("long")
+
+
 def human_bytes(n: Column) -> Column:
     """One decimal, steps of 1024."""
     out = F.format_string("%.1f TB", n / 1024.0**4)

@@ -156,6 +156,16 @@ def repeated_ngrams(words: Column, n: int) -> Column:
     return F.size(grams) - F.size(F.array_distinct(grams))
 
 
+def optional_text(text: Column) -> Column:
+    """Without blanks around, or null where nothing is left."""
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def json_field(document: Column, name: str) -> Column:
+    """A top-level field of a JSON object as text, or null."""
+    return F.get_json_object(document, f"$.{name}")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.numbers import valid_interval
@@ -39,6 +39,14 @@ def valid_transcripts(segments: DataFrame, duration: Column) -> DataFrame:
     return segments.withColumn("_ok", F.coalesce(fine, F.lit(False))).groupBy("rec").agg(F.bool_and("_ok").alias("valid"), F.count("*").alias("n_segments"), F.count_if(~F.col("_ok")).alias("n_bad"))
 
 
+def flat_words(segments: DataFrame) -> DataFrame:
+    """Segments (rec, words) to (rec, k, start, end, text): the valid words of a recording in one order, by their times."""
+    words = segments.select("rec", F.explode("words").alias("_w")).select("rec", "_w.*")
+    words = words.where(valid_interval(F.col("start"), F.col("end")) & (F.trim("text") != ""))
+    k = F.row_number().over(Window.partitionBy("rec").orderBy("start", "end", "text")).cast("long")
+    return words.withColumn("k", k).select("rec", "k", "start", "end", "text")
+
+
 def zipped(a: Column, b: Column) -> Column:
     """Pairs (a, b) by position, or null where the arrays differ in length or one is null."""
     return F.when(F.size(a) == F.size(b), F.transform(a, lambda x, k: F.struct(x.alias("a"), F.get(b, k).alias("b"))))

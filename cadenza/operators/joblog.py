@@ -54,6 +54,27 @@ def beyond_limit(jobs: DataFrame, limit: int = MAX_JOBS) -> DataFrame:
     return jobs.where(F.col("status").isin(*TERMINAL_JOBS)).orderBy("updated_at", "job").limit(excess)
 
 
+def next_event_ids(events: DataFrame) -> DataFrame:
+    """(job, next_id, n_events): the number that a job's next event gets, and how many it has."""
+    return events.groupBy("job").agg((F.max("event_id") + 1).alias("next_id"), F.count("*").alias("n_events"))
+
+
+def cursor(asked: Column, header: Column) -> Column:
+    """Where a reader goes on: the larger of what it asks for and what its header (text) says; what is no number, or negative, counts as 0."""
+    return F.greatest(asked, header.try_cast("long"), F.lit(0).cast("long"))
+
+
+def refreshed(failed: DataFrame, built: DataFrame, key: str) -> DataFrame:
+    """Failed items, queued again if they were built anew; those that are missing say so, and a caller refuses the retry."""
+    found = built.select(key).distinct().withColumn("_built", F.lit(True))
+    return failed.join(found, key, "left").withColumns({"state": F.lit("queued"), "missing": F.col("_built").isNull()}).drop("_built")
+
+
+def missing(required: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """What is required, once each, and not present."""
+    return required.select(key).distinct().join(present.select(key), key, "left_anti")
+
+
 def surviving(children: DataFrame, parents: DataFrame) -> DataFrame:
     return children.join(parents.select("job"), "job", "left_semi")
 

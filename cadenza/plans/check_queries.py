@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import numbers as n
+from cadenza.functions import text as t
 from cadenza.operators import checks, reconcile
+from cadenza.operators import joblog as jobs
 from cadenza.plans.base import CT, EV, IT, IV, LN, intervals, job_events, lines, query, table
 from cadenza.sources import media
 
@@ -142,17 +146,12 @@ def jn3(spark, sf):
     """Failed items met with those built anew; an item that isn't among them is named, so that a caller can refuse the retry."""
     failed = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
     built = table(spark, sf, "lineitem").where("l_returnflag != 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return reconcile_items(failed, built, "o_orderkey")
-
-
-def reconcile_items(failed, built, key):
-    found = failed.join(built, key).withColumns({"state": F.lit("queued"), "missing": F.lit(False)})
-    return found.unionByName(failed.join(built, key, "left_anti").withColumns({"state": F.lit("queued"), "missing": F.lit(True)}))
+    return jobs.refreshed(failed, built, "o_orderkey")
 
 
 @query("ag4_next_event_id", f"WITH {EV} SELECT job, max(event_id) + 1 AS next_id, count(*) AS n_events FROM ev GROUP BY job")
 def ag4(spark, sf):
-    return job_events(spark, sf).groupBy("job").agg((F.max("event_id") + 1).alias("next_id"), F.count("*").alias("n_events"))
+    return jobs.next_event_ids(job_events(spark, sf))
 
 
 _MEMORY = f"{EV}, j AS (SELECT job, max(pos) AS completed, job % 10 = 0 AS active FROM ev GROUP BY job), a AS (SELECT * FROM j WHERE active OR completed + 300 >= 1000), r AS (SELECT *, row_number() OVER (PARTITION BY active ORDER BY completed DESC, job DESC) AS k, count(*) FILTER (active) OVER () AS n_active FROM a)"
@@ -164,14 +163,15 @@ def so7(spark, sf):
     jobs = job_events(spark, sf).groupBy("job").agg(F.max("at").alias("completed")).withColumn("active", F.col("job") % 10 == 0)
     alive = jobs.where("active or completed + 300 >= 1000")
     room = F.broadcast(alive.agg(F.greatest(F.lit(0), 16 - F.count_if("active")).cast("int").alias("room")))  # one row
-    newest = alive.where("not active").withColumn("k", F.row_number().over(Window.orderBy(F.desc("completed"), F.desc("job")))).where("k <= 16")
+    newest = alive.where("not active").orderBy(F.desc("completed"), F.desc("job")).limit(16)
+    newest = newest.withColumn("k", F.row_number().over(Window.orderBy(F.desc("completed"), F.desc("job"))))  # of 16 rows
     return alive.where("active").select("job", "active").unionByName(newest.join(room, F.col("k") <= F.col("room")).select("job", "active"))
 
 
 @query("se5_required_missing", "SELECT DISTINCT o_custkey AS required FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def se5(spark, sf):
     present = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("required"))
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("required")).distinct().join(present, "required", "left_anti")
+    return jobs.missing(table(spark, sf, "orders").select(F.col("o_custkey").alias("required")), present, "required")
 
 
 @query("sm6_cursor", "SELECT event_id, greatest(CASE WHEN event_id % 3 > 0 THEN event_id % 50 END, CASE WHEN event_id % 5 > 0 AND event_id % 7 > 0 THEN event_id % 40 END, 0) AS cursor FROM events")
@@ -179,7 +179,7 @@ def sm6(spark, sf):
     """The larger of the query's and the header's cursor; a header that is no number counts as none."""
     e = F.col("event_id")
     header = F.when(e % 7 == 0, "x").when(e % 5 > 0, (e % 40).cast("string"))
-    return table(spark, sf, "events").select("event_id", F.greatest(F.when(e % 3 > 0, e % 50), header.try_cast("long"), F.lit(0).cast("long")).alias("cursor"))
+    return table(spark, sf, "events").select("event_id", jobs.cursor(F.when(e % 3 > 0, e % 50), header).alias("cursor"))
 
 
 @query("dt2_epoch", "SELECT event_id, strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%dT%H:%M:%S.%fZ') AS text, epoch_us(ts) AS micros, CASE WHEN event_id % 4 > 0 THEN epoch_us(ts) END AS parsed FROM events")
@@ -194,23 +194,22 @@ def dt2(spark, sf):
 @query("ar2_flatten_words", f"""WITH {SG}, u AS (SELECT rec, unnest(words) AS x FROM sg) SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY x.start, x."end", x.text) AS k, x.start AS start, x.text AS text FROM u WHERE x.start >= 0 AND x."end" > x.start AND trim(x.text) <> ''""")
 def ar2(spark, sf):
     """Segments' words in one list, those that are valid, in order."""
-    rows = segments_of(spark, sf).select("rec", F.explode("words").alias("x")).where(n.valid_interval(F.col("x.start"), F.col("x.end")) & (F.trim("x.text") != ""))
-    k = F.row_number().over(Window.partitionBy("rec").orderBy("x.start", "x.end", "x.text")).cast("long")
-    return rows.select("rec", k.alias("k"), F.col("x.start").alias("start"), F.col("x.text").alias("text"))
+    return checks.flat_words(segments_of(spark, sf)).select("rec", "k", "start", "text")
 
 
 @query("js2_field_access", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, coalesce(props::JSON ->> '$.text', event_type) AS text FROM events")
 def js2(spark, sf):
     """A field of a mapping, or a default where it has none."""
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.text"), "event_type").alias("text"))
+    k, text = (t.json_field(F.col("props"), name) for name in ("k", "text"))
+    return table(spark, sf, "events").select("event_id", n.optional_int(k).alias("k"), F.coalesce(text, "event_type").alias("text"))
 
 
 @query("nm9_optional_numbers", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN NULL WHEN 2 THEN event_id % 100 ELSE NULL END AS number, CASE WHEN event_id % 3 > 0 THEN event_type END AS text FROM events")
 def nm9(spark, sf):
     e = F.col("event_id")
     given = F.get(F.array(e.cast("string"), F.lit("n/a"), F.concat(F.lit(" "), (e % 100).cast("string"), F.lit(" ")), F.lit("")), (e % 4).cast("int"))
-    text = F.nullif(F.trim(F.when(e % 3 > 0, F.concat(F.lit(" "), "event_type")).otherwise("  ")), F.lit(""))
-    return table(spark, sf, "events").select("event_id", F.trim(given).try_cast("long").alias("number"), text.alias("text"))
+    text = F.when(e % 3 > 0, F.concat(F.lit(" "), "event_type")).otherwise("  ")
+    return table(spark, sf, "events").select("event_id", n.optional_int(given).alias("number"), t.optional_text(text).alias("text"))
 
 
 @query("nm10_milliseconds", "SELECT event_id, CASE WHEN event_id % 9 > 0 THEN round_even(value * 1000, 0)::BIGINT END AS ms FROM events")
@@ -323,8 +322,11 @@ def st15(spark, sf):
     return reconcile.split_long_words(rows, 7.0)
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 @query("ag21_file_digests")
 def ag21(spark, sf):
-    """Size and digest of every file of the small dimension tables."""
-    made = [media.file_fingerprints(spark, f"{sf}/{name}.parquet").select(F.lit(name).alias("table"), "size", "sha256") for name in ("region", "nation")]
-    return made[0].unionByName(made[1])
+    """Size and digest of every file of the tables."""
+    made = [media.file_fingerprints(spark, f"{sf}/{name}.parquet").select(F.lit(name).alias("table"), "size", "sha256") for name in TABLES]
+    return reduce(DataFrame.unionByName, made)
