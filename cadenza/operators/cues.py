@@ -68,15 +68,16 @@ def duration_parts(text: Column, length: Column, longest: float) -> Column:
 
     Null where there is no fitting place to cut, for less than two parts, and for null.
     """
-    said = t.collapse_space(text)
-    most = F.length(said) * F.lit(longest) / length + SLACK
 
-    def cut(rest: Column) -> Column:
-        near = F.substring(rest, F.lit(1), F.least(F.floor(most), F.length(rest) - 1).cast("int"))
-        return F.greatest(layout.last_place(near, " "), layout.last_place(near, "-"))
+    def within(said: Column, most: Column) -> Column:
+        def cut(rest: Column) -> Column:
+            near = F.substring(rest, F.lit(1), F.least(F.floor(most), F.length(rest) - 1).cast("int"))
+            return F.greatest(layout.last_place(near, " "), layout.last_place(near, "-"))
 
-    parts = layout.cut_greedily(said, lambda rest: F.length(rest) <= most, cut, False)
-    return F.when(text.isNotNull() & (F.size(parts) > 1), parts)
+        return layout.cut_greedily(said, most, cut, False)
+
+    parts = t.bound(t.collapse_space(text), lambda said: t.bound(F.length(said) * F.lit(longest) / length + SLACK, lambda most: within(said, most)))
+    return t.bound(F.when(text.isNotNull(), parts), lambda p: F.when(F.size(p) > 1, p))
 
 
 def in_parts(parts: Column, start: Column, end: Column) -> Column:
@@ -97,6 +98,17 @@ def in_parts(parts: Column, start: Column, end: Column) -> Column:
     return F.when(F.size(parts) > 0, t.bound(parts, shared))
 
 
+def split_long_words(words: DataFrame, longest: float) -> DataFrame:
+    """Words (.., start, end, text) with part: those over ``longest`` seconds in several rows, by characters; one that can't be cut keeps its end and loses the silence before it."""
+    start, end, length = F.col("start"), F.col("end"), F.col("end") - F.col("start")
+    long = length > longest + SLACK
+    rest = [c for c in words.columns if c not in ("start", "end", "text")]
+    whole = F.array(F.struct(F.when(long, F.greatest(F.lit(0.0), end - longest)).otherwise(start).alias("start"), end.alias("end"), F.col("text").alias("text")))
+    rows = words.withColumn("_parts", duration_parts(F.when(long, F.col("text")), length, longest))
+    pieces = F.when(F.col("_parts").isNull(), whole).otherwise(in_parts(F.col("_parts"), start, end))
+    return rows.select(*rest, F.posexplode(pieces).alias("part", "_w")).select(*rest, "part", "_w.*")
+
+
 def fixed_anchors(words: DataFrame, cps: float, least: float, longest: float) -> DataFrame:
     """Words that last too long and can't be cut keep their end, or end where the next one begins inside, and lose the silence before."""
     start, end, length = F.col("start"), F.col("end"), F.col("end") - F.col("start")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.functions.text import join_glued
+from cadenza.functions.text import bound, join_glued
 from cadenza.operators.reconcile import SIMILAR, compact, display_units, display_units_of  # noqa: F401  units are part of the layout
 
 # Word lists of the layout rules (Russian) and their weights.
@@ -256,8 +256,12 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def cut_greedily(text: Column, fits, cut, strip_rest: bool) -> Column:
-    """Parts of a text: while the rest does not fit, ``cut(rest)`` characters are taken off; null where that is 0 or leaves a blank part."""
+def cut_greedily(text: Column, most: Column, cut, strip_rest: bool) -> Column:
+    """Parts of a text: while the rest is longer than ``most``, ``cut(rest)`` characters are taken off; null where that is 0 or leaves a blank part.
+
+    A cut is the last there is within ``most`` characters, so that three parts in a row hold more than these: this bounds the rounds.
+    """
+    rounds = F.least(F.length(text), F.ceil(3 * F.length(text) / most) + 3).cast("int")
     state = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("parts"), F.lit(True).alias("good"))
 
     def step(acc: Column, _: Column) -> Column:
@@ -267,13 +271,13 @@ def cut_greedily(text: Column, fits, cut, strip_rest: bool) -> Column:
         after = F.substring(rest, k + 1, F.length(rest))
         good = (k > 0) & (part != "")
         new = F.struct(F.when(good, _stripped(after) if strip_rest else after).otherwise(rest).alias("rest"), F.when(good, F.array_append(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"), good.alias("good"))
-        return F.when(acc["good"] & ~fits(rest), new).otherwise(acc)
+        return F.when(acc["good"] & (F.length(rest) > most), new).otherwise(acc)
 
     def whole(acc: Column) -> Column:
         tail = _stripped(acc["rest"])
         return F.when(acc["good"], F.when(tail != "", F.array_append(acc["parts"], tail)).otherwise(acc["parts"]))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), state, step, whole)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), rounds)), state, step, whole)
 
 
 def split_capacity(word: Column, most: int = 50) -> Column:
@@ -284,6 +288,8 @@ def split_capacity(word: Column, most: int = 50) -> Column:
         hyphen = last_place(F.substring(rest, 1, most), "-")
         return F.when(space > 0, space).otherwise(F.when(hyphen > 1, hyphen).otherwise(0))
 
-    text = _stripped(word)
-    parts = F.coalesce(cut_greedily(text, lambda rest: F.length(rest) <= most, cut, True), F.array(text))
-    return F.when(word.isNotNull(), F.when(F.length(text) <= most, F.filter(F.array(text), lambda x: x != "")).otherwise(parts))
+    def parts(text: Column) -> Column:
+        whole = F.when(F.length(text) <= most, F.filter(F.array(text), lambda x: x != ""))
+        return F.coalesce(whole, cut_greedily(text, F.lit(most), cut, True), F.array(text))
+
+    return bound(F.when(word.isNotNull(), _stripped(word)), lambda text: F.when(text.isNotNull(), parts(text)))

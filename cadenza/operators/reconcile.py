@@ -388,13 +388,3 @@ def split_long(start: float, end: float, text: str, probability: float | None, l
         return [{"start": begin if begin < end else max(0.0, math.nextafter(end, -math.inf)), "end": end, "text": text, "probability": probability}]
     weights = [max(1, len(c) + (k < len(chunks) - 1 and not c.endswith("-"))) for k, c in enumerate(chunks)]
     return [{"start": a, "end": b, "text": c, "probability": probability} for c, (a, b) in zip(chunks, shares(start, end, weights), strict=True)]
-
-
-def split_long_words(words: DataFrame, longest: float) -> DataFrame:
-    """Words (rec, ix, start, end, text, probability) with part; those over ``longest`` seconds in several rows."""
-
-    @F.pandas_udf(_WORDS)
-    def cut(start: pd.Series, end: pd.Series, text: pd.Series, probability: pd.Series) -> pd.Series:
-        return pd.Series([split_long(a, b, x, None if pd.isna(p) else p, longest) for a, b, x, p in zip(start, end, text, probability, strict=True)])
-
-    return words.select("rec", "ix", F.posexplode(cut("start", "end", "text", "probability")).alias("part", "_w")).select("rec", "ix", "part", "_w.*")

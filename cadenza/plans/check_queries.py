@@ -315,13 +315,6 @@ def st8(spark, sf):
     return made.select("rec", "seg", "k", "w.*")
 
 
-@query("st15_split_by_duration")
-def st15(spark, sf):
-    """Lines as single words that last by their length: those over seven seconds in parts."""
-    rows = lines(spark, sf).select("rec", "ix", (F.col("ix") * 100.0).alias("start"), (F.col("ix") * 100.0 + F.length("line") / 8).alias("end"), F.col("line").alias("text"), F.lit(None).cast("double").alias("probability"))
-    return reconcile.split_long_words(rows, 7.0)
-
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 

@@ -256,3 +256,21 @@ def wn12(spark, sf):
     stop = F.when(F.col("event_id") % 5 == 0, F.col("start")).otherwise(F.col("end"))
     rows = intervals(spark, sf).select("rec", "ix", (F.col("start") / 1e6).alias("start"), (stop / 1e6).alias("end"), "text")
     return layout.fill_and_sweep(rows).select("rec", "ix", "start", "end")
+
+
+@query("st15_split_by_duration", rf"""WITH RECURSIVE {LN}, t AS (SELECT rec, ix, line, trim(regexp_replace(line, '[\s\x{{00A0}}]+', ' ', 'g')) AS said, length(line) / 8 AS d FROM ln),
+f AS (SELECT rec, ix, length(said) * 7.0::DOUBLE / d + 1e-9::DOUBLE AS most, said AS rest, []::VARCHAR[] AS parts, true AS good FROM t WHERE d > 7 + 1e-9
+ UNION ALL SELECT rec, ix, most, substr(rest, cut + 1), list_append(parts, trim(substr(rest, 1, cut))), cut > 0 AND trim(substr(rest, 1, cut)) <> ''
+ FROM (SELECT *, greatest(CASE WHEN strpos(reverse(near), ' ') > 0 THEN length(near) + 1 - strpos(reverse(near), ' ') ELSE 0 END, CASE WHEN strpos(reverse(near), '-') > 0 THEN length(near) + 1 - strpos(reverse(near), '-') ELSE 0 END) AS cut
+  FROM (SELECT *, substr(rest, 1, least(floor(most)::BIGINT, length(rest) - 1)) AS near FROM f WHERE good AND length(rest) > most))),
+e AS (SELECT rec, ix, CASE WHEN trim(rest) <> '' THEN list_append(parts, trim(rest)) ELSE parts END AS parts FROM f WHERE good AND length(rest) <= most),
+p AS (SELECT t.*, CASE WHEN len(e.parts) > 1 THEN e.parts END AS parts FROM t LEFT JOIN e ON e.rec = t.rec AND e.ix = t.ix),
+u AS (SELECT rec, ix, d, line, parts, len(coalesce(parts, [line])) AS n, unnest(range(len(coalesce(parts, [line])))) AS part, unnest(coalesce(parts, [line])) AS text FROM p),
+s AS (SELECT *, greatest(1, length(text) + CASE WHEN part = n - 1 OR text LIKE '%-' THEN 0 ELSE 1 END) AS wt FROM u),
+c AS (SELECT *, sum(wt) OVER (PARTITION BY rec, ix ORDER BY part ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(wt) OVER (PARTITION BY rec, ix)::BIGINT AS total FROM s)
+SELECT rec, ix, part, text, round((ix * 100 + CASE WHEN parts IS NULL THEN greatest(0, d - 7) ELSE d * (upto - wt) / total END)::DOUBLE, 6) AS start, round((ix * 100 + CASE WHEN parts IS NULL THEN d ELSE d * upto / total END)::DOUBLE, 6) AS "end" FROM c""")
+def st15(spark, sf):
+    """Lines as single words that last by their length: those over seven seconds in parts."""
+    rows = lines(spark, sf).select("rec", "ix", (F.col("ix") * 100.0).alias("start"), (F.col("ix") * 100.0 + F.length("line") / 8).alias("end"), F.col("line").alias("text"))
+    made = cues.split_long_words(rows, 7.0)
+    return made.select("rec", "ix", F.col("part").cast("long").alias("part"), "text", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
