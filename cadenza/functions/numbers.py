@@ -66,12 +66,27 @@ def optional_int(text: Column) -> Column:
     return F.trim(text).try_cast("long")
 
 
+def one_decimal(x: Column) -> Column:
+    """A finite number with one decimal as printf writes it: its exact binary value, half to even; format_string rounds ties up.
+
+    Ten times the fraction is 8 f + 2 f, both exact, so that what their sum lost in rounding is known.
+    """
+    size = F.abs(x)
+    f = size - F.floor(size)
+    tenfold = f * 8 + f * 2
+    lost = f * 2 - (tenfold - f * 8)
+    half = (tenfold - F.floor(tenfold) == 0.5) & (lost != 0)
+    tenths = (F.floor(size) * 10 + F.when(half, F.floor(tenfold) + (lost > 0).cast("int")).otherwise(F.rint(tenfold))).cast("long")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def human_bytes(n: Column) -> Column:
     """One decimal, steps of 1024."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
-    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
-        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", n / 1024.0**k)).otherwise(out)
-    return out
+    step, unit = F.lit(1024.0**4), F.lit(" TB")
+    for k, name in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
+        small = n < 1024.0 ** (k + 1)
+        step, unit = F.when(small, F.lit(1024.0**k)).otherwise(step), F.when(small, F.lit(f" {name}")).otherwise(unit)
+    return F.concat(one_decimal(n / step), unit)
 
 
 def size_reserve(n: Column, ratio: float = 0.1, floor: int = 1 << 20) -> Column:

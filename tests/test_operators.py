@@ -26,6 +26,13 @@ def test_clock_round_trip(spark):
     assert one(spark, numbers.parse_clock(F.lit("0:61:00,000"))) is None
 
 
+def test_human_bytes_round_as_printf(spark):
+    sizes = [256.0, 768.0, 1280.0, 1792.0, 1024.0 * 99.75, 0.25, 0.75, 0.35, 2.45, 999.95, 1023.96, 1048576 * 7.25, 1048576 * 7.35, 2.0**30 * 5.75, 0.25 + 2**-54, 0.05, 0.95, 0.0]
+    found = spark.createDataFrame([(x,) for x in sizes], "n double").select("n", numbers.human_bytes(F.col("n")).alias("size")).collect()
+    steps = lambda x: next((x / 1024**k, u) for k, u in enumerate(("B", "KB", "MB", "GB")) if x < 1024 ** (k + 1))
+    assert [r.size for r in found] == ["%.1f %s" % steps(r.n) for r in found]
+
+
 def test_repeated_ngrams(spark):
     words = F.split(F.lit("a b c a b c a b"), " ")
     assert one(spark, text.repeated_ngrams(words, 3)) == 3
