@@ -61,6 +61,6 @@ def report(runs: DataFrame, metrics: DataFrame, key: str, duration: Column, wall
 
 
 def refused(files: DataFrame, key: str, most: int) -> DataFrame:
-    """Per batch: how many files were looked at (one more than may be tells enough), and whether it is refused whole."""
-    counts = files.groupBy(key).agg(F.least(F.count("*"), F.lit(most + 1)).alias("n_files"))
+    """Per batch: how many files it has, and whether it is refused whole."""
+    counts = files.groupBy(key).agg(F.count("*").alias("n_files"))
     return counts.withColumn("too_many", F.col("n_files") > most)

@@ -68,3 +68,10 @@ def test_middles_behind_all_ends_have_no_row(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     found = rows(registry.QUERIES["jn9_first_attribute"](spark, str(tmp_path)))
     assert found == rows(con.sql(registry.SQL["jn9_first_attribute"])) and len(found) == 1 + 5
+
+
+def test_batches_over_the_cap_are_counted_whole(spark, tmp_path):
+    made = [(k, "x", "en", "big" if k < 97 else "small", 1) for k in range(130)]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.QUERIES["so11_batch_cap"](spark, str(tmp_path)).collect()
+    assert sorted((r.source, r.n_files, r.too_many) for r in found) == [("big", 97, True), ("small", 33, False)]
