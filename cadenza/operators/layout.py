@@ -6,13 +6,13 @@ All run per recording (or sentence) with Arrow batches; a group is one recording
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.functions import blocks
 from cadenza.functions.text import bound, join_glued
 from cadenza.operators.reconcile import SIMILAR, compact, display_units, display_units_of  # noqa: F401  units are part of the layout
 
@@ -27,22 +27,25 @@ PAIR_GAP = 0.5
 #: What is around a token.
 AROUND = ".,!?…;:—-\"'«»“”’()[]{}"
 
-_POINTS = T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
 
-
-@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("anchors", _POINTS)]))
-def alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Of the compact forms: ratio, the share of characters in longest matching blocks; anchors, the ends of all blocks and of the texts."""
-
-    def align(x: str, y: str) -> tuple[float, list[dict]]:
+@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("x", T.ArrayType(T.LongType())), T.StructField("y", T.ArrayType(T.LongType()))]))
+def _alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    ratios, xs, ys = [], [], []
+    for x, y in zip(a, b, strict=True):
         x, y = compact(x or ""), compact(y or "")
-        matcher = SequenceMatcher(None, x, y, autojunk=False)
-        found = {(0, 0), (len(x), len(y))}
-        for block in matcher.get_matching_blocks():
-            found |= {(block.a, block.b), (block.a + block.size, block.b + block.size)}
-        return matcher.ratio(), [{"x": i, "y": j} for i, j in sorted(found)]
+        found = blocks.matching_blocks(x, y)
+        ratios.append(blocks.ratio(found, x, y))
+        points = sorted({(0, 0), (len(x), len(y)), *((i, j) for i, j, _ in found), *((i + n, j + n) for i, j, n in found)})
+        xs.append([i for i, _ in points])
+        ys.append([j for _, j in points])
+    return pd.DataFrame({"ratio": ratios, "x": xs, "y": ys})
 
-    return pd.DataFrame([align(x, y) for x, y in zip(a, b, strict=True)], columns=["ratio", "anchors"])
+
+def alignment(a: str, b: str) -> Column:
+    """Of the compact forms: ratio, the share of characters in longest matching blocks; anchors, the ends of all blocks and of the texts."""
+    made = _alignment(a, b)
+    anchors = F.zip_with(made["x"], made["y"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.struct(made["ratio"].alias("ratio"), anchors.alias("anchors"))
 
 
 def join_units(words: list[str]) -> str:

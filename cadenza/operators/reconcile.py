@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right
-from difflib import SequenceMatcher
+from collections import Counter
 from itertools import accumulate
 
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.functions import blocks
 from cadenza.functions import text as t
 from cadenza.functions.text import AMBIGUOUS_QUOTES, CLOSING, HYPHEN_PARTICLES, OPENING, TERMINAL
 from cadenza.operators.intervals import before, in_order, upto
@@ -146,16 +147,16 @@ def spread_text(start: float, end: float, text: str) -> list[dict]:
 class Aligned:
     """Where the characters of a text stand among those of timed words, and when."""
 
-    def __init__(self, source: str, words: list[dict]):
-        self.words, lengths = words, [len(compact(w["text"])) for w in words]
+    def __init__(self, source: str, words: list[dict], letters: list[str], found: list[tuple[int, int, int]] | None = None):
+        """``letters`` are those of the words; ``found``, the blocks of the source and them, if known."""
+        self.words, lengths = words, [len(x) for x in letters]
         self.ends = list(accumulate(lengths))
         self.lexical = [k for k, n in enumerate(lengths) if n]
         self.stops = [self.ends[k] for k in self.lexical]
-        target = "".join(compact(w["text"]) for w in words)
+        target = "".join(letters)
         points = {(0, 0), (len(source), len(target))}
-        for block in [] if source == target else SequenceMatcher(None, source, target, autojunk=False).get_matching_blocks():
-            if block.size:
-                points |= {(block.a, block.b), (block.a + block.size, block.b + block.size)}
+        for i, j, size in blocks.matching_blocks(source, target) if found is None else found:
+            points |= {(i, j), (i + size, j + size)}
         self.x, self.y = zip(*sorted(points), strict=True)
 
     def place(self, at: float) -> float:
@@ -196,36 +197,50 @@ def word_by_word(units: list[str], words: list[dict]) -> list[dict]:
     return out
 
 
-def reconcile(text: str, words: list[dict]) -> list[dict]:
-    """The text's units with the times of the characters that they are aligned with; starts never go back, no unit is under 1 ms."""
+def reconcile(text: str, words: list[dict], own: list[str] | None = None, found: list[tuple[int, int, int]] | None = None) -> list[dict]:
+    """The text's units with the times of the characters that they are aligned with; starts never go back, no unit is under 1 ms.
+
+    ``own``, the letters of each word, and ``found``, the blocks of the text's letters and theirs, are made if they aren't known.
+    """
     units = display_units(text)
     letters = [compact(u) for u in units]
-    if all(letters) and letters == [compact(w["text"]) for w in words]:
+    own = [compact(w["text"]) for w in words] if own is None else own
+    if all(letters) and letters == own:
         return word_by_word(units, words)
-    aligned = Aligned("".join(letters), words)
+    source = "".join(letters)
+    aligned = Aligned(source, words, own, found if source == compact(text) else None)
     out, cursor, last = [], 0, words[0]["start"]
-    for unit, own in zip(units, letters, strict=True):
+    for unit, said in zip(units, letters, strict=True):
         a = aligned.place(cursor)
-        cursor += len(own)
+        cursor += len(said)
         b = aligned.place(cursor)
         last = max(last, aligned.time(a, False))
         out.append({"start": last, "end": max(last + 0.001, aligned.time(b, True)), "text": unit, "probability": aligned.probability((a + b) / 2)})
     return out
 
 
-def says_the_same(text: str, words: list[dict]) -> bool:
-    a, b = compact(text), "".join(compact(w["text"]) for w in words)
+def common_blocks(a: str, b: str) -> list[tuple[int, int, int]] | None:
+    """The matching blocks of two texts that say the same; None for others, or if one is empty."""
     if not a or not b or a == b:
-        return bool(a) and a == b
-    matcher = SequenceMatcher(None, a, b, autojunk=False)
+        return blocks.matching_blocks(a, b) if a and b else None
     # the cheap ones are upper bounds
-    return matcher.real_quick_ratio() >= SIMILAR and matcher.quick_ratio() >= SIMILAR and matcher.ratio() >= SIMILAR
+    least = SIMILAR * (len(a) + len(b)) / 2
+    if min(len(a), len(b)) < least - 1 or sum(min(n, b.count(c)) for c, n in Counter(a).items()) < least - 1:
+        return None
+    found = blocks.matching_blocks(a, b)
+    return found if blocks.ratio(found, a, b) >= SIMILAR else None
+
+
+def says_the_same(text: str, words: list[dict]) -> bool:
+    return common_blocks(compact(text), "".join(compact(w["text"]) for w in words)) is not None
 
 
 def prepared(start: float, end: float, text: str, words: list[dict]) -> tuple[str, list[dict]]:
     """How a segment's words were got, and the words: its text by its words' times, its text by its own time, or its words."""
     if words and text:
-        return ("reconciled", reconcile(text, words)) if says_the_same(text, words) else ("spread", spread_text(start, end, text))
+        own = [compact(w["text"]) for w in words]
+        found = common_blocks(compact(text), "".join(own))
+        return ("spread", spread_text(start, end, text)) if found is None else ("reconciled", reconcile(text, words, own, found))
     if words:
         return "words", tidy_words(words)
     return ("spread", spread_text(start, end, text)) if text else ("none", [])
