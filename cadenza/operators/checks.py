@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.numbers import valid_interval
+from cadenza.functions.text import bound
 from cadenza.operators.intervals import in_order, upto
 
 #: Seconds that a word may end beyond its recording, and by which source words may overlap.
@@ -123,13 +124,17 @@ def remove_float_overlaps(df: DataFrame, step: float = 1e-9) -> DataFrame:
 
 def proportional_parts(text: Column, parts: Column) -> Column:
     """A text cut at the floor of k n / m: between words, or between characters where there are fewer words than parts; null where there are fewer of these too."""
-    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    letters = F.array_join(words, "")
     cut = lambda k, n: F.floor(k * n / parts).cast("int")
     places = F.sequence(F.lit(0), (parts - 1).cast("int"))
-    by_word = F.transform(places, lambda k: F.array_join(F.slice(words, cut(k, F.size(words)) + 1, cut(k + 1, F.size(words)) - cut(k, F.size(words))), " "))
-    by_letter = F.transform(places, lambda k: F.substring(letters, cut(k, F.length(letters)) + 1, cut(k + 1, F.length(letters)) - cut(k, F.length(letters))))
-    return F.when(F.size(words) >= parts, by_word).when(F.length(letters) >= parts, by_letter)
+
+    def by_word(words: Column) -> Column:
+        return F.transform(places, lambda k: F.array_join(F.slice(words, cut(k, F.size(words)) + 1, cut(k + 1, F.size(words)) - cut(k, F.size(words))), " "))
+
+    def by_letter(words: Column) -> Column:
+        # fewer words than parts: their letters as an array, so that a part is found without counting through those before
+        return bound(F.split(F.array_join(words, ""), ""), lambda x: F.when(F.size(x) >= parts, F.transform(places, lambda k: F.array_join(F.slice(x, cut(k, F.size(x)) + 1, cut(k + 1, F.size(x)) - cut(k, F.size(x))), ""))))
+
+    return bound(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda words: F.when(F.size(words) >= parts, by_word(words)).when(F.size(words) > 0, by_letter(words)))
 
 
 def signature(*parts: Column) -> Column:
