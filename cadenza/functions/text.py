@@ -133,6 +133,23 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def running_sums(numbers: Column, block: int = 16) -> Column:
+    """Sums of an array of integers up to each element: within blocks, then of blocks, so that a long array is not summed once per element."""
+
+    def upto(x: Column) -> Column:
+        return F.transform(x, lambda _, k: F.aggregate(F.slice(x, 1, k + 1), F.lit(0), lambda a, n: a + n))
+
+    def within(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int"))
+        return bound(F.transform(starts, lambda k: F.transform(F.array(F.slice(x, k * block + 1, block)), upto)[0]), joined)
+
+    def joined(parts: Column) -> Column:
+        before = F.transform(parts, lambda p: F.element_at(p, -1))
+        return bound(F.aggregate(before, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n)), lambda sums: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda x: x + F.get(sums, k)))))
+
+    return bound(numbers, lambda x: F.when(F.size(x) > block, within(x)).otherwise(upto(x)))
+
+
 def join_glued(words: Column) -> Column:
     """Words with a space between them, but none after one that ends in a hyphen."""
 

@@ -88,8 +88,7 @@ def in_parts(parts: Column, start: Column, end: Column) -> Column:
         return t.bound(F.transform(own, lambda p, k: F.greatest(F.lit(1), t.visible_length(p) + F.when(last(k) | F.rtrim(p).endswith("-"), 0).otherwise(1))), lambda weights: spans(own, weights))
 
     def spans(own: Column, weights: Column) -> Column:
-        sums = F.transform(weights, lambda _, k: F.aggregate(F.slice(weights, 1, k + 1), F.lit(0), lambda a, x: a + x))
-        return t.bound(sums, lambda upto: F.transform(own, lambda p, k: placed(own, upto, p, k)))
+        return t.bound(t.running_sums(weights), lambda upto: F.transform(own, lambda p, k: placed(own, upto, p, k)))
 
     def placed(own: Column, upto: Column, part: Column, k: Column) -> Column:
         at = lambda n: start + (end - start) * F.coalesce(F.get(upto, n), F.lit(0)) / F.element_at(upto, -1)
