@@ -5,9 +5,10 @@ All run per recording (or sentence) with Arrow batches; a group is one recording
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,64 +177,92 @@ def group_cues(lines: DataFrame, max_lines: int = 2, pause: float = 0.7, keep: t
     return cues.select("rec", ix.alias("ix"), "_c.start", "_c.end", F.array_join("_c.texts", "\n").alias("cue_text"), *keep)
 
 
-def _sweep(df: DataFrame, step, schema: str | None = None) -> DataFrame:
-    """Per recording, in order: ``step(rows)`` gives the accepted rows."""
+def _fold(df: DataFrame, needs: tuple[str, ...], judge: Callable, made: dict[str, pa.DataType], schema: str | T.StructType | None = None) -> DataFrame:
+    """Per recording, in order of ix: ``judge()`` gives a function of the columns ``needs`` of a row, which gives values for the columns ``made``, or None to drop it.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ix", kind="stable")
-        return pd.DataFrame(list(step(rows)), columns=rows.columns)
+    Rows are dealt by recording, sorted, and stream by in batches; nothing is held but what the function keeps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step = None, None
+        for batch in batches:
+            kept, new = [], []
+            for k, (rec, *row) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("rec", *needs)], strict=True)):
+                if step is None or rec != at:
+                    at, step = rec, judge()
+                values = step(*row)
+                if values is not None:
+                    kept.append(k)
+                    new.append(values)
+            if kept:
+                out = batch if len(kept) == batch.num_rows else batch.take(pa.array(kept, pa.int32()))
+                columns = dict(zip(out.schema.names, out.columns, strict=True))
+                columns |= {c: pa.array(values, kind, from_pandas=True) for (c, kind), values in zip(made.items(), zip(*new, strict=True), strict=True)}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return df.repartition("rec").sortWithinPartitions("rec", "ix").mapInArrow(run, schema or df.schema)
 
-    return df.groupBy("rec").applyInPandas(run, schema or df.schema)
+
+def _missing(x: float | None) -> bool:
+    return x is None or x != x
 
 
 def drop_boundary_repeats(words: DataFrame) -> DataFrame:
     """Words that overlap the last accepted one and say the same are dropped; others that overlap begin at its end."""
 
-    def step(rows: pd.DataFrame) -> Iterator[tuple]:
-        end, said = None, None
-        at = {c: k for k, c in enumerate(rows.columns)}
-        for row in rows.itertuples(index=False, name=None):
-            start, text = row[at["start"]], row[at["text"]].casefold()
-            if end is not None and start < end:
-                if text == said or row[at["end"]] <= end:
-                    continue
-                row = tuple(end if k == at["start"] else v for k, v in enumerate(row))
-            end, said = row[at["end"]], text
-            yield row
+    def judge():
+        last, said = None, None
+
+        def step(start: float | None, end: float | None, text: str) -> tuple | None:
+            nonlocal last, said
+            text = text.casefold()
+            if not _missing(last) and not _missing(start) and start < last:
+                if text == said or not _missing(end) and end <= last:
+                    return None
+                start = last
+            last, said = end, text
+            return (start,)
 
-    return _sweep(words, step)
+        return step
+
+    return _fold(words, ("start", "end", "text"), judge, {"start": pa.float64()})
 
 
 def fill_and_sweep(words: DataFrame, least: float = 0.001) -> DataFrame:
     """A missing start is the last accepted end, a missing end ``least`` after the start; what can't move forward is dropped."""
 
-    def step(rows: pd.DataFrame) -> Iterator[tuple]:
-        end = 0.0
-        at = {c: k for k, c in enumerate(rows.columns)}
-        for row in rows.itertuples(index=False, name=None):
-            start, stop = row[at["start"]], row[at["end"]]
-            start = end if pd.isna(start) else max(start, end)
-            stop = start + least if pd.isna(stop) else stop
-            if stop > start and str(row[at["text"]]).strip():
-                end = stop
-                yield tuple(start if k == at["start"] else stop if k == at["end"] else v for k, v in enumerate(row))
+    def judge():
+        last = 0.0
+
+        def step(start: float | None, stop: float | None, text: str) -> tuple | None:
+            nonlocal last
+            start = last if _missing(start) else max(start, last)
+            stop = start + least if _missing(stop) else stop
+            if not (stop > start and str(text).strip()):
+                return None
+            last = stop
+            return start, stop
+
+        return step
 
-    return _sweep(words, step)
+    return _fold(words, ("start", "end", "text"), judge, {"start": pa.float64(), "end": pa.float64()})
 
 
 def greedy_groups(words: DataFrame, longest: float) -> DataFrame:
     """With group: a new one whenever the time from its first start would exceed ``longest``."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ix")
-        first, group, out = None, -1, []
-        for start, end in zip(rows["start"], rows["end"], strict=True):
+    def judge():
+        first, group = None, -1
+
+        def step(start: float, end: float) -> tuple:
+            nonlocal first, group
             if first is None or end - first > longest:
                 first, group = start, group + 1
-            out.append(group)
-        return rows.assign(group=out)
+            return (group,)
+
+        return step
 
-    return words.groupBy("rec").applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in [*words.dtypes, ("group", "bigint")]))
+    return _fold(words, ("start", "end"), judge, {"group": pa.int64()}, ", ".join(f"`{n}` {t}" for n, t in [*words.dtypes, ("group", "bigint")]))
 
 
 def merged_probabilities(rows: DataFrame) -> DataFrame:

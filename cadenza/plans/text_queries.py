@@ -9,7 +9,7 @@ from cadenza.functions import numbers as n
 from cadenza.functions import text as t
 from cadenza.operators import layout, reconcile
 from cadenza.operators.intervals import in_order
-from cadenza.plans.base import CU, LN, cues, lines, query, table
+from cadenza.plans.base import CU, LN, cues, lines, query, table, texts
 from cadenza.sources import subtitles as s
 
 TOK = r"[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*"
@@ -229,7 +229,7 @@ def ag11(spark, sf):
 
 def _words(spark, sf):
     """Lines' words as timed words: half a second each."""
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("rec"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("ix", "text"))
+    rows = texts(spark, sf).select("rec", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("ix", "text"))
     rows = rows.withColumns({"ix": F.col("ix").cast("long"), "start": F.col("ix") * 0.5, "end": F.col("ix") * 0.5 + 0.45})
     from cadenza.operators.intervals import islands_after
 

@@ -3,7 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
-from cadenza.functions import blocks
+from pyspark.sql import functions as F
+
+from cadenza.functions import blocks, text
+from cadenza.operators import checks
+from cadenza.plans import registry
 
 
 def test_blocks_are_those_of_difflib():
@@ -20,3 +24,25 @@ def test_blocks_are_those_of_difflib():
         found = blocks.matching_blocks(a, b)
         assert found == [tuple(m) for m in matcher.get_matching_blocks() if m.size]
         assert blocks.ratio(found, a, b) == matcher.ratio()
+
+
+def test_running_sums(spark):
+    sizes = (0, 1, 15, 16, 17, 32, 33, 300)
+    rows = spark.createDataFrame([([(7 * k + n) % 5 for k in range(n)],) for n in sizes], "x array<int>")
+    for r in rows.select("x", text.running_sums(F.col("x")).alias("sums")).collect():
+        assert r.sums == [sum(r.x[: k + 1]) for k in range(len(r.x))]
+
+
+def test_parts_of_a_very_long_line(spark):
+    words = [f"w{k % 97}" for k in range(20000)]
+    rows = spark.createDataFrame([(" ".join(words), 5000), ("abcdefghij klm", 4), ("ab c", 4), ("", 1)], "line string, m int")
+    found = [r.p for r in rows.select(checks.proportional_parts(F.col("line"), F.col("m")).alias("p")).collect()]
+    assert found == [[" ".join(words[4 * k : 4 * k + 4]) for k in range(5000)], ["abc", "def", "ghi", "jklm"], None, None]
+
+
+def test_whole_texts_are_dealt_and_words_stay(spark, sf_dir):
+    """An exchange below the words; sweeps stream and build no frame per recording. (Twice for wn9, which reads words twice; wn25 counts small groups after.)"""
+    for name in ("wn9_boundary_repeats", "wn11_fill_and_sweep", "wn25_greedy_groups", "wn26_pack_lines", "st_line_scalars", "wn30_retime_leading"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == (2 if name[:4] in ("wn9_", "wn25") else 1) and "FlatMapGroups" not in plan, name
+        assert plan.index("Generate posexplode") < plan.rindex("Exchange"), name
