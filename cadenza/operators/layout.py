@@ -67,6 +67,8 @@ def line_breaks(words: list[str], width: int, gap: int) -> list[int]:
     A unit may hold several tokens (a dash and a word), and one that ends in a hyphen makes one token with the next: lines are judged
     by the tokens of their text.
     """
+    if all(w[-1:] != "-" and w.split() == [w] for w in words):
+        return _plain_line_breaks(words, width, gap)
     first = [plain(w) for w in words]
     best: list[tuple | None] = [(0, 0, 0, 0)] + [None] * len(words)
     came = [0] * (len(words) + 1)
@@ -91,6 +93,33 @@ def line_breaks(words: list[str], width: int, gap: int) -> list[int]:
     return _way(came)
 
 
+def _plain_line_breaks(words: list[str], width: int, gap: int) -> list[int]:
+    """`line_breaks` of units that are one token each: what a line's end costs depends on the words around it only."""
+    n, sizes, first = len(words), [len(w) for w in words], [plain(w) for w in words]
+    tails = [0] * (n + 1)
+    for end in range(1, n):
+        if first[end - 1] in WEAK_ENDS:
+            tails[end] = WEAK_END
+        elif not words[end - 1].endswith(GOOD_ENDS):
+            tails[end] = CONJUNCTION if first[end] in CONJUNCTIONS else PLAIN
+    best: list[tuple | None] = [(0, 0, 0, 0)] + [None] * n
+    came = [0] * (n + 1)
+    for start in range(n):
+        lines, penalty, over, ragged = best[start]
+        size = -1
+        for end in range(start + 1, n + 1):
+            size += sizes[end - 1] + 1
+            if size > width + gap and end > start + 1:
+                break
+            known, count = best[end], end - start
+            if known is None or known[0] > lines:
+                cost = penalty + tails[end] + (SHORT_LINE.get(count, 0) if count < 3 else 0)
+                rank = (lines + 1, cost, over + size - width if size > width else over, ragged + size * size)
+                if known is None or rank < known:
+                    best[end], came[end] = rank, start
+    return _way(came)
+
+
 def _way(came: list[int]) -> list[int]:
     """Ends of the parts that lead to the last state."""
     ends, at = [], len(came) - 1

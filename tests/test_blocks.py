@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from cadenza.functions import blocks, text
-from cadenza.operators import checks
+from cadenza.operators import checks, layout
 from cadenza.plans import registry
 
 
@@ -46,3 +46,27 @@ def test_whole_texts_are_dealt_and_words_stay(spark, sf_dir):
         plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == (2 if name[:4] in ("wn9_", "wn25") else 1) and "FlatMapGroups" not in plan, name
         assert plan.index("Generate posexplode") < plan.rindex("Exchange"), name
+
+
+def test_lines_of_plain_words_break_as_others_do():
+    """Units of one token each go another way, with the same ends."""
+    rng = random.Random(12)
+    words = ("a", "и", "word,", "на", "longerword", "x—", "в", "end;", "supercalifragilistic" * 3, "но", "для")
+    for _ in range(500):
+        own = [rng.choice(words) for _ in range(rng.randrange(1, 14))]
+        best = [(0, 0, 0, 0), *[None] * len(own)]
+        came = [0] * (len(own) + 1)
+        for start in range(len(own)):
+            for end in range(start + 1, len(own) + 1):
+                size = len(" ".join(own[start:end]))
+                if size > 24 and end > start + 1:
+                    break
+                cost = layout.SHORT_LINE.get(end - start, 0)
+                if end < len(own):
+                    weak, good = layout.plain(own[end - 1]) in layout.WEAK_ENDS, own[end - 1].endswith(layout.GOOD_ENDS)
+                    cost += layout.WEAK_END if weak else 0 if good else layout.CONJUNCTION if own[end] in layout.CONJUNCTIONS else layout.PLAIN
+                a, b, c, d = best[start]
+                rank = (a + 1, b + cost, c + max(0, size - 20), d + size * size)
+                if best[end] is None or rank < best[end]:
+                    best[end], came[end] = rank, start
+        assert layout._plain_line_breaks(own, 20, 4) == layout.line_breaks(own, 20, 4) == layout._way(came)
