@@ -28,7 +28,6 @@ SIMILAR = 0.72
 ISLAND_WORDS, ISLAND_CHARS, ISLAND_GAP, RIGHT_WORDS, SURER, NEAR_START = 2, 12, 3.0, 4, 0.05, 0.25
 
 WORD = "struct<start:double,end:double,text:string,probability:double>"
-_WORDS = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("probability", T.DoubleType())]))
 
 _SUFFIX = re.compile(r"-(?:" + "|".join(HYPHEN_PARTICLES) + r")\W*", re.I)
 _GLUED = re.compile(r"([.!?…][\"'»”’)]*)(?=[A-ZА-ЯЁ«“\"(\[])")
@@ -73,6 +72,12 @@ def attach(tokens: list[str], glue: bool = False) -> list[tuple[str, list[int],
         out[-1] = text + token, front, [*own, k]
 
     for k, token in enumerate(tokens):
+        if token[:1].isalnum() and not waiting:  # most are: no mark, no particle, no dash
+            if glue and out and out[-1][0].endswith("-"):
+                join(k, token)
+            else:
+                out.append((token.rstrip(), [], [k]))
+            continue
         token = "—" if token == "-" else token
         if token == "—" or token and all(c in OPENING for c in token) or closes(token) and waiting:
             waiting.append((token, k))
@@ -124,7 +129,11 @@ def tidy_words(words: list[dict]) -> list[dict]:
     """Words of an aligner as units of display: glued sentences parted by weight, marks attached, probabilities averaged."""
     apart = []
     for w in words:
-        parts = _GLUED.sub(r"\1 ", w["text"]).split()
+        said = w["text"]
+        if said.isalnum():
+            apart.append(w)
+            continue
+        parts = _GLUED.sub(r"\1 ", said).split()
         if len(parts) < 2:
             apart.append(w)
             continue
@@ -132,6 +141,10 @@ def tidy_words(words: list[dict]) -> list[dict]:
         apart += [w | {"start": a, "end": b, "text": p} for p, (a, b) in zip(parts, spans, strict=True)]
     out = []
     for text, front, own in attach([" ".join(w["text"].split()) for w in apart], glue=True):
+        if len(own) == 1 and not front:
+            w = apart[own[0]]
+            out.append({"start": w["start"], "end": w["end"], "text": text, "probability": w["probability"]})
+            continue
         start = min(apart[k]["start"] for k in front or own[:1])
         out.append({"start": start, "end": max(apart[k]["end"] for k in own), "text": text, "probability": mean([apart[k]["probability"] for k in own])})
     return out
@@ -281,9 +294,23 @@ def words_of_lists(made: str) -> Column:
     return F.transform(F.arrays_zip(*lists), lambda w: F.struct(*[w[c].alias(c) for c in _NAMES]))
 
 
-@F.pandas_udf(_WORDS)
-def tidy_words_of(words: pd.Series) -> pd.Series:
-    return words.map(lambda own: tidy_words([dict(w) for w in own]))
+@F.pandas_udf(_LISTS)
+def _tidy_lists(starts: pd.Series, ends: pd.Series, texts: pd.Series, probabilities: pd.Series) -> pd.DataFrame:
+    made: dict[str, list] = {"how": ["words"] * len(starts), **{c: [] for c in _NAMES}}
+    for a, b, said, p in zip(starts, ends, texts, probabilities, strict=True):
+        words = tidy_words([dict(zip(_NAMES, w, strict=True)) for w in zip(a.tolist(), b.tolist(), said.tolist(), _plain(p), strict=True)])
+        for c in _NAMES:
+            made[c].append([w[c] for w in words])
+    return pd.DataFrame(made)
+
+
+_tidy_lists = _tidy_lists.asNondeterministic()  # as above
+
+
+def with_tidy_words(segments: DataFrame) -> DataFrame:
+    """Segments whose words are units of display; their fields pass as lists."""
+    made = segments.withColumn("_tidy", _tidy_lists(*[F.col("words")[c] for c in _NAMES]))
+    return made.withColumn("words", words_of_lists("_tidy")).drop("_tidy")
 
 
 def are_in_order(words: Column, start: Column, end: Column) -> Column:

@@ -311,7 +311,7 @@ def wn31(spark, sf):
 
 @query("st8_alignment_words")
 def st8(spark, sf):
-    made = line_segments(spark, sf).select("rec", "seg", F.posexplode(reconcile.tidy_words_of("words")).alias("k", "w"))
+    made = reconcile.with_tidy_words(line_segments(spark, sf)).select("rec", "seg", F.posexplode("words").alias("k", "w"))
     return made.select("rec", "seg", "k", "w.*")
 
 
