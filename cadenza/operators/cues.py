@@ -69,14 +69,7 @@ def duration_parts(text: Column, length: Column, longest: float) -> Column:
     Null where there is no fitting place to cut, for less than two parts, and for null.
     """
 
-    def within(said: Column, most: Column) -> Column:
-        def cut(rest: Column) -> Column:
-            near = F.substring(rest, F.lit(1), F.least(F.floor(most), F.length(rest) - 1).cast("int"))
-            return F.greatest(layout.last_place(near, " "), layout.last_place(near, "-"))
-
-        return layout.cut_greedily(said, most, cut, False)
-
-    parts = t.bound(t.collapse_space(text), lambda said: t.bound(F.length(said) * F.lit(longest) / length + SLACK, lambda most: within(said, most)))
+    parts = t.bound(t.collapse_space(text), lambda said: t.bound(F.length(said) * F.lit(longest) / length + SLACK, lambda most: layout.cut_greedily(said, most)))
     return t.bound(F.when(text.isNotNull(), parts), lambda p: F.when(F.size(p) > 1, p))
 
 

@@ -307,50 +307,44 @@ def merged_probabilities(rows: DataFrame) -> DataFrame:
     return rows.select("rec").distinct().join(made, "rec", "left")
 
 
-def last_place(text: Column, mark: str) -> Column:
-    """Where ``mark`` stands last in a text, from 1; 0 if nowhere."""
-    back = F.locate(mark, F.reverse(text))
-    return F.when(back > 0, F.length(text) + 1 - back).otherwise(0)
-
-
 def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def cut_greedily(text: Column, most: Column, cut, strip_rest: bool) -> Column:
-    """Parts of a text: while the rest is longer than ``most``, ``cut(rest)`` characters are taken off; null where that is 0 or leaves a blank part.
+def cut_greedily(text: Column, most: Column) -> Column:
+    """Parts of a text of at most ``most`` characters, each up to the last space or hyphen that fits; null where none fits or a part is blank.
 
-    A cut is the last there is within ``most`` characters, so that three parts in a row hold more than these: this bounds the rounds.
+    The text is cut at every space and hyphen once; only the lengths of the pieces are gone through, and what is left is never copied.
     """
-    rounds = F.least(F.length(text), F.ceil(3 * F.length(text) / most) + 3).cast("int")
-    state = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("parts"), F.lit(True).alias("good"))
 
-    def step(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        k = cut(rest)
-        part = _stripped(F.substring(rest, F.lit(1), k))
-        after = F.substring(rest, k + 1, F.length(rest))
-        good = (k > 0) & (part != "")
-        new = F.struct(F.when(good, _stripped(after) if strip_rest else after).otherwise(rest).alias("rest"), F.when(good, F.array_append(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"), good.alias("good"))
-        return F.when(acc["good"] & (F.length(rest) > most), new).otherwise(acc)
+    def step(acc: Column, size: Column) -> Column:
+        new = (acc["k"] == 0) | (acc["used"] + size > most)
+        starts = F.when(new, F.array_append(acc["starts"], acc["k"])).otherwise(acc["starts"])
+        return F.struct(F.when(new, size).otherwise(acc["used"] + size).alias("used"), starts.alias("starts"), (acc["k"] + 1).alias("k"))
+
+    def joined(pieces: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda a, i: _stripped(F.array_join(F.slice(pieces, a + 1, F.coalesce(F.get(starts, i + 1), F.size(pieces)) - a), "")))
 
-    def whole(acc: Column) -> Column:
-        tail = _stripped(acc["rest"])
-        return F.when(acc["good"], F.when(tail != "", F.array_append(acc["parts"], tail)).otherwise(acc["parts"]))
+    def parts(pieces: Column) -> Column:
+        state = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("k"))
+        starts = F.aggregate(F.transform(pieces, F.length), state, step, lambda acc: acc["starts"])
+        return F.when(~F.exists(pieces, lambda x: F.length(x) > most), bound(starts, lambda at: bound(joined(pieces, at), whole)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), rounds)), state, step, whole)
+    def whole(made: Column) -> Column:
+        return F.when(~F.exists(F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0))), lambda x: x == ""), F.filter(made, lambda x: x != ""))
+
+    return bound(F.regexp_extract_all(text, F.lit("[^ -]*+[ -]|[^ -]++"), F.lit(0)), parts)
 
 
 def split_capacity(word: Column, most: int = 50) -> Column:
-    """Parts of at most ``most`` characters, cut at the last space, else behind the last hyphen; the whole word where that can't be; null for null."""
+    """Parts of at most ``most`` characters, cut at the last space, else behind the last hyphen; the whole word where that can't be; null for null.
 
-    def cut(rest: Column) -> Column:
-        space = last_place(F.substring(rest, 1, most + 1), " ") - 1
-        hyphen = last_place(F.substring(rest, 1, most), "-")
-        return F.when(space > 0, space).otherwise(F.when(hyphen > 1, hyphen).otherwise(0))
+    One pattern goes through the word once: the end if it fits, else up to a space, else up to a hyphen, else all that is left, which is then too long.
+    """
+    ways = [rf".{{1,{most}}}+\z", rf".{{1,{most}}}(?= )", *([rf".{{1,{most - 1}}}-"] if most > 1 else []), ".+"]
+    piece = F.lit(rf"(?sU)\G\s*+({'|'.join(ways)})")
 
     def parts(text: Column) -> Column:
-        whole = F.when(F.length(text) <= most, F.filter(F.array(text), lambda x: x != ""))
-        return F.coalesce(whole, cut_greedily(text, F.lit(most), cut, True), F.array(text))
+        return bound(F.regexp_extract_all(text, piece, F.lit(1)), lambda p: F.when(F.length(F.get(p, F.size(p) - 1)) > most, F.array(text)).otherwise(F.transform(p, _stripped)))
 
     return bound(F.when(word.isNotNull(), _stripped(word)), lambda text: F.when(text.isNotNull(), parts(text)))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -321,3 +322,17 @@ def test_greedy_cuts(spark):
     df = spark.createDataFrame(rows, "k int, t string, d double")
     for x in df.select("t", "d", layout.split_capacity(F.col("t"), 12).alias("a"), cues.duration_parts(F.col("t"), F.col("d"), 7.0).alias("b")).collect():
         assert (x.a, x.b) == ((None, None) if x.t is None else (capacity(x.t, 12), reconcile.duration_chunks(x.t, x.d, 7.0)))
+
+
+def test_cuts_of_odd_and_very_long_texts(spark):
+    """White space of every kind and characters beyond two bytes; a line of 272,000 characters is gone through once, not once a part."""
+    r = random.Random(16)
+    rows = [(k, "".join(r.choice("ab -—é \t\n 😀") for _ in range(r.randrange(40))), r.choice([7.5, 20.0, 1000.0])) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, t string, d double")
+    widths = (1, 2, 5, 12)
+    for x in df.select("t", "d", *[layout.split_capacity(F.col("t"), n).alias(f"w{n}") for n in widths], cues.duration_parts(F.col("t"), F.col("d"), 7.0).alias("b")).collect():
+        assert [x[f"w{n}"] for n in widths] == [capacity(x.t, n) for n in widths] and x.b == reconcile.duration_chunks(x.t, x.d, 7.0)
+    text, began = "ein Wort-zu viel " * 16000, time.time()
+    found = spark.createDataFrame([(text,)], "t string").select(layout.split_capacity(F.col("t")).alias("a"), cues.duration_parts(F.col("t"), F.lit(36000.0), 7.0).alias("b")).first()
+    took = time.time() - began
+    assert (found.a, found.b) == (capacity(text, 50), reconcile.duration_chunks(text, 36000.0, 7.0)) and len(found.a) > 1000 and took < 20, took
