@@ -9,6 +9,7 @@ from cadenza.functions import numbers as n
 from cadenza.functions import text as t
 from cadenza.operators import layout, reconcile
 from cadenza.operators.intervals import in_order
+from cadenza.operators.tally import token_counts
 from cadenza.plans.base import CU, LN, cues, lines, query, table, texts
 from cadenza.sources import subtitles as s
 
@@ -39,8 +40,7 @@ def ag14(spark, sf):
 
 @query("st4_tokens", rf"SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS token, count(*) AS n FROM documents GROUP BY 1, 2")
 def st4(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(t.tokens(F.col("text"))).alias("token"))
-    return words.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return token_counts(table(spark, sf, "documents"))
 
 
 AG15_SQL = f"""WITH {CU}, {_GRAMS}, pv AS (SELECT *, lag(tick_end) OVER (PARTITION BY rec ORDER BY ix) AS prev, tick_end - tick_start AS d FROM cu),

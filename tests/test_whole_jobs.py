@@ -75,3 +75,21 @@ def test_batches_over_the_cap_are_counted_whole(spark, tmp_path):
     spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     found = registry.QUERIES["so11_batch_cap"](spark, str(tmp_path)).collect()
     assert sorted((r.source, r.n_files, r.too_many) for r in found) == [("big", 97, True), ("small", 33, False)]
+
+
+def test_tokens_are_counted_where_they_are_cut(spark, tmp_path):
+    """Rows of one id are one document, also without an id; neither tokens nor their counts are dealt."""
+    import duckdb
+
+    from tests.conftest import rows
+
+    rng = random.Random(8)
+    odd = [*"aБé9٣ß_'’-.,- \t\n  ²Ⅷ中'’A", "Wort", "word's", "x-y", "😀"]
+    made = [(k % 90 if k % 9 else None, "".join(rng.choice(odd) for _ in range(rng.randrange(60)))) for k in range(200)] + [(500, None), (501, ""), (502, "... -"), (503, "Ab_ab-AB’ab " * 30_000)]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = registry.QUERIES["st4_tokens"](spark, str(tmp_path))
+    assert rows(result) == rows(con.sql(registry.SQL["st4_tokens"])) and result.where("doc_id IN (500, 501, 502)").isEmpty()
+    dealt = [x for x in result._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert dealt and all("hashpartitioning(doc_id#" in x and "token" not in x for x in dealt)
