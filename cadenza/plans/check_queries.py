@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import numbers as n
 from cadenza.functions import text as t
-from cadenza.operators import checks, reconcile
+from cadenza.operators import checks, reconcile, stream
 from cadenza.operators import joblog as jobs
 from cadenza.plans.base import CT, EV, IT, IV, LN, intervals, job_events, lines, query, table
 from cadenza.sources import media
@@ -265,12 +265,12 @@ def wn17(spark, sf):
 
 #: Segments of lines: words half a second each, in some of them one or two far ahead of the rest and unsure.
 def line_segments(spark, sf):
-    words = F.filter(F.split("line", r"\s+"), lambda x: x != "")
-    apart = F.col("ix") % 4  # 1 and 2: so many words stand ahead
-    lead = lambda i: (i < apart) & (apart < 3)
-    at = lambda i: F.col("ix") * 1000.0 + i * 0.5 + F.when(~lead(i) & apart.isin(1, 2), 5.0).otherwise(0.0)
-    made = F.transform(words, lambda w, i: F.struct(at(i).alias("start"), (at(i) + 0.45).alias("end"), w.alias("text"), F.when(lead(i), 0.25).otherwise(0.5 + (i % 5) / 8).alias("probability")))
-    return lines(spark, sf).select("rec", F.col("ix").alias("seg"), (F.col("ix") * 1000.0).alias("start"), (F.col("ix") * 1000.0 + F.size(words) * 0.5 + 6).alias("end"), F.col("line").alias("text"), made.alias("words"))
+    apart, at = F.col("ix") % 4, F.col("ix") * 1000.0  # 1 and 2: so many words stand ahead
+    ahead = apart.isin(1, 2)
+    rows = lines(spark, sf).withColumns({"_w": F.array_remove(F.split("line", r"\s+"), ""), "_at": at, "_lead": F.when(ahead, apart).otherwise(0).cast("int"), "_gap": F.when(ahead, 5.0).otherwise(0.0)})
+    begin = lambda i: F.col("_at") + i * 0.5 + F.when(i < F.col("_lead"), 0.0).otherwise(F.col("_gap"))
+    made = F.transform("_w", lambda w, i: F.struct(begin(i).alias("start"), (begin(i) + 0.45).alias("end"), w.alias("text"), F.when(i < F.col("_lead"), 0.25).otherwise(0.5 + (i % 5) / 8).alias("probability")))
+    return rows.select("rec", F.col("ix").alias("seg"), F.col("_at").alias("start"), (F.col("_at") + F.size("_w") * 0.5 + 6).alias("end"), F.col("line").alias("text"), made.alias("words"))
 
 
 _TIDY = rf"regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]', '', 'g')"
@@ -296,9 +296,7 @@ def mixed_segments(spark, sf):
 @query("wn36_prepare_words")
 def wn36(spark, sf):
     """Segments of every kind, prepared."""
-    rows = mixed_segments(spark, sf)
-    made = reconcile.prepare(rows)
-    return made.select("rec", "seg", "how", "retimed", F.posexplode("words").alias("k", "w")).select("rec", "seg", "how", "retimed", "k", "w.*")
+    return stream.prepare(mixed_segments(spark, sf))
 
 
 @query("wn31_reconcile")
