@@ -302,9 +302,7 @@ def wn36(spark, sf):
 @query("wn31_reconcile")
 def wn31(spark, sf):
     """The units of every text with the times of its words, hyphens joined over segments."""
-    made = wn36(spark, sf).where("how = 'reconciled'")
-    order = F.row_number().over(Window.partitionBy("rec").orderBy("seg", "k"))
-    return reconcile.merged_hyphens(made.select("rec", order.alias("ix"), "start", "end", "text", "probability"))
+    return stream.reconciled_words(mixed_segments(spark, sf))
 
 
 @query("st8_alignment_words")

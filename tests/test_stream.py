@@ -47,13 +47,19 @@ def test_prepared_words_are_those_of_segments(spark, monkeypatch, words):
     ways = {r.how: r.n for r in found.groupBy("how").agg(F.count_distinct("seg").alias("n")).collect()}
     assert set(ways) == {"reconciled", "spread", "words"} and min(ways.values()) > 30
     assert found.where("retimed").count() > 0
+    order = F.row_number().over(reconcile.Window.partitionBy("rec").orderBy("seg", "k"))
+    plain = reconcile.merged_hyphens(want.where("how = 'reconciled'").select("rec", order.alias("ix"), "start", "end", "text", "probability"))
+    joined = stream.reconciled_words(df)
+    assert joined.columns == plain.columns
+    assert same(joined.collect(), plain.collect())
+    assert joined.where("text like '%-то'").count() > 0
 
 
 def test_words_are_not_dealt_anew(spark, sf_dir):
     """Whole texts are dealt once; neither words nor their segments are dealt or cut to rows on the way."""
     from cadenza.plans import registry
 
-    for name in ("wn36_prepare_words",):
+    for name in ("wn36_prepare_words", "wn31_reconcile"):
         plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
         assert sum("Exchange" in x for x in plan) == 1, name
         assert sum("Generate" in x for x in plan) == 1, name  # the lines
