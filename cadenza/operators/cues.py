@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import numbers as n
 from cadenza.functions import text as t
-from cadenza.operators import checks, intervals, layout, reconcile
+from cadenza.operators import checks, intervals, layout, reconcile, spoken
 from cadenza.operators.intervals import before, in_order, onward, upto
 
 # Seconds that a boundary may move, the shortest cue, and what counts as equal.
 DRIFT, SHORTEST, SLACK = 1.0, 0.001, 1e-9
 
-_KEEP = ("duration", "told")
-
 
 def _rec():
     return Window.partitionBy("rec")
@@ -29,9 +27,11 @@ def _rec():
 
 def with_text(segments: DataFrame) -> DataFrame:
     """Segments that have a text, or words to make one of."""
-    said = F.filter(F.transform(F.coalesce("words", F.array().cast(f"array<{reconcile.WORD}>")), lambda w: t.collapse_space(F.coalesce(w["text"], F.lit("")))), lambda x: x != "")
-    text = F.coalesce(F.nullif(t.collapse_space(F.col("text")), F.lit("")), t.join_glued(said))
-    return segments.withColumn("text", text).where("text != ''")
+    words = F.coalesce("words", F.array().cast(f"array<{reconcile.WORD}>"))
+    clean = lambda w: t.collapse_space(F.coalesce(w["text"], F.lit("")))
+    own, said = F.nullif(t.collapse_space(F.col("text")), F.lit("")), F.filter(F.transform(words, clean), lambda x: x != "")
+    # words are looked at where there is no text, and not made twice elsewhere
+    return segments.where(own.isNotNull() | F.exists(words, lambda w: clean(w) != "")).withColumn("text", F.coalesce(own, t.join_glued(said)))
 
 
 def with_times(segments: DataFrame) -> DataFrame:
@@ -47,22 +47,6 @@ def with_times(segments: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(F.col("_usable"), F.col(c)).otherwise(x) for c, x in new.items()}).drop("_usable", "_horizon", "_n", "_i")
 
 
-def timed_words(segments: DataFrame) -> DataFrame:
-    """Segments with how, retimed and words to (rec, ix, start, end, text, duration, told): one stream of words a recording."""
-    told = F.struct(*[F.count_if(x).over(_rec()).alias(c) for c, x in (
-        ("reconciled_segments", F.col("how") == "reconciled"), ("alignment_text_segments", F.col("how") == "words"),
-        ("synthetic_timing_segments", F.col("how") == "spread"), ("retimed_leading_islands", F.col("retimed")),
-    )], F.lit(0).cast("long").alias("timing_anomaly_adjustments"))
-    words = segments.withColumn("told", told).select("rec", "seg", *_KEEP, F.posexplode("words").alias("_k", "_w")).select("rec", "seg", "_k", *_KEEP, "_w.*")
-    words = words.withColumn("ix", F.row_number().over(_rec().orderBy("seg", "_k")).cast("long"))
-    return reconcile.merged_hyphens(words, _KEEP).drop("probability")
-
-
-def _also(told: Column, more: Column) -> Column:
-    """Counters with ``more`` adjustments."""
-    return told.withField("timing_anomaly_adjustments", told["timing_anomaly_adjustments"] + more)
-
-
 def duration_parts(text: Column, length: Column, longest: float) -> Column:
     """Parts of a text that lasts ``length`` seconds, of ``longest`` at most at an even pace, cut at the last space or behind the last hyphen.
 
@@ -101,62 +85,24 @@ def split_long_words(words: DataFrame, longest: float) -> DataFrame:
     return rows.select(*rest, F.posexplode(pieces).alias("part", "_w")).select(*rest, "part", "_w.*")
 
 
-def fixed_anchors(words: DataFrame, cps: float, least: float, longest: float) -> DataFrame:
-    """Words that last too long and can't be cut keep their end, or end where the next one begins inside, and lose the silence before."""
-    start, end, length = F.col("start"), F.col("end"), F.col("end") - F.col("start")
-    words = words.withColumn("_long", length > longest + SLACK)
-    words = words.withColumn("_cut", duration_parts(F.when(F.col("_long"), F.col("text")), length, longest).isNotNull())
-    needed = F.least(F.lit(longest), n.required_display(t.visible_length(F.col("text")), cps, least))
-    following = F.lead("start").over(in_order())
-    stop = F.when((following >= start + needed) & (following < end), following).otherwise(end)
-    moved = F.col("_long") & ~F.col("_cut")
-    out = words.withColumns({"_moved": moved, "_stop": stop, "_needed": needed})
-    new = {"start": F.when(F.col("_moved"), F.greatest(F.lit(0.0), F.col("_stop") - F.col("_needed"))).otherwise(start), "end": F.when(F.col("_moved"), F.col("_stop")).otherwise(end)}
-    return out.withColumns(new | {"told": _also(F.col("told"), F.count_if("_moved").over(_rec()))}).drop("_long", "_cut", "_moved", "_stop", "_needed")
-
-
-def within_capacity(words: DataFrame, most: int) -> DataFrame:
-    """Words that are too long for a line in parts."""
-    parts = layout.split_capacity(F.when(t.visible_length(F.col("text")) > most, F.col("text")), most)
-    out = words.withColumn("_parts", parts)
-    whole = F.array(F.struct("start", "end", "text"))
-    pieces = F.when(F.col("_parts").isNull(), whole).otherwise(in_parts(F.col("_parts"), F.col("start"), F.col("end")))
-    out = out.select("rec", "ix", *_KEEP, F.posexplode(pieces).alias("_k", "_w")).select("rec", "ix", "_k", *_KEEP, "_w.*")
-    return out.withColumn("ix", F.row_number().over(_rec().orderBy("ix", "_k")).cast("long")).drop("_k")
-
-
-def normal_lines(lines: DataFrame, longest: float) -> DataFrame:
-    """Lines (rec, sentence, line, .., n_words): vocalisations share their time, single words that still last too long are cut or lose the silence before them."""
-    order = (F.row_number().over(_rec().orderBy("sentence", "line")) - 1).cast("long")
-    rows = lines.withColumns({"ix": order, "_was": F.col("end") - F.col("start")})
-    rows = reconcile.retime_vocalisations(rows, longest)
-    heads = F.col("retimed") & (F.col("_was") > longest)
-    start, end = F.col("start"), F.col("end")
-    rows = rows.withColumn("_long", (end - start > longest + SLACK) & (F.col("n_words") == 1))
-    rows = rows.withColumn("_parts", duration_parts(F.when(F.col("_long"), F.col("text")), end - start, longest))
-    rows = rows.withColumn("told", _also(F.col("told"), F.count_if(heads).over(_rec()) + F.count_if("_long").over(_rec())))
-    one = F.array(F.struct(F.when(F.col("_long"), F.greatest(F.lit(0.0), end - longest)).otherwise(start).alias("start"), end.alias("end"), F.col("text").alias("text")))
-    pieces = F.when(F.col("_parts").isNull(), one).otherwise(in_parts(F.col("_parts"), start, end))
-    out = rows.select("rec", "sentence", "ix", *_KEEP, F.posexplode(pieces).alias("_k", "_w")).select("rec", "sentence", "ix", "_k", *_KEEP, "_w.*")
-    return out.withColumn("line", F.row_number().over(_rec().orderBy("ix", "_k")).cast("long")).drop("ix", "_k")
-
-
 def target_schedule(cues: DataFrame, cps: float, least: float, longest: float, pause: float) -> DataFrame:
-    """Cues with block, at and at_end (the times that reading needs), and feasible: can the whole recording keep them?
+    """Cues with at and at_end (the times that reading needs), ends_block (does a pause follow?), and feasible: can the whole recording keep them?
 
     A cue lasts as long as it is said, or as reading takes; it begins no earlier than a second before that ends with it and no later
     than a second after it begins, after the block before has ended and before the next block begins.
     """
-    w = in_order()
-    cues = intervals.pause_blocks(cues, pause)
+    w, back = in_order(), _rec().orderBy(F.desc("ix"))
     needed = n.required_display(t.visible_length(F.col("cue_text")), cps, least)
     cues = cues.withColumn("_d", F.greatest(F.least(F.col("end") - F.col("start"), F.lit(longest)), needed))
-    is_first = F.coalesce(F.lag("block").over(w) != F.col("block"), F.lit(True))
-    deadline = F.when(F.lead("block").over(w).isNull(), F.col("duration")).when(F.lead("block").over(w) != F.col("block"), F.lead("start").over(w))
-    low = F.greatest(F.lit(0.0), F.col("end") - F.col("_d") - DRIFT, F.when(is_first, F.coalesce(F.lag("end").over(w), F.lit(0.0))))
+    cues = cues.withColumns({"_last": F.lag("end").over(w), "_next": F.lead("start").over(w), "_sum": F.coalesce(F.sum("_d").over(before(w)), F.lit(0.0))})
+    cues = cues.withColumn("ends_block", F.col("_next") - F.col("end") >= pause)
+    is_first = F.coalesce(F.col("start") - F.col("_last") >= pause, F.lit(True))
+    deadline = F.when(F.col("_next").isNull(), F.col("duration")).when(F.col("ends_block"), F.col("_next"))
+    low = F.greatest(F.lit(0.0), F.col("end") - F.col("_d") - DRIFT, F.when(is_first, F.coalesce("_last", F.lit(0.0))))
     high = F.least(F.col("start") + DRIFT, F.col("duration") - F.col("_d"), deadline - F.col("_d"))
-    out = cues.withColumns({"_low": low, "_high": high, "_sum": F.coalesce(F.sum("_d").over(before(w)), F.lit(0.0))})
-    out = out.withColumn("_m", F.min(F.col("_high") - F.col("_sum")).over(onward(w)))
+    out = cues.withColumns({"_low": low, "_high": high}).drop("_last", "_next")
+    # from behind, as a minimum of all that follows would be made anew for each row
+    out = out.withColumn("_m", F.min(F.col("_high") - F.col("_sum")).over(upto(back)))
     out = out.withColumn("_p", F.least(F.greatest("start", "_low") - F.col("_sum"), F.col("_m")))
     out = out.withColumn("at", F.col("_sum") + F.greatest(F.lit(0.0), F.max("_p").over(upto(w))))
     fine = (F.col("_d") <= longest + SLACK) & (F.col("_high") + SLACK >= F.col("_low")) & (F.col("_m") + F.col("_sum") + SLACK >= F.col("_low"))
@@ -174,13 +120,11 @@ def compacted(cues: DataFrame) -> DataFrame:
     most = F.when(until >= count * SHORTEST, count).otherwise(F.greatest(F.lit(1), F.floor(until / SHORTEST)))
     out = cues.withColumns({"until": until, "_most": F.when(F.col("feasible"), count).otherwise(most), "_count": count})
     out = intervals.floor_groups(out, F.col("_most"))
-    together = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "cue_text"))), lambda x: F.replace(x["cue_text"], F.lit("\n"), F.lit(" "))), " ")
-    firsts = [c for c in out.columns if c not in ("rec", "ix", "end", "cue_text", "group", "_most", "_count")]
-    rows = out.groupBy("rec", "group").agg(
-        F.min("ix").alias("ix"), F.max("end").alias("end"), F.when(F.count("*") == 1, F.first("cue_text")).otherwise(together).alias("cue_text"),
-        *[F.min_by(c, "ix").alias(c) for c in firsts], (F.first("_most") < F.first("_count")).alias("merged"),
-    )
-    return rows.drop("group")
+    w = Window.partitionBy("rec", "group").orderBy("ix")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = out.withColumns({"merged": F.col("_most") < F.col("_count"), "_place": F.row_number().over(w), "_texts": F.collect_list("cue_text").over(whole), "end": F.max("end").over(whole)})
+    together = F.replace(F.array_join("_texts", " "), F.lit("\n"), F.lit(" "))
+    return out.where("_place = 1").withColumn("cue_text", F.when(F.size("_texts") > 1, together).otherwise(F.col("cue_text"))).drop("group", "_most", "_count", "_place", "_texts")
 
 
 def anchor_schedule(cues: DataFrame) -> DataFrame:
@@ -207,7 +151,7 @@ def anchor_schedule(cues: DataFrame) -> DataFrame:
 
 
 def scheduled(cues: DataFrame, cps: float, least: float, longest: float, pause: float) -> DataFrame:
-    """Cues (rec, ix, start, end, cue_text, duration, told) with their times: start and end as given, raw_start and raw_end as said, block, merged."""
+    """Cues (rec, ix, start, end, cue_text, duration, told) with their times: start and end as given, raw_start and raw_end as said, ends_block, merged."""
     rows = compacted(target_schedule(cues, cps, least, longest, pause))
     rows = anchor_schedule(rows)
     out = rows.withColumns({"raw_start": F.col("start"), "raw_end": F.col("end")})
@@ -218,7 +162,7 @@ def drifts(cues: DataFrame) -> DataFrame:
     """With drifts: how far a cue's end and the next one's start lie outside the raw gap between them, within blocks; one number where they meet."""
     w = Window.partitionBy("rec").orderBy("ix")
     raw, given = F.lead("raw_start").over(w), F.lead("start").over(w)
-    same = (F.lead("block").over(w) == F.col("block")) & ~F.col("merged")
+    same = ~F.col("ends_block") & ~F.col("merged")
     low, high = F.least(F.col("raw_end"), raw), F.greatest(F.col("raw_end"), raw)
     outside = lambda x: F.greatest(low - x, x - high, F.lit(0.0))
     meet = F.abs(F.col("end") - given) <= SLACK
@@ -233,11 +177,8 @@ def build(segments: DataFrame, durations: DataFrame | None = None, width: int =
     """
     rows = segments.select("rec", "seg", "start", "end", "text", "words")
     rows = rows.withColumn("duration", F.lit(None).cast("double")) if durations is None else rows.join(durations.select("rec", F.col("duration").cast("double")), "rec", "left")
-    words = timed_words(reconcile.prepare(with_times(with_text(rows))))
-    words = within_capacity(fixed_anchors(words, cps, least, longest), width + gap)
-    words = intervals.islands_after(words, t.ends_sentence(t.collapse_space(F.col("text"))), "sentence")
-    lines = normal_lines(layout.pack_lines(words, width, gap, _KEEP), longest)
-    cues = drifts(scheduled(layout.group_cues(lines, max_lines, pause, _KEEP), cps, least, longest, pause))
+    said = spoken.spoken_cues(with_times(with_text(rows)), width, gap, max_lines, cps, least, longest, pause)
+    cues = drifts(scheduled(said, cps, least, longest, pause))
     ticked = intervals.quantise(cues, n.ticks(F.col("start")), n.ticks(F.col("end")))
     return ticked.select("rec", (F.row_number().over(in_order()) - 1).cast("long").alias("ix"), "tick_start", "tick_end", "cue_text", "drifts", "told")
 

@@ -32,8 +32,8 @@ _END = re.compile(SENTENCE_END)
 _BREAK = re.compile("\r\n|[\n-\r\x85\u2028\u2029]")
 
 #: What is known of a token: what holds for it in the low bits, then its letters and digits, then its characters.
-BLANK, PLAIN, DASH, SUFFIX, CLOSES = 1, 2, 4, 8, 16
-_LETTERS, _SIZE, _LATE = 5, 34, 200_000
+BLANK, PLAIN, DASH, SUFFIX, CLOSES, SINGLE = 1, 2, 4, 8, 16, 32
+_LETTERS, _SIZE, _LATE = 6, 35, 200_000
 
 
 def collapsed(text: str) -> str:
@@ -52,11 +52,12 @@ def _facts(token: str | None) -> int:
         return BLANK
     most = token[:-1] if token[-1:] in (".", ",") else token
     if most.isalnum():  # most are
-        return PLAIN | CLOSES * token.endswith(".") | (len(most) if most.isascii() else len(reconcile.compact(most))) << _LETTERS | len(token) << _SIZE
+        return PLAIN | SINGLE | CLOSES * token.endswith(".") | (len(most) if most.isascii() else len(reconcile.compact(most))) << _LETTERS | len(token) << _SIZE
     if not _INK.search(token):
         return BLANK
-    plain = token[0].isalnum() and token.split() == [token] and not reconcile._GLUED.search(token)
-    holds = PLAIN * plain | DASH * token.endswith("-") | SUFFIX * bool(reconcile._SUFFIX.fullmatch(token)) | CLOSES * bool(_END.search(collapsed(token)))
+    single = token.split() == [token]
+    plain = single and token[0].isalnum() and not reconcile._GLUED.search(token)
+    holds = PLAIN * plain | SINGLE * single | DASH * token.endswith("-") | SUFFIX * bool(reconcile._SUFFIX.fullmatch(token)) | CLOSES * bool(_END.search(collapsed(token)))
     return holds | len(reconcile.compact(token)) << _LETTERS | visible(token) << _SIZE
 
 
@@ -87,7 +88,7 @@ class Tokens:
     @staticmethod
     def of(texts: pa.Array | list) -> Tokens:
         found = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).dictionary_encode("encode")
-        return Tokens(found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        return Tokens(found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64))
 
     def __len__(self) -> int:
         return len(self.code)
@@ -171,7 +172,7 @@ def prepared(segments: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarra
     column = lambda c: segments.column(c).combine_chunks() if isinstance(segments, pa.Table) else segments.column(c)
     n, lists = segments.num_rows, column("words")
     (start, _), (end, no_end) = numbers_of(column("start")), numbers_of(column("end"))
-    text = [collapsed(x or "") for x in column("text").to_pylist()]
+    text = [collapsed(x or "") for x in column("text").to_numpy(zero_copy_only=False).tolist()]
     a, b, said, p = lists.flatten().flatten()
     no_p = p.is_null().to_numpy(zero_copy_only=False)
     words = Words(np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy()), numbers_of(a)[0], numbers_of(b)[0], Tokens.of(said), numbers_of(p)[0])

@@ -64,3 +64,47 @@ def test_words_are_not_dealt_anew(spark, sf_dir):
         assert sum("Exchange" in x for x in plan) == 1, name
         assert sum("Generate" in x for x in plan) == 1, name  # the lines
         assert not any("Aggregate" in x or "ArrowEvalPython" in x for x in plan), name
+
+
+def test_lines_begin_where_sentences_break_best():
+    from cadenza.operators import layout, spoken
+
+    r = random.Random(3)
+    pool = ["да", "и", "нет,", "слово", "длинноеслово", "Правда", "в", "—", "«так»", "сверх" * 12, "два-три", "ну;", "но", "о-", "— Да", "a", "по"]
+    for width, gap, own in ((42, 8, pool), (20, 4, pool[:9]), (42, 8, ["a", "в"]), (9, 1, pool[:7])):
+        sentences = [[r.choice(own) for _ in range(r.choice([1, 2, 5, 12, 40, 700 if k == 50 else 9]))] for k in range(200)]
+        said = [w for s in sentences for w in s]
+        first = [k == 0 for s in sentences for k in range(len(s))]
+        n = len(said)
+        words = stream.Words(spoken.np.zeros(n, int), spoken.np.zeros(n), spoken.np.zeros(n), stream.Tokens.of(said), spoken.np.zeros(n))
+        want, at = [], 0
+        for s in sentences:
+            want += [at, *[at + cut for cut in layout.line_breaks(s, width, gap)[:-1]]]
+            at += len(s)
+        assert spoken.np.flatnonzero(spoken.line_starts(words, spoken.np.array(first), width, gap)).tolist() == want
+    for _ in range(300):
+        n = r.randrange(1, 30)
+        sentences, sizes = sorted(r.randrange(9) for _ in range(n)), [r.randrange(1, 6) for _ in range(n)]
+        assert spoken.cue_ends(sentences, sizes) == layout.cue_breaks([0.0] * n, [0.0] * n, sentences, sizes, 2, 0.7)
+
+
+def test_long_words_are_cut_as_by_columns(spark):
+    from cadenza.operators import layout, spoken
+
+    r = random.Random(4)
+    made = ["".join(r.choice("ab - x") for _ in range(r.randrange(1, 70))) for _ in range(400)]
+    df = spark.createDataFrame([(w,) for w in made], "w string")
+    for most in (1, 12, 50):
+        for w, parts in df.select("w", layout.split_capacity(F.col("w"), most)).collect():
+            assert spoken.capacity_parts(w, most) == parts, w
+
+
+def test_layout_deals_no_words(spark, sf_dir):
+    """Texts are dealt, and what is made of whole recordings; words and lines are no rows on the way."""
+    from cadenza.plans import registry
+
+    for name in ("wn28_layout", "wn28_diagnostics"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert sum("Exchange" in x for x in plan) <= 2, name
+        assert sum("Generate" in x for x in plan) == 1, name
+        assert sum("MapInArrow" in x for x in plan) == 1 and not any("ArrowEvalPython" in x for x in plan), name
