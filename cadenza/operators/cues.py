@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import numbers as n
 from cadenza.functions import text as t
-from cadenza.operators import checks, intervals, layout, reconcile, spoken
-from cadenza.operators.intervals import before, in_order, onward, upto
+from cadenza.operators import layout, reconcile, spoken
 
-# Seconds that a boundary may move, the shortest cue, and what counts as equal.
-DRIFT, SHORTEST, SLACK = 1.0, 0.001, 1e-9
+# The shortest cue, and what counts as equal.
+SHORTEST, SLACK = 0.001, 1e-9
 
 
 def _rec():
@@ -85,91 +84,6 @@ def split_long_words(words: DataFrame, longest: float) -> DataFrame:
     return rows.select(*rest, F.posexplode(pieces).alias("part", "_w")).select(*rest, "part", "_w.*")
 
 
-def target_schedule(cues: DataFrame, cps: float, least: float, longest: float, pause: float) -> DataFrame:
-    """Cues with at and at_end (the times that reading needs), ends_block (does a pause follow?), and feasible: can the whole recording keep them?
-
-    A cue lasts as long as it is said, or as reading takes; it begins no earlier than a second before that ends with it and no later
-    than a second after it begins, after the block before has ended and before the next block begins.
-    """
-    w, back = in_order(), _rec().orderBy(F.desc("ix"))
-    needed = n.required_display(t.visible_length(F.col("cue_text")), cps, least)
-    cues = cues.withColumn("_d", F.greatest(F.least(F.col("end") - F.col("start"), F.lit(longest)), needed))
-    cues = cues.withColumns({"_last": F.lag("end").over(w), "_next": F.lead("start").over(w), "_sum": F.coalesce(F.sum("_d").over(before(w)), F.lit(0.0))})
-    cues = cues.withColumn("ends_block", F.col("_next") - F.col("end") >= pause)
-    is_first = F.coalesce(F.col("start") - F.col("_last") >= pause, F.lit(True))
-    deadline = F.when(F.col("_next").isNull(), F.col("duration")).when(F.col("ends_block"), F.col("_next"))
-    low = F.greatest(F.lit(0.0), F.col("end") - F.col("_d") - DRIFT, F.when(is_first, F.coalesce("_last", F.lit(0.0))))
-    high = F.least(F.col("start") + DRIFT, F.col("duration") - F.col("_d"), deadline - F.col("_d"))
-    out = cues.withColumns({"_low": low, "_high": high}).drop("_last", "_next")
-    # from behind, as a minimum of all that follows would be made anew for each row
-    out = out.withColumn("_m", F.min(F.col("_high") - F.col("_sum")).over(upto(back)))
-    out = out.withColumn("_p", F.least(F.greatest("start", "_low") - F.col("_sum"), F.col("_m")))
-    out = out.withColumn("at", F.col("_sum") + F.greatest(F.lit(0.0), F.max("_p").over(upto(w))))
-    fine = (F.col("_d") <= longest + SLACK) & (F.col("_high") + SLACK >= F.col("_low")) & (F.col("_m") + F.col("_sum") + SLACK >= F.col("_low"))
-    out = out.withColumns({"at_end": F.col("at") + F.col("_d"), "feasible": F.bool_and(fine).over(_rec())})
-    rows = out.drop("_d", "_low", "_high", "_sum", "_m", "_p")
-    rest = [c for c in rows.columns if c not in ("start", "end", "at", "at_end")]
-    apart = checks.remove_float_overlaps(rows.select(*rest, F.col("start").alias("raw_start"), F.col("end").alias("raw_end"), F.col("at").alias("start"), F.col("at_end").alias("end")))
-    return apart.select(*rest, F.col("raw_start").alias("start"), F.col("raw_end").alias("end"), F.col("start").alias("at"), F.col("end").alias("at_end"))
-
-
-def compacted(cues: DataFrame) -> DataFrame:
-    """Where no schedule is feasible and the time has fewer milliseconds than cues: as many groups of neighbours as it has. With until, the end of the time."""
-    until = F.greatest(F.lit(SHORTEST), F.coalesce("duration", F.max("end").over(_rec())))
-    count = F.count("*").over(_rec())
-    most = F.when(until >= count * SHORTEST, count).otherwise(F.greatest(F.lit(1), F.floor(until / SHORTEST)))
-    out = cues.withColumns({"until": until, "_most": F.when(F.col("feasible"), count).otherwise(most), "_count": count})
-    out = intervals.floor_groups(out, F.col("_most"))
-    w = Window.partitionBy("rec", "group").orderBy("ix")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumns({"merged": F.col("_most") < F.col("_count"), "_place": F.row_number().over(w), "_texts": F.collect_list("cue_text").over(whole), "end": F.max("end").over(whole)})
-    together = F.replace(F.array_join("_texts", " "), F.lit("\n"), F.lit(" "))
-    return out.where("_place = 1").withColumn("cue_text", F.when(F.size("_texts") > 1, together).otherwise(F.col("cue_text"))).drop("group", "_most", "_count", "_place", "_texts")
-
-
-def anchor_schedule(cues: DataFrame) -> DataFrame:
-    """Cues (rec, ix, start, end, until) with other and other_end: boundaries at the middle between neighbours, at least a millisecond apart.
-
-    With e the millisecond and i the row's place, boundary less i e is a running maximum of the middles less i e, bounded from both
-    sides by constants. Should that not be an order of intervals (times too large for milliseconds), cues share the time equally from 0.
-    """
-    w = in_order()
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    i, count, until = F.row_number().over(w) - 1, F.count("*").over(_rec()), F.col("until")
-    out = cues.withColumns({"_i": i, "_n": count, "_span": count * F.lit(SHORTEST)})
-    out = out.withColumn("_from", F.least(F.greatest(F.lit(0.0), F.first("start").over(whole)), F.greatest(F.lit(0.0), until - F.col("_span"))))
-    final = F.least(until, F.greatest(F.least(until, F.greatest(F.col("_from"), F.last("end").over(whole))), F.col("_from") + F.col("_span")))
-    out = out.withColumns({"_final": final, "_middle": (F.col("end") + F.lead("start").over(w)) / 2 - (F.col("_i") + 1) * SHORTEST})
-    stop = (F.col("_i") + 1) * SHORTEST + F.least(F.col("_final") - F.col("_span"), F.greatest(F.col("_from"), F.max("_middle").over(upto(w))))
-    out = out.withColumn("other_end", F.when(F.col("_i") == F.col("_n") - 1, F.col("_final")).otherwise(stop))
-    out = out.withColumn("other", F.coalesce(F.lag("other_end").over(w), F.col("_from")))
-    fine = F.bool_and((F.col("other_end") > F.col("other")) & (F.col("other") >= 0)).over(_rec())
-    out = out.withColumn("_fine", fine)
-    even = lambda k: until * k / F.col("_n")
-    new = {"other": F.when(F.col("_fine"), F.col("other")).otherwise(even(F.col("_i"))), "other_end": F.when(F.col("_fine"), F.col("other_end")).otherwise(even(F.col("_i") + 1))}
-    return out.withColumns(new).drop("_i", "_n", "_span", "_from", "_final", "_middle", "_fine")
-
-
-def scheduled(cues: DataFrame, cps: float, least: float, longest: float, pause: float) -> DataFrame:
-    """Cues (rec, ix, start, end, cue_text, duration, told) with their times: start and end as given, raw_start and raw_end as said, ends_block, merged."""
-    rows = compacted(target_schedule(cues, cps, least, longest, pause))
-    rows = anchor_schedule(rows)
-    out = rows.withColumns({"raw_start": F.col("start"), "raw_end": F.col("end")})
-    return out.withColumns({"start": F.when(F.col("feasible"), F.col("at")).otherwise(F.col("other")), "end": F.when(F.col("feasible"), F.col("at_end")).otherwise(F.col("other_end"))}).drop("at", "at_end", "other", "other_end", "until")
-
-
-def drifts(cues: DataFrame) -> DataFrame:
-    """With drifts: how far a cue's end and the next one's start lie outside the raw gap between them, within blocks; one number where they meet."""
-    w = Window.partitionBy("rec").orderBy("ix")
-    raw, given = F.lead("raw_start").over(w), F.lead("start").over(w)
-    same = ~F.col("ends_block") & ~F.col("merged")
-    low, high = F.least(F.col("raw_end"), raw), F.greatest(F.col("raw_end"), raw)
-    outside = lambda x: F.greatest(low - x, x - high, F.lit(0.0))
-    meet = F.abs(F.col("end") - given) <= SLACK
-    both = F.when(meet, F.array(F.greatest(outside(F.col("end")), outside(given)))).otherwise(F.array(outside(F.col("end")), outside(given)))
-    return cues.withColumn("drifts", F.when(same, F.filter(both, lambda x: x > SLACK)))
-
-
 def build(segments: DataFrame, durations: DataFrame | None = None, width: int = 42, gap: int = 8, max_lines: int = 2, cps: float = 17.0, least: float = 0.8, longest: float = 7.0, pause: float = 0.8) -> DataFrame:
     """Segments (rec, seg, start, end, text, words) to cues (rec, ix, tick_start, tick_end, cue_text, drifts, told), in milliseconds.
 
@@ -177,10 +91,7 @@ def build(segments: DataFrame, durations: DataFrame | None = None, width: int =
     """
     rows = segments.select("rec", "seg", "start", "end", "text", "words")
     rows = rows.withColumn("duration", F.lit(None).cast("double")) if durations is None else rows.join(durations.select("rec", F.col("duration").cast("double")), "rec", "left")
-    said = spoken.spoken_cues(with_times(with_text(rows)), width, gap, max_lines, cps, least, longest, pause)
-    cues = drifts(scheduled(said, cps, least, longest, pause))
-    ticked = intervals.quantise(cues, n.ticks(F.col("start")), n.ticks(F.col("end")))
-    return ticked.select("rec", (F.row_number().over(in_order()) - 1).cast("long").alias("ix"), "tick_start", "tick_end", "cue_text", "drifts", "told")
+    return spoken.timed_cues(with_times(with_text(rows)), width, gap, max_lines, cps, least, longest, pause)
 
 
 def diagnostics(cues: DataFrame, width: int = 42, gap: int = 8, cps: float = 17.0, longest: float = 7.0) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Words of whole recordings to the texts and spans of cues, as columns: what `cues.build` does before cues are scheduled.
+"""Words of whole recordings to cues with their times, as columns: the steps of `cues.build` once segments have texts and times.
 
 Each step goes through some ten thousand words at once (see `stream`); the few words, sentences and lines that need a text to be cut go
-through the functions of `reconcile` and `layout` one at a time.
+through the functions of `reconcile` and `layout` one at a time. The schedule is running sums, maxima and minima.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from cadenza.functions.numbers import READING_MARGIN, TOLERANCE
 from cadenza.operators import layout, reconcile, stream
 from cadenza.operators.stream import CLOSES, DASH, SINGLE, Tokens, Words, firsts, visible
 
-SLACK = TOLERANCE
+# Seconds that a boundary may move, the shortest cue, and what counts as equal.
+DRIFT, SHORTEST, SLACK = 1.0, 0.001, TOLERANCE
 #: Counters of a recording, with the ways that they count.
 TOLD = {"reconciled_segments": "reconciled", "alignment_text_segments": "words", "synthetic_timing_segments": "spread", "retimed_leading_islands": None, "timing_anomaly_adjustments": None}
 #: Bits of a line's rank below its lines, penalty and overflow, the bits of the sums, and a rank above all.
@@ -248,8 +249,123 @@ def grouped(lines: Lines, max_lines: int, pause: float) -> tuple[np.ndarray, np.
     return lines.row[places], lines.start[places], np.maximum.reduceat(lines.end, places), text
 
 
-def spoken_cues(segments: DataFrame, width: int, gap: int, max_lines: int, cps: float, least: float, longest: float, pause: float) -> DataFrame:
-    """Segments (rec, seg, start, end, text, words, duration) to cues (rec, ix, start, end, cue_text, duration, told) that last as they are said."""
+class Cues:
+    """Cues in order, as columns: row (the recording), start, end, text, until (the recording's time; nan: unknown)."""
+
+    def __init__(self, row, start, end, text: list[str], until):
+        self.row, self.start, self.end, self.text, self.until = row, start, end, text, until
+        self.first = firsts(row)
+        bounds = [*np.flatnonzero(self.first).tolist(), len(row)]
+        self.runs = [slice(i, j) for i, j in pairwise(bounds)]
+        self.n = np.repeat(np.diff(bounds), np.diff(bounds))
+        self.i = np.arange(len(row)) - np.repeat(bounds[:-1], np.diff(bounds))
+
+    def running(self, step: np.ufunc, values: np.ndarray, backwards: bool = False) -> np.ndarray:
+        """Sums, maxima or minima so far, by recording."""
+        turn = slice(None, None, -1 if backwards else 1)
+        return np.concatenate([step.accumulate(values[run][turn])[turn] for run in self.runs])
+
+    def whole(self, step: np.ufunc, values: np.ndarray) -> np.ndarray:
+        """What a recording has in all, for each of its cues."""
+        return np.repeat(step.reduceat(values, np.flatnonzero(self.first)), self.n[self.first])
+
+    def last(self, values: np.ndarray, none) -> np.ndarray:
+        """The cue's before, or ``none``."""
+        return np.where(self.first, none, np.roll(values, 1))
+
+    def next(self, values: np.ndarray) -> np.ndarray:
+        """The next cue's, or nan."""
+        return np.where(np.roll(self.first, -1), np.nan, np.roll(values, -1))
+
+
+def target_schedule(cues: Cues, cps: float, least: float, longest: float, pause: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends as reading needs them, and: can the whole recording keep them?
+
+    A cue lasts as long as it is said, or as reading takes; it begins no earlier than a second before that ends with it and no later
+    than a second after it begins, after the block before has ended and before the next block begins.
+    """
+    start, end, until = cues.start, cues.end, cues.until
+    needed = np.maximum(least, np.array(list(map(len, cues.text)), np.float64) / cps) + READING_MARGIN
+    d = np.maximum(np.minimum(end - start, longest), needed)
+    last, then = cues.last(end, 0.0), cues.next(start)
+    begins = cues.first | (start - last >= pause)
+    deadline = np.where(np.isnan(then), until, np.where(then - end >= pause, then, np.nan))
+    low = np.maximum(np.maximum(0.0, end - d - DRIFT), np.where(begins, last, 0.0))
+    high = np.fmin(np.fmin(start + DRIFT, until - d), deadline - d)
+    upto = cues.running(np.add, d)
+    before = cues.last(upto, 0.0)
+    latest = cues.running(np.minimum, high - before, backwards=True)
+    at = before + np.maximum(0.0, cues.running(np.maximum, np.minimum(np.maximum(start, low) - before, latest)))
+    fine = (d <= longest + SLACK) & (high + SLACK >= low) & (latest + before + SLACK >= low)
+    # no start before the end before, no end within a billionth of the start
+    i = cues.i * 1e-9
+    stop = i + cues.running(np.maximum, np.maximum(at + d, at + 1e-9) - i)
+    return np.maximum(at, cues.last(stop, 0.0)), stop, cues.whole(np.logical_and, fine)
+
+
+def compacted(cues: Cues, feasible: np.ndarray) -> tuple[Cues, np.ndarray, np.ndarray]:
+    """Where no schedule is feasible and the time has fewer milliseconds than cues: as many groups of neighbours as it has.
+
+    With the places of the groups' first cues, and whether a recording's cues were put together. The cues' until is the end of the time.
+    """
+    until = np.maximum(SHORTEST, np.where(np.isnan(cues.until), cues.whole(np.maximum, cues.end), cues.until))
+    most = np.where(feasible | (until >= cues.n * SHORTEST), cues.n, np.maximum(1.0, np.floor(until / SHORTEST))).astype(np.int64)
+    merged = most < cues.n
+    group = np.floor(((cues.i + 1) * most - 1) / cues.n)
+    at = np.flatnonzero(firsts(cues.row, group))
+    text = cues.text
+    if merged.any():
+        texts = [text[i:j] for i, j in pairwise([*at.tolist(), len(text)])]
+        text = [own[0] if len(own) == 1 else " ".join(own).replace("\n", " ") for own in texts]
+    return Cues(cues.row[at], cues.start[at], np.maximum.reduceat(cues.end, at), text, until[at]), at, merged[at]
+
+
+def anchor_schedule(cues: Cues) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends with boundaries at the middle between neighbours, at least a millisecond apart.
+
+    With e the millisecond and i the row's place, boundary less i e is a running maximum of the middles less i e, bounded from both
+    sides by constants. Should that not be an order of intervals (times too large for milliseconds), cues share the time equally from 0.
+    """
+    until, span, following = cues.until, cues.n * SHORTEST, np.roll(cues.first, -1)
+    of = lambda values, places: np.repeat(values[places], cues.n[cues.first])
+    begin = np.minimum(np.maximum(0.0, of(cues.start, cues.first)), np.maximum(0.0, until - span))
+    final = np.minimum(until, np.maximum(np.minimum(until, np.maximum(begin, of(cues.end, following))), begin + span))
+    middle = np.where(following, -np.inf, (cues.end + np.roll(cues.start, -1)) / 2 - (cues.i + 1) * SHORTEST)
+    stop = (cues.i + 1) * SHORTEST + np.minimum(final - span, np.maximum(begin, cues.running(np.maximum, middle)))
+    stop = np.where(following, final, stop)
+    start = cues.last(stop, begin)
+    fine = cues.whole(np.logical_and, (stop > start) & (start >= 0))
+    return np.where(fine, start, until * cues.i / cues.n), np.where(fine, stop, until * (cues.i + 1) / cues.n)
+
+
+def drifts(cues: Cues, start: np.ndarray, end: np.ndarray, merged: np.ndarray, pause: float) -> pa.Array:
+    """How far a cue's end and the next one's start lie outside the gap between them as they are said, within blocks; one number where they meet."""
+    said, given = cues.next(cues.start), cues.next(start)
+    same = (said - cues.end < pause) & ~merged
+    low, high = np.minimum(cues.end, said), np.maximum(cues.end, said)
+    outside = lambda x: np.maximum(np.maximum(low - x, x - high), 0.0)
+    left, right = outside(end), outside(given)
+    meet = np.abs(end - given) <= SLACK
+    both = np.stack([np.where(meet, np.maximum(left, right), left), np.where(meet, 0.0, right)], 1)
+    keep = (both > SLACK) & same[:, None]
+    places = np.concatenate([[0], np.cumsum(keep.sum(1))])
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(both[keep]), mask=pa.array(~same))
+
+
+def ticked(cues: Cues, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `intervals.quantise` in milliseconds."""
+
+    def ticks(seconds: np.ndarray) -> np.ndarray:
+        whole = np.floor(seconds)
+        return (whole.astype(np.int64) * 1000 + np.rint((seconds - whole) * 1000)).astype(np.int64)
+
+    a = ticks(start)
+    stop = cues.i + cues.running(np.maximum, np.maximum(ticks(end), a + 1) - cues.i)
+    return np.maximum(np.maximum(a, cues.last(stop, 0)), 0), stop
+
+
+def timed_cues(segments: DataFrame, width: int, gap: int, max_lines: int, cps: float, least: float, longest: float, pause: float) -> DataFrame:
+    """Segments (rec, seg, start, end, text, words, duration) to cues (rec, ix, tick_start, tick_end, cue_text, drifts, told): by the target schedule where it is feasible for the whole recording, else by boundaries between neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in stream.pieces(batches, whole=True):
@@ -266,12 +382,17 @@ def spoken_cues(segments: DataFrame, width: int, gap: int, max_lines: int, cps:
             fixed_anchors(words, cps, least, longest, adjusted)
             lines = normal(pack(within_capacity(words, width + gap), width, gap), longest, adjusted)
             row, start, end, text = grouped(lines, max_lines, pause)
-            begin = np.flatnonzero(firsts(row))
-            ix = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
-            of = pa.array(at[row])
-            columns = [recs.take(of), pa.array(ix), pa.array(start), pa.array(end), pa.array(text, pa.string()), durations.take(of), *[pa.array(told[c][row]) for c in TOLD]]
-            yield pa.RecordBatch.from_arrays(columns, names=["rec", "ix", "start", "end", "cue_text", "duration", *TOLD])
+            cues = Cues(row, start, end, text, stream.numbers_of(durations)[0][at[row]])
+            start, end, feasible = target_schedule(cues, cps, least, longest, pause)
+            cues, places, merged = compacted(cues, feasible)
+            start, end, feasible = start[places], end[places], feasible[places]
+            if not feasible.all():
+                other, other_end = anchor_schedule(cues)
+                start, end = np.where(feasible, start, other), np.where(feasible, end, other_end)
+            begin, stop = ticked(cues, start, end)
+            columns = [recs.take(pa.array(at[cues.row])), pa.array(cues.i), pa.array(begin), pa.array(stop), pa.array(cues.text, pa.string()), drifts(cues, start, end, merged, pause), *[pa.array(told[c][cues.row]) for c in TOLD]]
+            yield pa.RecordBatch.from_arrays(columns, names=["rec", "ix", "tick_start", "tick_end", "cue_text", "drifts", *TOLD])
 
     kind = dict(segments.dtypes)["rec"]
-    made = stream.in_turn(segments).mapInArrow(run, f"rec {kind}, ix long, start double, end double, cue_text string, duration double, " + ", ".join(f"{c} long" for c in TOLD))
-    return made.select("rec", "ix", "start", "end", "cue_text", "duration", F.struct(*TOLD).alias("told"))
+    made = stream.in_turn(segments).mapInArrow(run, f"rec {kind}, ix long, tick_start long, tick_end long, cue_text string, drifts array<double>, " + ", ".join(f"{c} long" for c in TOLD))
+    return made.select("rec", "ix", "tick_start", "tick_end", "cue_text", "drifts", F.struct(*TOLD).alias("told"))
