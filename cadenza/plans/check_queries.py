@@ -267,7 +267,8 @@ def wn17(spark, sf):
 def line_segments(spark, sf):
     apart, at = F.col("ix") % 4, F.col("ix") * 1000.0  # 1 and 2: so many words stand ahead
     ahead = apart.isin(1, 2)
-    rows = lines(spark, sf).withColumns({"_w": F.array_remove(F.split("line", r"\s+"), ""), "_at": at, "_lead": F.when(ahead, apart).otherwise(0).cast("int"), "_gap": F.when(ahead, 5.0).otherwise(0.0)})
+    ordered = lines(spark, sf).sortWithinPartitions("rec", "ix")  # while they are lines, so that what goes by recording needn't sort their words
+    rows = ordered.withColumns({"_w": F.array_remove(F.split("line", r"\s+"), ""), "_at": at, "_lead": F.when(ahead, apart).otherwise(0).cast("int"), "_gap": F.when(ahead, 5.0).otherwise(0.0)})
     begin = lambda i: F.col("_at") + i * 0.5 + F.when(i < F.col("_lead"), 0.0).otherwise(F.col("_gap"))
     made = F.transform("_w", lambda w, i: F.struct(begin(i).alias("start"), (begin(i) + 0.45).alias("end"), w.alias("text"), F.when(i < F.col("_lead"), 0.25).otherwise(0.5 + (i % 5) / 8).alias("probability")))
     return rows.select("rec", F.col("ix").alias("seg"), F.col("_at").alias("start"), (F.col("_at") + F.size("_w") * 0.5 + 6).alias("end"), F.col("line").alias("text"), made.alias("words"))

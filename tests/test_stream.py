@@ -107,4 +107,5 @@ def test_layout_deals_no_words(spark, sf_dir):
         plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
         assert sum("Exchange" in x for x in plan) <= 2, name
         assert sum("Generate" in x for x in plan) == 1, name
+        assert not any("Sort [" in x and "seg#" in x for x in plan), name  # lines were sorted before they had words
         assert sum("MapInArrow" in x for x in plan) == 1 and not any("ArrowEvalPython" in x for x in plan), name
